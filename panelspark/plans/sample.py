@@ -28,14 +28,20 @@ def shifted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @I.stage
-def estimation_sample(spark: SparkSession, sf: str) -> DataFrame:
+def stints(spark: SparkSession, sf: str) -> DataFrame:
+    """People with work, their runs of active days, and features of earlier days."""
     s = cumsum(shifted(spark, sf), E, D, {"days_worked": "worked"})
     s = s.withColumn("total_worked", F.sum("worked").over(W.partitionBy("emp"))).where(F.col("total_worked") > 0)
     s = s.withColumn("active", flag((F.col("worked") == 1) | (F.col("leave_hours") > 0)))
     s = run_length(s, E, D, "active", "stint", "stint_length")
     s = lag_sum_6(s, E, D, "worked_hours", "hours_last6")
     s = first_event_date(s, E, "day", F.col("injured") == 1, "first_injury")
-    s = cut_lineage(lag_lead(s, E, D, "main_div", 1, "div_before"))
+    return cut_lineage(lag_lead(s, E, D, "main_div", 1, "div_before"))
+
+
+@I.stage
+def estimation_sample(spark: SparkSession, sf: str) -> DataFrame:
+    s = stints(spark, sf)
     s = s.join(mode_no_ties(s.where(F.col("active") == 1), E, "stint_length", "usual_stint"), "emp", "left")
     ages = age_anchor(I.pay(spark, sf), E, "day", "age", I.LO)
     s = attach_age(s, ages, E, "day", I.LO, "age")
