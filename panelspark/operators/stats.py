@@ -147,8 +147,8 @@ def kde_grid(df: DataFrame, x: str, n_points: int, by: list[str] | None = None)
         d = values.withColumn("_s", one).select("_x", "_c", "_s.*")
     step = (F.col("_hi") - F.col("_lo") + F.col("_h") * 2) / (n_points - 1)
     grid = F.explode(F.sequence(F.lit(0), F.lit(n_points - 1)))
-    d = d.withColumn("point", grid).withColumn("at", F.col("_lo") - F.col("_h") + F.col("point") * step)
-    kern = epanechnikov((F.col("at") - F.col("_x")) / F.col("_h"))
+    d = d.withColumn("point", grid).withColumn("x_at", F.col("_lo") - F.col("_h") + F.col("point") * step)
+    kern = epanechnikov((F.col("x_at") - F.col("_x")) / F.col("_h"))
     return d.groupBy(*by, "point").agg(
-        F.max("at").alias("at"),
+        F.max("x_at").alias("x_at"),
         (F.sum(kern * F.col("_c")) / F.max(F.col("_n") * F.col("_h"))).alias("density"))
