@@ -1 +1,245 @@
-"""To be filled."""
+"""Linear and binary estimators with elimination-in-SQL checks."""
+
+from pyspark.sql import functions as F
+
+from panelspark.catalog.network import SHARES
+from panelspark.catalog.registry import query
+from panelspark.operators import linear as L
+from panelspark.plans import network as C, sample as S
+
+X = ["worked", "age", "rate"]
+IVX = ["bar_others_out", "bar_rate", "age"]
+
+
+def center(src: str, cols: list[str], keep: str = "") -> str:
+    cols = list(dict.fromkeys(cols))
+    have = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    k = f"{keep}, " if keep else ""
+    return f"SELECT {k}{', '.join(f'{c} - avg({c}) OVER () AS {c}' for c in cols)} FROM {src} WHERE {have}"
+
+
+def demean(src: str, cols: list[str], factors: list[str], sweeps: int, tag: str, keep: str) -> list[str]:
+    """CTEs <tag>0..: alternate group means `sweeps` times."""
+    have = " AND ".join(f"{c} IS NOT NULL" for c in dict.fromkeys(cols))
+    ctes = [f"{tag}0 AS MATERIALIZED (SELECT {keep}, {', '.join(factors)}, {', '.join(f'{c}::DOUBLE AS {c}' for c in cols)} FROM {src} WHERE {have})"]
+    for i in range(1, sweeps * len(factors) + 1):
+        f = factors[(i - 1) % len(factors)]
+        ctes.append(f"{tag}{i} AS MATERIALIZED (SELECT {keep}, {', '.join(factors)}, "
+                    f"{', '.join(f'{c} - avg({c}) OVER (PARTITION BY {f}) AS {c}' for c in cols)} FROM {tag}{i - 1})")
+    return ctes
+
+
+def solve(src: str, rows: list[str], cols: list[str], rhs: list[str], tag: str) -> list[str]:
+    """CTEs ending in <tag>: b_<rhs>_<i> and inverse entries v_<i>_<j> of (rows' cols)^-1 by elimination."""
+    p, names = len(rows), cols + [f"{r}" for r in rhs]
+    cell = {(i, j): f"sum({rows[i]} * {names[j]})" for i in range(p) for j in range(len(names))}
+    for i in range(p):
+        for j in range(p):
+            cell[i, len(names) + j] = "1.0::DOUBLE" if i == j else "0.0::DOUBLE"
+    width = len(names) + p
+    ctes = [f"{tag}_0 AS MATERIALIZED (SELECT count(*) AS n, {', '.join(f'{cell[i, j]} AS m_{i}_{j}' for i in range(p) for j in range(width))} FROM {src})"]
+    for k in range(p):
+        out = []
+        for i in range(p):
+            for j in range(width):
+                out.append(f"m_{k}_{j} / m_{k}_{k} AS m_{k}_{j}" if i == k
+                           else f"m_{i}_{j} - m_{i}_{k} * m_{k}_{j} / m_{k}_{k} AS m_{i}_{j}")
+        ctes.append(f"{tag}_{k + 1} AS MATERIALIZED (SELECT n, {', '.join(out)} FROM {tag}_{k})")
+    out = [f"m_{i}_{p + r} AS b_{name}_{i}" for i in range(p) for r, name in enumerate(rhs)]
+    out += [f"m_{i}_{len(names) + j} AS v_{i}_{j}" for i in range(p) for j in range(p)]
+    ctes.append(f"{tag} AS MATERIALIZED (SELECT n, {', '.join(out)} FROM {tag}_{p})")
+    return ctes
+
+
+def resid(y: str, xs: list[str], name: str) -> str:
+    return y + "".join(f" - b_{name}_{i} * {x}" for i, x in enumerate(xs))
+
+
+def meat(src: str, sol: str, zs: list[str], e: str, cluster: str, tag: str) -> list[str]:
+    s = ", ".join(f"sum({z} * ({e})) AS s{i}" for i, z in enumerate(zs))
+    b = ", ".join(f"sum(s{i} * s{j}) AS w_{i}_{j}" for i in range(len(zs)) for j in range(len(zs)))
+    return [f"{tag}_s AS (SELECT {cluster}, {s} FROM {src}, {sol} GROUP BY {cluster})",
+            f"{tag} AS (SELECT count(*) AS g, {b} FROM {tag}_s)"]
+
+
+def sandwich(p: int, j: int, left: str = "v", transpose: bool = False) -> str:
+    at = (lambda a, b: f"{left}_{b}_{a}") if transpose else (lambda a, b: f"{left}_{a}_{b}")
+    return "(" + " + ".join(f"{at(j, a)} * w_{a}_{b} * {at(j, b)}" for a in range(p) for b in range(p)) + ")"
+
+
+def table(xs: list[str], value: dict[str, list[str]], src: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{x}' AS term, " + ", ".join(f"{v[i]} AS {n}" for n, v in value.items()) + f" FROM {src}" for i, x in enumerate(xs))
+
+
+def terms(spark, fit, *stats):
+    rows = [(t, float(b), float(s), *[float(fit.stats[k]) for k in stats]) for t, b, s in zip(fit.terms, fit.coef, fit.se)]
+    return spark.createDataFrame(rows, "term string, coef double, se double" + "".join(f", {k} double" for k in stats))
+
+
+def with_sql(ctes: list[str], main: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\nMAIN " + main
+
+
+P3 = range(len(X))
+E_Y = resid("injured", X, "injured")
+
+
+@query("ols", "term s, coef d, se d, n l", with_sql(
+    [f"d AS MATERIALIZED ({center('@sample', ['injured', *X])})", *solve("d", X, X, ["injured"], "o"),
+     f"e AS (SELECT sum(({E_Y}) ** 2) AS rss FROM d, o)"],
+    table(X, {"coef": [f"b_injured_{i}" for i in P3], "se": [f"sqrt(v_{i}_{i} * rss / (n - {len(X) + 1}))" for i in P3], "n": ["n"] * 3}, "o, e")))
+def q_ols(spark, sf):
+    return terms(spark, L.ols(S.estimation_sample(spark, sf), "injured", X), "n")
+
+
+CL = [f"d AS MATERIALIZED ({center('@sample', ['injured', *X], 'emp')})", *solve("d", X, X, ["injured"], "o"),
+      *meat("d", "o", X, E_Y, "emp", "c")]
+
+
+@query("ols_cluster", "term s, coef d, se d, clusters l", with_sql(
+    CL, table(X, {"coef": [f"b_injured_{i}" for i in P3],
+                  "se": [f"sqrt({sandwich(3, i)} * (n - 1) / (n - {len(X) + 1}) * g / (g - 1))" for i in P3],
+                  "clusters": ["g"] * 3}, "o, c")))
+def q_ols_cluster(spark, sf):
+    return terms(spark, L.ols_cluster(S.estimation_sample(spark, sf), "injured", X, "emp"), "clusters")
+
+
+def factor_sql(factors: list[str], sweeps: int) -> str:
+    last = f"f{sweeps * len(factors)}"
+    levels = " + ".join(f"(SELECT count(DISTINCT {f}) FROM f0)" for f in factors)
+    return with_sql([*demean("@sample", ["injured", *X], factors, sweeps, "f", "emp"), *solve(last, X, X, ["injured"], "o"),
+                     *meat(last, "o", X, E_Y, "emp", "c"), f"l AS (SELECT {levels} - {len(factors) - 1} + {len(X)} AS k)"],
+                    table(X, {"coef": [f"b_injured_{i}" for i in P3],
+                              "se": [f"sqrt({sandwich(3, i)} * (n - 1) / (n - k) * g / (g - 1))" for i in P3]}, "o, c, l"))
+
+
+@query("ols_factor", "term s, coef d, se d", factor_sql(["main_div"], 1))
+def q_ols_factor(spark, sf):
+    return terms(spark, L.ols_cluster(S.estimation_sample(spark, sf), "injured", X, "emp", ["main_div"]))
+
+
+@query("ols_factor_two", "term s, coef d, se d", factor_sql(["main_div", "day"], 12))
+def q_ols_factor_two(spark, sf):
+    """Division and date effects together."""
+    return terms(spark, L.ols_cluster(S.estimation_sample(spark, sf), "injured", X, "emp", ["main_div", "day"]))
+
+
+FE_ROWS = "fe AS (SELECT emp, day, ot_work, bartik_scaled AS x FROM (SELECT *, bartik / (SELECT stddev_samp(bartik) FROM sh) AS bartik_scaled FROM sh))"
+
+
+@query("fe_within", "term s, coef d", "WITH " + SHARES + ",\n" + ",\n".join(
+    [FE_ROWS, *demean("fe", ["ot_work", "x"], ["day", "emp"], 25, "f", "1 AS one")]) +
+    "\nMAIN SELECT 'bartik_scaled' AS term, sum(x * ot_work) / sum(x * x) AS coef FROM f50")
+def q_fe_within(spark, sf):
+    """Overtime on scaled exposure with day and person effects."""
+    fit = L.fe_within(C.shares(spark, sf), "ot_work", "bartik_scaled", ["day", "emp"])
+    return terms(spark, fit)
+
+
+@query("residualize", "emp l, day s, resid d", with_sql(
+    [*demean("@sample", ["others_out", "age", "rate"], ["main_div", "day"], 12, "f", "emp"),
+     *solve("f24", ["age", "rate"], ["age", "rate"], ["others_out"], "o")],
+    f"SELECT emp, day, {resid('others_out', ['age', 'rate'], 'others_out')} AS resid FROM f24, o"))
+def q_residualize(spark, sf):
+    return L.residualize(S.estimation_sample(spark, sf), "others_out", ["age", "rate"], ["main_div", "day"], ["emp", "day"])
+
+
+def iv_sql() -> str:
+    xs, zs = ["worked", *IVX], ["others_out", *IVX]
+    p = len(xs)
+    ctes = [f"d AS MATERIALIZED ({center('@sample', ['injured', *xs, 'others_out'], 'emp')})",
+            *solve("d", zs, xs, ["injured"], "o"), *meat("d", "o", zs, resid("injured", xs, "injured"), "emp", "c"),
+            *solve("d", zs, zs, ["worked"], "f"), *meat("d", "f", zs, resid("worked", zs, "worked"), "emp", "h"),
+            f"r AS (SELECT sum(({resid('worked', zs, 'worked')}) ** 2) AS rss FROM d, f)",
+            *solve("d", IVX, IVX, ["others_out", "worked"], "u"),
+            f"q AS (SELECT emp, ({resid('others_out', IVX, 'others_out')}) * ({resid('worked', IVX, 'worked')}) AS s FROM d, u)",
+            "lm AS (SELECT sum(s) ** 2 / sum(s * s) AS lm FROM (SELECT sum(s) AS s FROM q GROUP BY emp))",
+            f"""fs AS (SELECT f.b_worked_0 ** 2 / (f.v_0_0 * rss / (f.n - {p + 1})) AS cdf,
+                f.b_worked_0 ** 2 / ({sandwich(p, 0).replace('v_', 'f.v_').replace('w_', 'h.w_')} * (f.n - 1) / (f.n - {p + 1}) * h.g / (h.g - 1)) AS rkf
+              FROM f, r, h)"""]
+    return with_sql(ctes, table(xs, {"coef": [f"b_injured_{i}" for i in range(p)],
+                                     "se": [f"sqrt({sandwich(p, i)})" for i in range(p)],
+                                     "cdf": ["cdf"] * p, "rkf": ["rkf"] * p, "lm": ["lm"] * p}, "o, c, fs, lm"))
+
+
+@query("iv_2sls", "term s, coef d, se d, cdf d, rkf d, lm d", iv_sql())
+def q_iv_2sls(spark, sf):
+    fit = L.iv_2sls(S.estimation_sample(spark, sf), "injured", "worked", "others_out", IVX, None, "emp")
+    return terms(spark, fit, "cdf", "rkf", "lm")
+
+
+@query("iv_2sls_factors", "model s, term s, coef d, se d, z d, p d, stars s")
+def q_iv_2sls_factors(spark, sf):
+    """The four control sets side by side."""
+    s = S.estimation_sample(spark, sf)
+    sets = {"none": [], "division": ["main_div"], "division, weekday": ["main_div", "weekday"], "division, date": ["main_div", "day"]}
+    return L.model_table(spark, {n: L.iv_2sls(s, "injured", "worked", "others_out", IVX, f, "emp") for n, f in sets.items()})
+
+
+@query("instrument_relevance", "model s, term s, coef d, se d, z d, p d, stars s")
+def q_instrument_relevance(spark, sf):
+    """First stages with growing controls, and balance of claim cost on the instrument."""
+    s = S.estimation_sample(spark, sf)
+    bars, ctl = ["bar_others_out", "bar_rate", "others_out"], ["age", "rate", "rank_org"]
+    fits = {"relevance 1": L.ols_cluster(s, "worked", bars, "emp"),
+            "relevance 2": L.ols_cluster(s, "worked", bars + ctl, "emp"),
+            "relevance 3": L.ols_cluster(s, "worked", bars + ctl, "emp", ["main_div"]),
+            "relevance 4": L.ols_cluster(s, "worked", bars + ctl, "emp", ["main_div", "weekday"]),
+            "relevance 5": L.ols_cluster(s, "worked", bars + ctl, "emp", ["main_div", "day"])}
+    cost = s.where(F.col("injured") == 1).withColumn("medpd", F.coalesce("medpd", F.lit(0.0)))
+    fits["balance 1"] = L.ols_cluster(cost, "medpd", ["others_out", *ctl], "emp")
+    fits["balance 2"] = L.ols_cluster(cost, "medpd", ["others_out", *ctl], "emp", ["main_div"])
+    return L.model_table(spark, fits)
+
+
+def newton_sql(src: str, y: str, xs: list[str], rounds: int) -> str:
+    """Logit by Newton steps, each an elimination of the weighted normal equations."""
+    one = ["1.0::DOUBLE", *xs]
+    p = len(one)
+    ctes = [f"d AS MATERIALIZED (SELECT {y}::DOUBLE AS y, {', '.join(f'{x}::DOUBLE AS {x}' for x in xs)} FROM {src} WHERE "
+            + " AND ".join(f"{c} IS NOT NULL" for c in [y, *xs]) + ")",
+            "t0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS t{i}" for i in range(p)) + ")"]
+    for r in range(1, rounds + 1):
+        eta = " + ".join(f"t{i} * {x}" for i, x in enumerate(one))
+        ctes.append(f"w{r} AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS k, pr * (1 - pr) AS wt, y - pr AS u FROM "
+                    f"(SELECT d.*, 1 / (1 + exp(-({eta}))) AS pr FROM d, t{r - 1}))")
+        rows = ["k", *xs]
+        ctes.append(f"z{r} AS MATERIALIZED (SELECT {', '.join(f'sum({a} * {b} * wt) AS a_{i}_{j}' for i, a in enumerate(rows) for j, b in enumerate(rows))}, "
+                    f"{', '.join(f'sum({a} * u) AS g_{i}' for i, a in enumerate(rows))} FROM w{r})")
+        cell = {(i, j): f"a_{i}_{j}" for i in range(p) for j in range(p)} | {(i, p): f"g_{i}" for i in range(p)}
+        ctes.append(f"s{r}_0 AS (SELECT {', '.join(f'{v} AS m_{i}_{j}' for (i, j), v in cell.items())} FROM z{r})")
+        for k in range(p):
+            out = [f"m_{k}_{j} / m_{k}_{k} AS m_{k}_{j}" if i == k else f"m_{i}_{j} - m_{i}_{k} * m_{k}_{j} / m_{k}_{k} AS m_{i}_{j}"
+                   for i in range(p) for j in range(p + 1)]
+            ctes.append(f"s{r}_{k + 1} AS MATERIALIZED (SELECT {', '.join(out)} FROM s{r}_{k})")
+        ctes.append(f"t{r} AS MATERIALIZED (SELECT {', '.join(f't{i} + m_{i}_{p} AS t{i}' for i in range(p))} FROM t{r - 1}, s{r}_{p})")
+    out = " UNION ALL ".join(f"SELECT '{n}' AS term, t{i} AS coef FROM t{rounds}" for i, n in enumerate(["_cons", *xs]))
+    return with_sql(ctes, out)
+
+
+@query("logit", "term s, coef d", newton_sql("@sample", "worked", ["others_out", "age"], 8))
+def q_logit(spark, sf):
+    return terms(spark, L.binary_fit(S.estimation_sample(spark, sf), "worked", ["others_out", "age"], "logit"))
+
+
+@query("probit", "term s, effect d")
+def q_probit(spark, sf):
+    """Overtime on scaled exposure and its person mean: average marginal effects."""
+    d = C.shares(spark, sf).where((F.col("leave_hours") == 0) | (F.col("worked_hours") > 0))
+    return L.probit(d, "ot_work", ["bartik_scaled", "share_mean"])[1]
+
+
+@query("logit_fe", "term s, coef d, se d")
+def q_logit_fe(spark, sf):
+    d = C.shares(spark, sf).where((F.col("leave_hours") == 0) | (F.col("worked_hours") > 0))
+    return terms(spark, L.logit_fe(d, "ot_work", ["bartik_scaled", "share_mean"], ["day"]))
+
+
+@query("model_table", "model s, term s, coef d, se d, z d, p d, stars s")
+def q_model_table(spark, sf):
+    s = S.estimation_sample(spark, sf)
+    return L.model_table(spark, {
+        "1": L.ols_cluster(s, "injured", ["worked", "age"], "emp"),
+        "2": L.ols_cluster(s, "injured", ["worked", "age", "rank_org", "rate"], "emp", ["main_div"]),
+        "3": L.ols_cluster(s, "injured", ["worked", "age", "rank_org", "rate"], "emp", ["main_div", "day"])})
