@@ -95,13 +95,18 @@ def norm_inv(p) -> Column:
                   F.when(F.abs(q) <= 0.425, mid).otherwise(F.when(q < 0, -tail).otherwise(tail)))
 
 
-def bvn_cdf(h, k, rho: float) -> Column:
-    """P(X <= h, Y <= k) at one correlation, by Gauss-Legendre over the angle."""
+def bvn_cdf(h, k, rho) -> Column:
+    """P(X <= h, Y <= k) by Gauss-Legendre over the angle; the correlation may be a column."""
     h, k = _c(h), _c(k)
     out = norm_cdf(h) * norm_cdf(k)
-    for w, s in bvn_rule(rho):
-        out = out + F.lit(w) * F.exp(-(h * h + k * k - h * k * F.lit(2 * s))
-                                     / F.lit(2 * (1 - s * s)))
+    if isinstance(rho, Column):
+        x, wt = np.polynomial.legendre.leggauss(BVN_NODES)
+        half = F.asin(rho) / 2
+        rule = [(half * float(wi / (2 * math.pi)), F.sin(half * float(xi + 1))) for xi, wi in zip(x, wt)]
+    else:
+        rule = [(F.lit(w), F.lit(s)) for w, s in bvn_rule(rho)]
+    for w, s in rule:
+        out = out + w * F.exp(-(h * h + k * k - h * k * s * 2) / ((1 - s * s) * 2))
     return out
 
 
