@@ -114,18 +114,21 @@ def topk_per_group_dynamic(df: DataFrame, k: list[str], o: list[str], quota: str
     return row_positions(df, k, o, out).where(F.col(out) <= F.col(quota))
 
 
-def group_positions(df: DataFrame, k: list[str], order: str, tie: str, out: str) -> DataFrame:
+def group_positions(df: DataFrame, k: list[str], order: str, tie: str, out: str,
+                    ranges: Column | None = None) -> DataFrame:
     """1..n inside each group by a numeric order that is nearly unique, such as a draw.
 
     Range cuts as in `running_sums`; equal values are ordered by `tie`. Use
-    `row_positions` where many rows share one value.
+    `row_positions` where many rows share one value. For an order whose law is known, such
+    as a uniform draw, `ranges` can give the range number (rising with the order) without a
+    pass over the data.
     """
-    spread = _with_range(df, order)
-    ranges = spread.groupBy(*k, "_b").agg(F.count("*").alias("_n"))
+    spread = _with_range(df, order) if ranges is None else df.withColumn("_b", ranges)
+    counts = spread.groupBy(*k, "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.select(*k, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = counts.select(*k, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(W.partitionBy(*k, "_b").orderBy(F.col(order).asc_nulls_last(), tie))
-    return (key_join(spread.withColumn("_i", local), ranges, [*k, "_b"])
+    return (key_join(spread.withColumn("_i", local), counts, [*k, "_b"])
             .withColumn(out, (F.col("_i") + F.col("_before")).cast("long"))
             .drop("_b", "_i", "_before"))
 
