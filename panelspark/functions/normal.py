@@ -59,18 +59,40 @@ def _tail_fraction(z):
 
 
 # ---- columns ----------------------------------------------------------------
+# A column given by name becomes one parsed expression, which is much faster to build than
+# a chain of column operations; anything else is built from operations.
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(float(x)))
 
 
+def _poly_text(z: str, coefs) -> str:
+    text = f"{coefs[0]!r}D"
+    for c in coefs[1:]:
+        text = f"({text} * {z} + {c!r}D)"
+    return text
+
+
 def norm_pdf(x) -> Column:
     x = _c(x)
     return F.exp(x * x * F.lit(-0.5)) / F.lit(SQRT_2PI)
 
 
+def _cdf_text(x: str) -> str:
+    z = f"abs({x})"
+    e = f"exp(-0.5D * {x} * {x})"
+    tail = f"({z} + 0.65D)"
+    for k in (4, 3, 2, 1):
+        tail = f"({z} + {k}.0D / {tail})"
+    low = (f"CASE WHEN {z} < {HART_SPLIT}D THEN {e} * {_poly_text(z, HART_NUM)} / {_poly_text(z, HART_DEN)} "
+           f"WHEN {z} <= 37 THEN {e} / {tail} / {SQRT_2PI!r}D ELSE 0.0D END")
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 0 THEN 1 - {low} ELSE {low} END)"
+
+
 def norm_cdf(x) -> Column:
     """Standard normal distribution function, near double precision."""
+    if isinstance(x, str):
+        return F.expr(_cdf_text(f"`{x}`"))
     x = _c(x)
     z = F.abs(x)
     e = F.exp(z * z * F.lit(-0.5))
@@ -80,34 +102,33 @@ def norm_cdf(x) -> Column:
     return F.when(x.isNull(), None).when(x > 0, 1 - lower).otherwise(lower)
 
 
-def norm_inv(p) -> Column:
-    """Standard normal quantile; missing outside (0, 1)."""
-    p = _c(p)
-    q = p - 0.5
-    central = F.lit(0.180625) - q * q
-    r = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p)))
-    up = lambda cs: tuple(reversed(cs))
-    mid = q * horner(central, up(W_A)) / horner(central, up(W_B))
-    near = horner(r - 1.6, up(W_C)) / horner(r - 1.6, up(W_D))
-    far = horner(r - 5.0, up(W_E)) / horner(r - 5.0, up(W_F))
-    tail = F.when(r <= 5, near).otherwise(far)
-    return F.when((p > 0) & (p < 1),
-                  F.when(F.abs(q) <= 0.425, mid).otherwise(F.when(q < 0, -tail).otherwise(tail)))
-
-
-def bvn_cdf(h, k, rho) -> Column:
-    """P(X <= h, Y <= k) by Gauss-Legendre over the angle; the correlation may be a column."""
-    h, k = _c(h), _c(k)
-    out = norm_cdf(h) * norm_cdf(k)
-    if isinstance(rho, Column):
+def norm_inv(p: str) -> Column:
+    """Standard normal quantile of a named column; missing outside (0, 1)."""
+    x = f"`{p}`"
+    q, up = f"({x} - 0.5D)", lambda cs: tuple(reversed(cs))
+    mid = f"(0.180625D - {q} * {q})"
+    r = f"sqrt(-ln(least({x}, 1 - {x})))"
+    near, far = f"({r} - 1.6D)", f"({r} - 5.0D)"
+    ratio = lambda z, n, d: f"{_poly_text(z, up(n))} / {_poly_text(z, up(d))}"
+    tail = f"CASE WHEN {r} <= 5 THEN {ratio(near, W_C, W_D)} ELSE {ratio(far, W_E, W_F)} END"
+    return F.expr(f"CASE WHEN {x} <= 0 OR {x} >= 1 THEN NULL WHEN abs({q}) <= 0.425D THEN {q} * {ratio(mid, W_A, W_B)} "
+                  f"ELSE sign({q}) * {tail} END")
+
+
+def bvn_cdf(h: str, k: str, rho) -> Column:
+    """P(X <= h, Y <= k) of named columns, by Gauss-Legendre over the angle.
+
+    The correlation is a number or a named column.
+    """
+    a, b = f"`{h}`", f"`{k}`"
+    if isinstance(rho, str):
         x, wt = np.polynomial.legendre.leggauss(BVN_NODES)
-        half = F.asin(rho) / 2
-        rule = [(half * float(wi / (2 * math.pi)), F.sin(half * float(xi + 1))) for xi, wi in zip(x, wt)]
+        half = f"asin(`{rho}`) / 2"
+        rule = [(f"{half} * {float(wi / (2 * math.pi))!r}D", f"sin({half} * {float(xi + 1)!r}D)") for xi, wi in zip(x, wt)]
     else:
-        rule = [(F.lit(w), F.lit(s)) for w, s in bvn_rule(rho)]
-    for w, s in rule:
-        out = out + w * F.exp(-(h * h + k * k - h * k * s * 2) / ((1 - s * s) * 2))
-    return out
+        rule = [(f"{w!r}D", f"{s!r}D") for w, s in bvn_rule(rho)]
+    terms = [f"{w} * exp(-({a} * {a} + {b} * {b} - 2 * {a} * {b} * ({s})) / (2 * (1 - ({s}) * ({s}))))" for w, s in rule]
+    return F.expr(f"{_cdf_text(a)} * {_cdf_text(b)} + " + " + ".join(terms))
 
 
 def bvn_rule(rho: float) -> list[tuple[float, float]]:

@@ -34,11 +34,12 @@ class Ctx:
         self.rho = F.tanh(tau) if isinstance(tau, Column) else F.lit(math.tanh(tau))
         self.root = F.sqrt(1 - self.rho * self.rho)
 
-    def let(self, *cols: Column) -> list[Column]:
+    def let(self, *cols: Column) -> list[str]:
+        """Names of new columns that hold the given values."""
         n = len(self.df.columns)
         names = [f"_l{n + i}" for i in range(len(cols))]
         self.df = self.df.withColumns(dict(zip(names, cols)))
-        return [F.col(c) for c in names]
+        return names
 
     def coef(self, eq: str, term: str) -> Column:
         v = self.par.get((eq, term, None), 0.0)
@@ -76,8 +77,8 @@ def slope(expr: Expr, term: str, elasticity: bool = False) -> Expr:
     def run(c: Ctx) -> Column:
         h, vals, xb, zg = 1e-3, [], c.xb, c.zg
         for s in (h, -h, 0.0) if elasticity else (h, -h):
-            c.xb, c.zg = c.let(xb + c.coef(OUT, term) * s, zg + c.coef(SEL, term) * s)
-            vals += c.let(expr(c))
+            c.xb, c.zg = map(F.col, c.let(xb + c.coef(OUT, term) * s, zg + c.coef(SEL, term) * s))
+            vals += map(F.col, c.let(expr(c)))
         c.xb, c.zg = xb, zg
         d = (vals[0] - vals[1]) / (2 * h)
         return F.try_divide(d * F.col(term), vals[2]) if elasticity else d
@@ -248,14 +249,14 @@ def value_expr(wage: str, p: Column | float, m: float = 1.0, nodes=NODES, weight
     """Pay that offsets a small rise p in outcome risk, summed over the resistance nodes."""
     def run(c: Ctx) -> Column:
         rate = c.coef(OUT, wage) - c.rho * c.coef(SEL, wage)
-        root, = c.let(c.root)
+        root = F.col(c.let(c.root)[0])
         shift = p if isinstance(p, Column) else F.lit(float(p))
         a = c.let(*[(c.xb - c.rho * x) / root for x in nodes])
         raised = c.let(*[norm_cdf(v) + shift for v in a])
         gaps = c.let(*[norm_inv(v) for v in raised])
         total = F.lit(0.0)
         for w, v, g in zip(weights, a, gaps):
-            total = total + (v - g) * root * w
+            total = total + (F.col(v) - F.col(g)) * root * w
         return total * (-hours * m / math.pi) / rate
     return run
 

@@ -35,7 +35,8 @@ def running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, Col
 
     Output columns `<name>`, `<name>_run` (up to and including the value, missing last)
     and `<name>_all`. `bounded` says a group has few distinct values (days, hours), so
-    one window per group is enough.
+    one window per group is enough. Otherwise the distinct values are written once, as the
+    cuts, the range totals and the values themselves are read from them.
     """
     hist = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
     order = F.col(value).asc_nulls_last()
@@ -44,7 +45,7 @@ def running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, Col
         run = w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return hist.withColumns({**{f"{n}_run": F.sum(n).over(run) for n in sums},
                                  **{f"{n}_all": F.sum(n).over(w) for n in sums}})
-    hist = _with_range(hist, value)
+    hist = cut_lineage(_with_range(cut_lineage(hist), value))
     w = W.partitionBy(*keys)
     ranges = hist.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     before = w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -114,16 +115,14 @@ def topk_per_group_dynamic(df: DataFrame, k: list[str], o: list[str], quota: str
     return row_positions(df, k, o, out).where(F.col(out) <= F.col(quota))
 
 
-def group_positions(df: DataFrame, k: list[str], order: str, tie: str, out: str,
-                    ranges: Column | None = None) -> DataFrame:
-    """1..n inside each group by a numeric order that is nearly unique, such as a draw.
+def group_positions(df: DataFrame, k: list[str], order: str, tie: str, out: str, ranges: Column) -> DataFrame:
+    """1..n inside each group by a numeric order of known law, such as a draw.
 
-    Range cuts as in `running_sums`; equal values are ordered by `tie`. Use
-    `row_positions` where many rows share one value. For an order whose law is known, such
-    as a uniform draw, `ranges` can give the range number (rising with the order) without a
-    pass over the data.
+    `ranges` is the range number of a row, rising with the order, so no pass over the data
+    is needed to balance the ranges. Equal values are ordered by `tie`. Use `row_positions`
+    for other orders.
     """
-    spread = _with_range(df, order) if ranges is None else df.withColumn("_b", ranges)
+    spread = df.withColumn("_b", ranges)
     counts = spread.groupBy(*k, "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*k).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(*k, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

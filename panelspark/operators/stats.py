@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.missing import m_div
-from panelspark.operators.keys import key_join
+from panelspark.operators.keys import cut_lineage, key_join
 from panelspark.operators.ranks import row_positions, running_sums
 
 SQRT5 = math.sqrt(5)
@@ -18,15 +18,8 @@ def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     return df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
-def percentiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by, variable, p..): percentiles by averaging at exact ranks.
-
-    With n sorted values and P = n*q/100, an integer P averages the P-th and the next
-    value, any other P takes the value at the next whole rank. Each group is reduced to
-    distinct values with running counts, never sorted in one task.
-    """
-    keys = [*(by or []), "variable"]
-    hist = running_sums(_long(df, cols, by or []), keys, "value", {"_n": F.count("*")})
+def _at_percentiles(hist: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
+    """Percentiles from distinct values with running counts `_n`, `_n_run`, `_n_all`."""
     low = F.col("_n_run") - F.col("_n")
     aggs = []
     for q in qs:
@@ -34,11 +27,23 @@ def percentiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] |
         whole = p == F.floor(p)
         lo_rank = F.greatest(F.ceil(p), F.lit(1))
         hi_rank = F.least(F.when(whole, p + 1).otherwise(lo_rank), F.col("_n_all"))
-        at = lambda r: F.max(F.when((low < r) & (F.col("_n_run") >= r), F.col("value")))
+        at = lambda r: F.max(F.when((low < r) & (F.col("_n_run") >= r), F.col(value)))
         aggs.append(((at(lo_rank) + at(hi_rank)) / 2).alias(f"p{q:g}"))
     return hist.groupBy(*keys).agg(*aggs)
 
 
+def percentiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, variable, p..): percentiles by averaging at exact ranks.
+
+    With n sorted values and P = n*q/100, an integer P averages the P-th and the next
+    value, any other P takes the value at the next whole rank. Each group is reduced to
+    distinct values with running counts, never sorted in one task.
+    """
+    keys = [*(by or []), "variable"]
+    hist = running_sums(_long(df, cols, by or []), keys, "value", {"_n": F.count("*")})
+    return _at_percentiles(hist, keys, "value", qs)
+
+
 def tabstat(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None) -> DataFrame:
     """Count, mean, sd and percentiles, one row per variable (and group)."""
     keys = [*(by or []), "variable"]
@@ -89,11 +94,11 @@ def quantile_bins(df: DataFrame, y: str, x: str, n: int) -> DataFrame:
     counts of x's distinct values and needs no join of rows to cuts.
     """
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    hist = running_sums(d.withColumn("_x", F.col(x).cast("double")), [], "_x",
-                        {"_n": F.count("*"), "_sy": F.sum(F.col(y).cast("double"))})
-    cuts = percentiles(d.withColumn("_q", F.col(x)), ["_q"], [100 * i / n for i in range(1, n)])
-    arr = cuts.agg(F.max(F.array_distinct(F.array(*[f"p{100 * i / n:g}" for i in range(1, n)])))).scalar()
-    bins = (hist.withColumn("_cuts", arr)
+    hist = cut_lineage(running_sums(d.withColumn("_x", F.col(x).cast("double")), [], "_x",
+                                    {"_n": F.count("*"), "_sy": F.sum(F.col(y).cast("double"))}))
+    qs = [100 * i / n for i in range(1, n)]
+    cuts = _at_percentiles(hist, [], "_x", qs).select(F.array_distinct(F.array(*[f"`p{q:g}`" for q in qs]))).scalar()
+    bins = (hist.withColumn("_cuts", cuts)
             .withColumn("bin", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_x"))), F.lit(0)) + 1))
     return bins.groupBy("bin").agg(
         F.sum("_n").alias("n"), m_div(F.sum(F.col("_x") * F.col("_n")), F.sum("_n")).alias("mean_x"),
