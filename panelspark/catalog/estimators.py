@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog.network import SHARES
 from panelspark.catalog.registry import query
+from panelspark.catalog.scalars import cdf_text
 from panelspark.operators import linear as L
 from panelspark.plans import network as C, sample as S
 
@@ -145,30 +146,54 @@ def q_residualize(spark, sf):
     return L.residualize(S.estimation_sample(spark, sf), "others_out", ["age", "rate"], ["main_div", "day"], ["emp", "day"])
 
 
-def iv_sql() -> str:
+def iv_sql(factors: list[str], sweeps: int = 1) -> str:
     xs, zs = ["worked", *IVX], ["others_out", *IVX]
-    p = len(xs)
-    ctes = [f"d AS MATERIALIZED ({center('@sample', ['injured', *xs, 'others_out'], 'emp')})",
+    p, cols = len(xs), ["injured", *xs, "others_out"]
+    if factors:
+        last = f"d{sweeps * len(factors)}"
+        head = [*demean("@sample", cols, factors, sweeps, "d", "emp"), f"d AS (SELECT * FROM {last})"]
+        k = " + ".join(f"(SELECT count(DISTINCT {f}) FROM d0)" for f in factors) + f" - {len(factors) - 1} + {p}"
+    else:
+        head, k = [f"d AS MATERIALIZED ({center('@sample', cols, 'emp')})"], str(p + 1)
+    ctes = [*head, f"dim AS (SELECT {k} AS k)",
             *solve("d", zs, xs, ["injured"], "o"), *meat("d", "o", zs, resid("injured", xs, "injured"), "emp", "c"),
             *solve("d", zs, zs, ["worked"], "f"), *meat("d", "f", zs, resid("worked", zs, "worked"), "emp", "h"),
             f"r AS (SELECT sum(({resid('worked', zs, 'worked')}) ** 2) AS rss FROM d, f)",
             *solve("d", IVX, IVX, ["others_out", "worked"], "u"),
             f"q AS (SELECT emp, ({resid('others_out', IVX, 'others_out')}) * ({resid('worked', IVX, 'worked')}) AS s FROM d, u)",
             "lm AS (SELECT sum(s) ** 2 / sum(s * s) AS lm FROM (SELECT sum(s) AS s FROM q GROUP BY emp))",
-            f"""fs AS (SELECT f.b_worked_0 ** 2 / (f.v_0_0 * rss / (f.n - {p + 1})) AS cdf,
-                f.b_worked_0 ** 2 / ({sandwich(p, 0).replace('v_', 'f.v_').replace('w_', 'h.w_')} * (f.n - 1) / (f.n - {p + 1}) * h.g / (h.g - 1)) AS rkf
-              FROM f, r, h)"""]
+            f"""fs AS (SELECT f.b_worked_0 ** 2 / (f.v_0_0 * rss / (f.n - k)) AS cdf,
+                f.b_worked_0 ** 2 / ({sandwich(p, 0).replace('v_', 'f.v_').replace('w_', 'h.w_')} * (f.n - 1) / (f.n - k) * h.g / (h.g - 1)) AS rkf
+              FROM f, r, h, dim)"""]
     return with_sql(ctes, table(xs, {"coef": [f"b_injured_{i}" for i in range(p)],
                                      "se": [f"sqrt({sandwich(p, i)})" for i in range(p)],
                                      "cdf": ["cdf"] * p, "rkf": ["rkf"] * p, "lm": ["lm"] * p}, "o, c, fs, lm"))
 
 
-@query("iv_2sls", "term s, coef d, se d, cdf d, rkf d, lm d", iv_sql())
-def q_iv_2sls(spark, sf):
-    fit = L.iv_2sls(S.estimation_sample(spark, sf), "injured", "worked", "others_out", IVX, None, "emp")
+IV_OUT = "term s, coef d, se d, cdf d, rkf d, lm d"
+
+
+def q_iv(spark, sf, factors):
+    fit = L.iv_2sls(S.estimation_sample(spark, sf), "injured", "worked", "others_out", IVX, factors, "emp")
     return terms(spark, fit, "cdf", "rkf", "lm")
 
 
+@query("iv_2sls", IV_OUT, iv_sql([]))
+def q_iv_2sls(spark, sf):
+    return q_iv(spark, sf, [])
+
+
+@query("iv_2sls_division", IV_OUT, iv_sql(["main_div"]))
+def q_iv_2sls_division(spark, sf):
+    return q_iv(spark, sf, ["main_div"])
+
+
+@query("iv_2sls_date", IV_OUT, iv_sql(["main_div", "day"], 12))
+def q_iv_2sls_date(spark, sf):
+    """Division and date effects partialled out."""
+    return q_iv(spark, sf, ["main_div", "day"])
+
+
 @query("iv_2sls_factors", "model s, term s, coef d, se d, z d, p d, stars s")
 def q_iv_2sls_factors(spark, sf):
     """The four control sets side by side."""
@@ -193,18 +218,18 @@ def q_instrument_relevance(spark, sf):
     return L.model_table(spark, fits)
 
 
-def newton_sql(src: str, y: str, xs: list[str], rounds: int) -> str:
-    """Logit by Newton steps, each an elimination of the weighted normal equations."""
-    one = ["1.0::DOUBLE", *xs]
-    p = len(one)
-    ctes = [f"d AS MATERIALIZED (SELECT {y}::DOUBLE AS y, {', '.join(f'{x}::DOUBLE AS {x}' for x in xs)} FROM {src} WHERE "
+def newton_sql(src: str, y: str, xs: list[str], rounds: int, link: str = "logit") -> list[str]:
+    """Scoring steps, each an elimination of the weighted normal equations; ends in t<rounds>."""
+    p, rows = len(xs) + 1, ["k", *xs]
+    ctes = [f"d AS MATERIALIZED (SELECT {y}::DOUBLE AS y, 1.0::DOUBLE AS k, {', '.join(f'{x}::DOUBLE AS {x}' for x in xs)} FROM {src} WHERE "
             + " AND ".join(f"{c} IS NOT NULL" for c in [y, *xs]) + ")",
             "t0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS t{i}" for i in range(p)) + ")"]
+    mean = "1 / (1 + exp(-eta))" if link == "logit" else cdf_text("eta")
+    dens = "pr * (1 - pr)" if link == "logit" else "exp(-eta * eta / 2) / sqrt(2 * pi())"
     for r in range(1, rounds + 1):
-        eta = " + ".join(f"t{i} * {x}" for i, x in enumerate(one))
-        ctes.append(f"w{r} AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS k, pr * (1 - pr) AS wt, y - pr AS u FROM "
-                    f"(SELECT d.*, 1 / (1 + exp(-({eta}))) AS pr FROM d, t{r - 1}))")
-        rows = ["k", *xs]
+        eta = " + ".join(f"t{i} * {x}" for i, x in enumerate(rows))
+        ctes.append(f"w{r} AS MATERIALIZED (SELECT *, dens * dens / (pr * (1 - pr)) AS wt, dens * (y - pr) / (pr * (1 - pr)) AS u FROM "
+                    f"(SELECT *, {dens} AS dens FROM (SELECT *, {mean} AS pr FROM (SELECT d.*, {eta} AS eta FROM d, t{r - 1}))))")
         ctes.append(f"z{r} AS MATERIALIZED (SELECT {', '.join(f'sum({a} * {b} * wt) AS a_{i}_{j}' for i, a in enumerate(rows) for j, b in enumerate(rows))}, "
                     f"{', '.join(f'sum({a} * u) AS g_{i}' for i, a in enumerate(rows))} FROM w{r})")
         cell = {(i, j): f"a_{i}_{j}" for i in range(p) for j in range(p)} | {(i, p): f"g_{i}" for i in range(p)}
@@ -214,16 +239,24 @@ def newton_sql(src: str, y: str, xs: list[str], rounds: int) -> str:
                    for i in range(p) for j in range(p + 1)]
             ctes.append(f"s{r}_{k + 1} AS MATERIALIZED (SELECT {', '.join(out)} FROM s{r}_{k})")
         ctes.append(f"t{r} AS MATERIALIZED (SELECT {', '.join(f't{i} + m_{i}_{p} AS t{i}' for i in range(p))} FROM t{r - 1}, s{r}_{p})")
-    out = " UNION ALL ".join(f"SELECT '{n}' AS term, t{i} AS coef FROM t{rounds}" for i, n in enumerate(["_cons", *xs]))
-    return with_sql(ctes, out)
+    return ctes
 
 
-@query("logit", "term s, coef d", newton_sql("@sample", "worked", ["others_out", "age"], 8))
+@query("logit", "term s, coef d", with_sql(newton_sql("@sample", "worked", ["others_out", "age"], 8), " UNION ALL ".join(
+    f"SELECT '{n}' AS term, t{i} AS coef FROM t8" for i, n in enumerate(["_cons", "others_out", "age"]))))
 def q_logit(spark, sf):
     return terms(spark, L.binary_fit(S.estimation_sample(spark, sf), "worked", ["others_out", "age"], "logit"))
 
 
-@query("probit", "term s, effect d")
+PROBIT_SRC = """pb AS MATERIALIZED (SELECT * FROM (SELECT *, bartik / (SELECT stddev_samp(bartik) FROM sh) AS bartik_scaled,
+        avg(share_z) OVER (PARTITION BY emp) AS share_mean FROM sh) s JOIN (SELECT emp, day, worked_hours FROM @panel) USING (emp, day)
+        WHERE leave_hours = 0 OR worked_hours > 0)"""
+
+
+@query("probit", "term s, effect d", "WITH " + SHARES + ",\n" + ",\n".join(
+    [PROBIT_SRC, *newton_sql("pb", "ot_work", ["bartik_scaled", "share_mean"], 9, "probit"),
+     "e AS (SELECT avg(exp(-eta * eta / 2) / sqrt(2 * pi())) AS dens FROM (SELECT t0 * k + t1 * bartik_scaled + t2 * share_mean AS eta FROM d, t9))"])
+    + "\nMAIN SELECT 'bartik_scaled' AS term, t1 * dens AS effect FROM t9, e UNION ALL SELECT 'share_mean', t2 * dens FROM t9, e")
 def q_probit(spark, sf):
     """Overtime on scaled exposure and its person mean: average marginal effects."""
     d = C.shares(spark, sf).where((F.col("leave_hours") == 0) | (F.col("worked_hours") > 0))

@@ -15,7 +15,7 @@ from panelspark.catalog.stats import kde_sql, pct_sql, ranked_long
 from panelspark.functions.normal import W_A, W_B, W_C, W_D, W_E, W_F, bvn_rule, np_inv
 from panelspark.operators import allocate as A, effects as E, linear as L, stats as T
 from panelspark.operators.keys import cut_lineage
-from panelspark.operators.selection import OUT, SEL, Model, index_columns, selection_predict, selection_probit
+from panelspark.operators.selection import OUT, SEL, Model, index_columns, selection_loglik, selection_predict, selection_probit
 from panelspark.plans import inputs as I, sample as S
 
 RHO = -0.6
@@ -66,6 +66,14 @@ def q_selection_predict(spark, sf):
     return selection_predict(rows(spark, sf), demo(), ["xb", "xbsel", "psel", "pmargin", "pcond"])
 
 
+@query("selection_loglik", "loglik d, n l, n_selected l", with_sql(
+    [*BASE, "t AS (SELECT worked, injured, xb, zg, -xb AS mxb, -zg AS mzg FROM m)"],
+    f"SELECT sum(ln(CASE WHEN worked = 0 THEN {cdf_text('mzg')} WHEN injured = 1 THEN {bvn_text('xb', 'zg', RHO)} "
+    f"ELSE {bvn_text('mxb', 'zg', -RHO)} END)) AS loglik, count(*) AS n, sum(worked) AS n_selected FROM t"))
+def q_selection_loglik(spark, sf):
+    return selection_loglik(rows(spark, sf), demo(), "injured", "worked")
+
+
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 
 

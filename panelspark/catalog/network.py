@@ -104,7 +104,14 @@ def q_threshold_edges(spark, sf):
     return N.threshold_edges(C.edges(spark, sf), C.weights(spark, sf), 0.95)[1]
 
 
-@query("threshold_edges_kept", "day s, cls_a s, cls_b s, w d, n_pairs l")
+@query("threshold_edges_kept", "day s, cls_a s, cls_b s, w d, n_pairs l", f"""
+    WITH {CLASSES}, n AS (SELECT DISTINCT day, emp FROM @contacts),
+    p AS (SELECT a.day, a.emp AS i, b.emp AS j, coalesce(round(p.w, 12), 0) AS w FROM n a JOIN n b ON a.day = b.day AND a.emp < b.emp
+          LEFT JOIN @pairs p ON p.day = a.day AND p.i = a.emp AND p.j = b.emp),
+    c AS (SELECT day, quantile_cont(w, 0.95) AS cutoff FROM p GROUP BY day)
+MAIN SELECT p.day, least(a.cls, b.cls) AS cls_a, greatest(a.cls, b.cls) AS cls_b, max(w) AS w, count(*) AS n_pairs
+    FROM p JOIN c ON p.day = c.day AND p.w >= cutoff JOIN cls a ON a.day = p.day AND a.emp = p.i JOIN cls b ON b.day = p.day AND b.emp = p.j
+    WHERE w > 0 GROUP BY ALL""")
 def q_threshold_edges_kept(spark, sf):
     return N.threshold_edges(C.edges(spark, sf), C.weights(spark, sf), 0.95)[0]
 

@@ -78,6 +78,14 @@ def selection_predict(df: DataFrame, model: Model, kinds: list[str]) -> DataFram
     return d.withColumns({k: put[k] for k in kinds}).drop("_xb", "_zg")
 
 
+def selection_loglik(df: DataFrame, model: Model, y: str, select: str) -> DataFrame:
+    """(loglik, n, n_selected) of a model on rows, by column expressions."""
+    d = index_columns(df, model, "_xb", "_zg").withColumns({"_mxb": -F.col("_xb"), "_mzg": -F.col("_zg")})
+    d = d.withColumn("_p", F.when(F.col(select) == 0, norm_cdf("_mzg"))
+                     .when(F.col(y) == 1, bvn_cdf("_xb", "_zg", model.rho)).otherwise(bvn_cdf("_mxb", "_zg", -model.rho)))
+    return d.agg(F.sum(F.log("_p")).alias("loglik"), F.count("*").alias("n"), F.sum(select).cast("long").alias("n_selected"))
+
+
 # ---- likelihood inside tasks --------------------------------------------------
 
 def _pieces(xb, zg, y, s, tau, second: bool):

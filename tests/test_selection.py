@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.normal import np_bvn, np_cdf
 from panelspark.operators import effects as E
-from panelspark.operators.selection import OUT, SEL, _pieces, selection_predict, selection_probit
+from panelspark.operators.selection import OUT, SEL, Model, _pieces, selection_loglik, selection_predict, selection_probit
 
 
 def test_derivatives_match_differences():
@@ -65,6 +65,17 @@ def test_recovery(fitted):
     assert lo < m.rho < hi
 
 
+def test_task_likelihood_equals_column_likelihood(fitted):
+    _, df, m = fitted
+    r = selection_loglik(df, m, "inj", "work").first()
+    assert r["loglik"] == pytest.approx(m.stats["loglik"], rel=1e-10)
+    # a maximum: moving any dense coefficient lowers it
+    for k in [(OUT, "x", None), (SEL, "z", None)]:
+        for s in (-1e-2, 1e-2):
+            n = Model(m.x, m.z, m.levels, {**m.coef, k: m.coef[k] + s}, m.athrho)
+            assert selection_loglik(df, n, "inj", "work").first()["loglik"] < r["loglik"]
+
+
 def test_invariant_to_partitions(spark, fitted):
     pdf, _, m = fitted
     again = selection_probit(spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(37), "inj", ["x", "w"], "work",
