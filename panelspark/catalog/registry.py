@@ -11,19 +11,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 def parse_out(out: str) -> list[tuple[str, str]]:
-    """'emp l, day s, share d' -> [(name, kind)]: long, string, or double rounded to 6 digits."""
+    """'emp l, day s, share d' -> [(name, kind)]: long, string, or double rounded to 6 digits.
+
+    The rounding to 10 digits before it removes noise around exact halves.
+    """
     return [tuple(part.split()) for part in out.split(",")]
 
 
 def tidy(df: DataFrame, out: str) -> DataFrame:
     put = {"l": lambda c: c.cast("bigint"), "s": lambda c: c.cast("string"),
-           "d": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0)}
+           "d": lambda c: F.round(F.round(c.cast("double"), 10), 6) + F.lit(0.0)}
     return df.select(*[put[k](F.col(n)).alias(n) for n, k in parse_out(out)])
 
 
 def tidy_sql(sql: str, out: str) -> str:
     put = {"l": "CAST({0} AS BIGINT)", "s": "CAST({0} AS VARCHAR)",
-           "d": "round(CAST({0} AS DOUBLE), 6) + 0.0::DOUBLE"}
+           "d": "round(round(CAST({0} AS DOUBLE), 10), 6) + 0.0::DOUBLE"}
     cols = ", ".join(put[k].format(f'"{n}"') + f' AS "{n}"' for n, k in parse_out(out))
     if sql.lstrip().upper().startswith("WITH "):
         head, body = sql.rsplit("\nMAIN ", 1)
