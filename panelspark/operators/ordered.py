@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.dates import day_number, years_between
-from panelspark.functions.missing import flag, is_true, m_ge, m_ne
+from panelspark.functions.missing import flag, is_true, m_ne
 from panelspark.operators.keys import attach, key_join
 
 
@@ -23,8 +23,9 @@ def upto(k: list[str], o: list[str]):
     return by_order(k, o).rowsBetween(W.unboundedPreceding, 0)
 
 
-def onward(k: list[str], o: list[str]):
-    return by_order(k, o).rowsBetween(0, W.unboundedFollowing)
+def backward(k: list[str], o: list[str]):
+    """From the last row to this one, read backward: a running frame, linear in the rows."""
+    return W.partitionBy(*k).orderBy(*[F.col(c).desc_nulls_first() for c in o]).rowsBetween(W.unboundedPreceding, 0)
 
 
 def lag_lead(df: DataFrame, k: list[str], o: list[str], col: str, n: int, out: str) -> DataFrame:
@@ -47,17 +48,17 @@ def ffill(df: DataFrame, k: list[str], o: list[str], cols: list[str]) -> DataFra
 
 
 def bfill(df: DataFrame, k: list[str], o: list[str], cols: list[str]) -> DataFrame:
-    w = onward(k, o)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in cols})
+    w = backward(k, o)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
 def fill_cascade(df: DataFrame, k: list[str], o: list[str], col: str, alt: Column) -> DataFrame:
     """Carry forward, then take `alt`, carry that forward, then carry backward."""
-    fwd, back = upto(k, o), onward(k, o)
+    fwd, back = upto(k, o), backward(k, o)
     one = F.last(col, ignorenulls=True).over(fwd)
     return (df.withColumn(col, F.coalesce(one, alt))
             .withColumn(col, F.last(col, ignorenulls=True).over(fwd))
-            .withColumn(col, F.first(col, ignorenulls=True).over(back)))
+            .withColumn(col, F.last(col, ignorenulls=True).over(back)))
 
 
 def cumsum(df: DataFrame, k: list[str], o: list[str], cols: dict[str, str]) -> DataFrame:
@@ -130,17 +131,18 @@ def first_n_after_event(df: DataFrame, k: list[str], day: str, event: str, work:
     The event day counts as the first worked day. Before any event only the entity's
     first day is dropped. Rows that never reach the n-th worked day are dropped.
     """
-    spell = [*k, "_last"]
-    d = last_event_date(df, k, day, F.col(event) == 1, "_last")
-    nth = F.row_number().over(by_order([*spell, work], [day])) == n
-    back = F.when(nth & (F.col(work) == 1), F.col(day))
-    d = d.withColumn("_back", back)
-    start = F.min(day).over(W.partitionBy(*spell))
-    d = d.withColumn("_back", F.when(F.col("_last").isNull(), start).otherwise(F.col("_back")))
-    d = d.withColumn("_back", F.last("_back", ignorenulls=True).over(upto(spell, [day])))
-    is_event = is_true(F.col(event) == 1)
-    keep = is_event | (m_ge(F.col(day), F.col("_back")) & m_ne(F.col(day), F.col("_back")))
-    return d.where(keep).drop("_last", "_back")
+    w = upto(k, [day])
+    hit, works = is_true(F.col(event) == 1), flag(F.col(work) == 1)
+    d = df.withColumns({"_last": F.last(F.when(hit, F.col(day)), ignorenulls=True).over(w),
+                        "_count": F.sum(works).over(w)})
+    # worked days up to this row, less those before the event's own row
+    before = F.last(F.when(hit, F.col("_count") - works), ignorenulls=True).over(w)
+    d = d.withColumn("_at", F.when((works == 1) & (F.col("_count") - before == n), F.col(day)))
+    d = d.withColumns({"_back": F.last("_at", ignorenulls=True).over(w), "_start": F.min(day).over(W.partitionBy(*k))})
+    # a return day of an earlier spell lies before the last event
+    after = (F.col("_back") >= F.col("_last")) & (F.col(day) > F.col("_back"))
+    keep = hit | is_true(F.when(F.col("_last").isNull(), F.col(day) > F.col("_start")).otherwise(after))
+    return d.where(keep).drop("_last", "_count", "_at", "_back", "_start")
 
 
 def shift_event_to_prior_day(df: DataFrame, k: list[str], day: str, event: str, worked: Column,

@@ -16,6 +16,9 @@ from panelspark.operators.reshape import daily_slots, panel_fill, panel_skeleton
 from panelspark.plans import inputs as I
 
 NOT_LEAVE = "not leave"
+# division slots and running totals of the panel, not needed past the main division
+SLOT_COLUMNS = ["div2", "leave_1", "leave_2", "sick_1", "sick_2", "n_slots", "hours_zeroed", "iod", "seen",
+                "cum_worked", "cum_std", "cum_ot"]
 MEASURES = ["worked_hours", "leave_hours", "sick_hours", "std_hours", "ot_hours"]
 
 
@@ -101,7 +104,7 @@ def leave_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The panel with coworkers' leave, seniority ranks and ranks of those on leave."""
     p = panel(spark, sf).join(main_division(spark, sf), ["emp", "day"], "left")
     only = F.when(F.col("div2").isNull(), F.col("div1"))
-    p = fill_cascade(p, ["emp"], ["day"], "main_div", only).where(F.col("main_div").isNotNull())
+    p = fill_cascade(p, ["emp"], ["day"], "main_div", only).where(F.col("main_div").isNotNull()).drop(*SLOT_COLUMNS)
     on_leave = F.col("leave_hours") > 0
     idle = F.col("worked_hours") == 0
     p = p.withColumns({

@@ -16,14 +16,18 @@ from panelspark.plans import inputs as I
 from panelspark.plans.panel import leave_panel
 
 E, D = ["emp"], ["day"]
+# what the models and tables of the sample use, besides the keys; other columns join back by key
+USED = ["main_div", "worked_hours", "leave_hours", "ot_hours", "std_hours", "work_pay", "ot_pay", "rate", "injured", "medpd",
+        "nature", "job_class", "is_holiday", "rain", "week_ix", "others_leave", "others_leave_nosick", "others_out",
+        "others_leave_hours", "others_leave_share", "rank_org", "tenure"]
 
 
 @I.stage
 def shifted(spark: SparkSession, sf: str) -> DataFrame:
     """Window, part-timer removal, and injuries moved to worked days."""
-    s = date_window(leave_panel(spark, sf), "day", I.SAMPLE_LO, I.SAMPLE_HI)
+    s = date_window(leave_panel(spark, sf).select(*E, *D, *USED), "day", I.SAMPLE_LO, I.SAMPLE_HI)
     s = drop_entity_if_any(s, E, F.col("job_class") == I.PART_TIME)
-    s = shift_event_to_prior_day(cut_lineage(s), E, "day", "injured", F.col("worked_hours") > 0, ["medpd", "nature"])
+    s = shift_event_to_prior_day(s, E, "day", "injured", F.col("worked_hours") > 0, ["medpd", "nature"])
     return s.withColumn("worked", flag((F.col("worked_hours") > 0) | (F.col("injured") == 1)))
 
 
