@@ -74,12 +74,11 @@ class Words:
     `first[d]:first[d + 1]` are the words of text d.
     """
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, blank: np.ndarray = IS_BLANK):
         parts = [("" if t is None else t.lower() if lower else t).encode("utf-8", "surrogatepass") for t in texts]
         self.raw = b"\n".join(parts) + b"\n"
         self.buf = np.frombuffer(self.raw, np.uint8)
-        blank = IS_BLANK[self.buf]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank[self.buf]))))
         self.start, self.end = edge[0::2], edge[1::2]
         offsets = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))).astype(np.int64)
         self.first = np.searchsorted(self.start, offsets)

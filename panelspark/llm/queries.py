@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decision_list, hash_shards, url_rules
+from panelspark.llm import (bayes_jaccard, cgk_decontam, crf_pii, decision_list, hash_shards, html_consensus, repair_tokens,
+                            shared_viterbi, substring_dedup, url_rules)
 from panelspark.llm.common import read
+from panelspark.operators.keys import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +22,50 @@ def query(fn):
     return fn
 
 
+# ---- op1: personal data
+
+@query
+def op1_crf_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    field = crf_pii.train(crf_pii.training_runs(docs, "doc_id", "text"))
+    return crf_pii.pii_spans(docs, field)
+
+
+# ---- op2: n-gram Jaccard join
+
+@query
+def op2_bayes_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return bayes_jaccard.jaccard_classes(read(spark, sf, "documents"))
+
+
+# ---- op3: substring dedup
+
+@query
+def op3_count_min_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf, "documents"))
+
+
+SQL["op3_count_min_dedup"] = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, i, array_to_string(w[i:i+34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+     r AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
+     g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM s JOIN r USING (win)),
+     k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) FILTER (NOT hit) AS kept, count(*) FILTER (hit) AS n_removed
+           FROM (SELECT e.*, g.i IS NOT NULL AS hit
+                 FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) e LEFT JOIN g USING (doc_id, i)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
+# ---- op4: token ids in binary shards
+
+@query
+def op4_repair_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    repair_tokens.write_tokens(read(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return repair_tokens.read_tokens(spark, path)
+
+
 # ---- op5: quality rules
 
 @query
@@ -30,6 +78,13 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("_rule").alias("rule"))
 
 
+# ---- op6: HTML extraction
+
+@query
+def op6_html_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return html_consensus.main_text(read(spark, sf, "pages"))
+
+
 # ---- op7: URL filters
 
 HOST_RULES = [url_rules.HostRule("block", "net", "/"), url_rules.HostRule("allow", "example.net", "/en/"),
@@ -70,6 +125,20 @@ SELECT page_id, host, path, rule, pattern,
 FROM b"""
 
 
+# ---- op8: benchmark decontamination
+
+@query
+def op8_cgk_decontam(spark: SparkSession, sf: str) -> DataFrame:
+    return cgk_decontam.contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+# ---- op9: SentencePiece encoding and decoding
+
+@query
+def op9_shared_viterbi(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_viterbi.encode_decode(read(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 # ---- op10: sharding; a small limit, so that the test tables have many shards
 
 SHARD_BYTES = 1 << 20
