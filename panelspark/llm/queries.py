@@ -46,7 +46,7 @@ def op3_count_min_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["op3_count_min_dedup"] = """
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
      s AS (SELECT doc_id, i, array_to_string(w[i:i+34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
      r AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
      g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM s JOIN r USING (win)),

@@ -5,12 +5,15 @@
    stand-ins as windows go on.
 2. Stand-ins are dealt by hash block. Each partition makes a count-min sketch of its part of a block; the sketches
    of a block are added up. The merged estimate is never below the true count.
-3. Only windows whose stand-in is estimated at two or more are grouped exactly, by a 128-bit hash of their words.
-   Estimates are never too low, so no repeated window is lost; a chance collision only costs a row.
+3. Only windows whose stand-in is estimated at two or more are grouped exactly, by a 96-bit hash of their words.
+   Estimates are never too low, so no repeated window is lost; a chance collision only costs a row. Repeats within
+   a batch are settled there; of a window found so one row goes on, to meet the same window elsewhere, so a hot
+   window has at most a row per batch.
 4. All words of a window found twice are removed.
 
 A block holds about `BLOCK` stand-ins at every input size (the number of blocks follows the bytes of text), hot
-blocks are split by adaptive rebalancing, and sketches join their block's rows; nothing is broadcast.
+blocks are split by adaptive rebalancing, and sketches join their block's rows. A bit map of fixed size thins out the
+texts before they are dealt, compressed; where it fills up it lets more pass and nothing is lost.
 
 Cases: a null or empty text has no words; a text shorter than the window keeps all words; rows that are equal in
 id and text are each other's copies and both lose their windows; an empty table gives no rows. Only the id and
@@ -25,9 +28,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import Rolling, Words, row_key, slices
+from panelspark.llm.common import Rolling, Words, mix, row_key, slices
 from panelspark.operators.keys import cut_lineage
 
 WINDOW, GRAM = 35, 16
@@ -35,6 +39,7 @@ BLOCK = 1 << 13          # stand-ins per block, on average
 WIDTH = 1 << 15          # counters per sketch row and block
 DEPTH = 2
 DENSE = 4096             # most stand-ins in one row
+FILTER_BITS = 1 << 26    # of the bit map that thins out texts: 8 MB
 A, B, C = Rolling(11), Rolling(12), Rolling(13)
 
 
@@ -57,8 +62,13 @@ def stand_ins(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return at, (low[at] & np.uint64((1 << 24) - 1)).astype(np.int64), grams
 
 
+def short(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, 32 bits within the block) of stand-ins; two that share both only make more candidates."""
+    return ((hashes >> np.uint64(34)) % np.uint64(blocks)).astype(np.int64), (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def cells(values: np.ndarray, row: int) -> np.ndarray:
-    return ((values >> np.uint64(17 * row)) & np.uint64(WIDTH - 1)).astype(np.int64)
+    return ((values >> np.uint32(17 * row)) & np.uint32(WIDTH - 1)).astype(np.int64)
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
@@ -75,11 +85,15 @@ def repeated(values: np.ndarray, bits: bytes) -> np.ndarray:
     return out
 
 
+def _lists(cut: np.ndarray, x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.view(np.int32)))
+
+
 def _emit(blocks: int, window: int, gram: int):
     """Rows (block, values, keys) of one batch, a row per block that it has stand-ins in."""
     def run(batches):
         for b in batches:
-            keys = b.column("_k1").to_numpy(zero_copy_only=False)
+            keys = b.column("_k2").to_numpy(zero_copy_only=False)
             texts = b.column("_text").to_pylist()
             values, owner = [], []
             for i, j in slices(texts):
@@ -91,13 +105,11 @@ def _emit(blocks: int, window: int, gram: int):
                     owner.append(keys[i + w.doc_of(at[new])])
             if not values:
                 continue
-            values, owner = np.concatenate(values), np.concatenate(owner)
-            block = ((values >> np.uint64(34)) % np.uint64(blocks)).astype(np.int64)
+            (block, values), owner = short(np.concatenate(values), blocks), np.concatenate(owner)
             order = np.argsort(block, kind="stable")
             block, values, owner = block[order], values[order], owner[order]
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)])).astype(np.int32)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), lists(values), lists(owner)], names=["block", "vals", "keys"])
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+            yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), _lists(cut, values), _lists(cut, owner)], names=["block", "vals", "keys"])
     return run
 
 
@@ -108,16 +120,16 @@ def _densify(batches):
     def flush():
         if held["n"]:
             v, k = np.concatenate(held["v"]), np.concatenate(held["k"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([held["block"]], pa.int64()), pa.array([v.view(np.int64)], pa.list_(pa.int64())), pa.array([k], pa.list_(pa.int64())),
-                 pa.array([np.packbits(np.stack([s == x for x in (1, 2) for s in [sketch(v)]]).astype(np.uint8)).tobytes()], pa.binary())],
-                names=["block", "vals", "keys", "counts"])
+            s, cut = sketch(v), np.array([0, len(v)])
+            yield pa.RecordBatch.from_arrays([pa.array([held["block"]], pa.int64()), _lists(cut, v), _lists(cut, k),
+                                              pa.array([np.packbits(np.stack([s == 1, s == 2])).tobytes()], pa.binary())],
+                                             names=["block", "vals", "keys", "counts"])
         held.update(v=[], k=[], n=0)
 
     for b in batches:
         vals, keys = b.column("vals"), b.column("keys")
         offs, koffs = vals.offsets.to_numpy(), keys.offsets.to_numpy()
-        allv, allk = vals.values.to_numpy().view(np.uint64), keys.values.to_numpy()
+        allv, allk = vals.values.to_numpy().view(np.uint32), keys.values.to_numpy()
         for i, block in enumerate(b.column("block").to_numpy(zero_copy_only=False)):
             if block != held["block"] or held["n"] >= DENSE:
                 yield from flush()
@@ -149,60 +161,158 @@ def _merge(batches):
 
 
 def _filter(batches):
-    """Rows (key, value) of the stand-ins estimated as repeated."""
+    """Rows (key, block and value) of the stand-ins estimated as repeated."""
     for b in batches:
         keys, values = [], []
-        for v, k, bits in zip(b.column("vals"), b.column("keys"), b.column("bits").to_pylist()):
-            v = v.values.to_numpy()
-            hit = repeated(v.view(np.uint64), bits)
-            values.append(v[hit])
+        for block, v, k, bits in zip(b.column("block").to_pylist(), b.column("vals"), b.column("keys"), b.column("bits").to_pylist()):
+            v = v.values.to_numpy().view(np.uint32)
+            hit = repeated(v, bits)
+            values.append((np.int64(block) << 32) | v[hit].astype(np.int64))
             keys.append(k.values.to_numpy()[hit])
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["_k1", "val"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["_k2", "val"])
+
+
+def _thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts (compressed) whose key may be wanted, by a bit map of FILTER_BITS bits, however many keys there are."""
+    piece = 1 << 20
+    spot = F.pmod(F.col("_k2").cast("bigint"), F.lit(FILTER_BITS))
+    rows = (wanted.select(spot.alias("s")).distinct().groupBy((F.col("s") / piece).cast("int").alias("p"))
+            .agg(F.collect_list((F.col("s") % piece).cast("int")).alias("at"))
+            .mapInArrow(_bit_map_pieces(piece), "p int, bits binary").collect())  # 64 pieces of 128 KB at most
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        bits[r["p"] * piece // 8:(r["p"] + 1) * piece // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            at = b.column("_k2").to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
+            b = b.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            z = [pack(t.encode("utf-8", "surrogatepass")) for t in b.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_k1"), b.column("_k2"), pa.array(z, pa.binary())], names=["_k1", "_k2", "_z"])
+
+    return docs.mapInArrow(run, "_k1 long, _k2 int, _z binary")
+
+
+def _unpacked(column: pa.Array) -> list[str]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(z).decode("utf-8", "surrogatepass") for z in column.to_pylist()]
+
+
+def _bit_map_pieces(piece: int):
+    def run(batches):
+        for b in batches:
+            out = []
+            for at in b.column("at"):
+                bits = np.zeros(piece, bool)
+                bits[at.values.to_numpy()] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("p"), pa.array(out, pa.binary())], names=["p", "bits"])
+    return run
 
 
-def candidates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs (_k1, _text): the stand-ins each text shares with another place, by estimate: (_k1, vals)."""
+def block_count(docs: DataFrame, window: int, gram: int) -> int:
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / 6 * 2 / (window - gram + 2) / BLOCK))  # about six bytes a word
-    dense = cut_lineage(docs.select("_k1", "_text").mapInArrow(_emit(blocks, window, gram), "block long, vals array<long>, keys array<long>")
+    return max(1, math.ceil(size / 6 * 2 / (window - gram + 2) / BLOCK))  # about six bytes a word
+
+
+def candidates(docs: DataFrame, blocks: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs (_k2, _text): the stand-ins each text shares with another place, by estimate: (_k2, vals)."""
+    dense = cut_lineage(docs.select("_k2", "_text").mapInArrow(_emit(blocks, window, gram), "block long, vals array<int>, keys array<int>")
                         .hint("rebalance", "block").sortWithinPartitions("block")
-                        .mapInArrow(_densify, "block long, vals array<long>, keys array<long>, counts binary"))
+                        .mapInArrow(_densify, "block long, vals array<int>, keys array<int>, counts binary"))
     sketches = (dense.select("block", "counts").repartition("block").sortWithinPartitions("block")
                 .mapInArrow(_merge, "block long, bits binary"))
-    hits = dense.select("block", "vals", "keys").join(sketches, "block").select("vals", "keys", "bits").mapInArrow(_filter, "_k1 long, val long")
-    return hits.groupBy("_k1").agg(F.collect_set("val").alias("vals"))
+    hits = dense.select("block", "vals", "keys").join(sketches, "block").select("block", "vals", "keys", "bits").mapInArrow(_filter, "_k2 int, val long")
+    return cut_lineage(hits.groupBy("_k2").agg(F.collect_set("val").alias("vals")))
 
 
-def _windows(window: int, gram: int):
-    """128-bit hashes of the windows whose stand-in is among the text's candidates."""
+def _windows(blocks: int, window: int, gram: int, chars: int = 12_000_000):
+    """Windows whose stand-in is among their text's candidates.
+
+    Those found twice in a piece of the batch are settled: a row (hash of the row id, null, rid, ranges of starts) per text, and
+    one row of the window without a text. The others are a row (h1, half of h2 and the start, rid, null) each.
+    """
+    def find(texts, lists):
+        for i, j in slices(texts):
+            w = Words(texts[i:j])
+            at, pick, grams = stand_ins(w, window, gram)
+            if not len(at):
+                continue
+            wanted = np.unique(np.concatenate([lists[d].values.to_numpy() for d in range(i, j)]))
+            block, value = short(grams, blocks)
+            at = at[np.isin((block << 32 | value)[pick], wanted)]
+            doc = w.doc_of(at)
+            h1, h2 = (r.stretch(r.sums(w.hashes(r)), at, at + window).view(np.int64) for r in (B, C))
+            yield h1, h2 & -(1 << 32), i + doc, at - w.first[doc]
+
     def run(batches):
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            lists = b.column("vals")
-            k1, k2 = b.column("_k1").to_numpy(zero_copy_only=False), b.column("_k2").to_numpy(zero_copy_only=False)
-            for i, j in slices(texts):
-                w = Words(texts[i:j])
-                at, pick, grams = stand_ins(w, window, gram)
-                if not len(at):
+            texts, lists, rids = _unpacked(b.column("_z")), b.column("vals"), b.column("rid").to_numpy(zero_copy_only=False)
+            for i, j in slices(texts, chars):
+                got = list(find(texts[i:j], lists.slice(i, j - i)))
+                if not got:
                     continue
-                wanted = np.unique(np.concatenate([lists[d].values.to_numpy() for d in range(i, j)]).view(np.uint64))
-                at = at[np.isin(grams[pick], wanted)]
-                doc = w.doc_of(at)
-                h1, h2 = (r.stretch(r.sums(w.hashes(r)), at, at + window).view(np.int64) for r in (B, C))
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(k1[i + doc]), pa.array(k2[i + doc]),
-                                                  pa.array((at - w.first[doc]).astype(np.int32))], names=["h1", "h2", "_k1", "_k2", "at"])
+                h1, h2, doc, at = map(np.concatenate, zip(*got))
+                order = np.lexsort((at, doc, h2, h1))
+                h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+                same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+                before, after = np.concatenate(([False], same)), np.concatenate((same, [False]))
+                settled, witness = before | after, after & ~before
+                go = ~settled | witness
+                rid = np.where(witness, -1, rids[i + doc])
+                yield pa.RecordBatch.from_arrays([pa.array(h1[go]), pa.array(h2[go] | np.where(witness, 0, at)[go]), pa.array(rid[go]), pa.nulls(int(go.sum()), pa.list_(pa.int32()))],
+                                                 names=["h1", "h2", "rid", "ranges"])
+                doc, at = doc[settled], at[settled]
+                if len(doc):
+                    order = np.lexsort((at, doc))
+                    doc, at = doc[order], at[order]
+                    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))
+                    lo, hi, doc = at[new], at[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))], doc[new]
+                    cut = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
+                    ids = rids[i + doc[cut[:-1]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(ids.astype(np.uint64)).view(np.int64)), pa.nulls(len(ids), pa.int64()), pa.array(ids),
+                                                      _lists(2 * cut, np.stack([lo, hi], axis=1).ravel().astype(np.int32))], names=["h1", "h2", "rid", "ranges"])
     return run
 
 
+def _matched(batches):
+    """Rows come sorted by window: a row equal to its neighbour is a repeat. Settled rows pass through. Out: (rid, ranges)."""
+    last = None  # (h1, h2, rid, start, told) of the row before
+
+    def pack(rid, at):
+        own = rid >= 0
+        rid, at = rid[own], at[own].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(rid), _lists(2 * np.arange(len(rid) + 1), np.repeat(at, 2))], names=["rid", "ranges"])
+
+    for b in batches:
+        ready = b.column("ranges").is_valid().to_numpy(zero_copy_only=False)
+        if ready.any():
+            yield b.filter(pa.array(ready)).select(["rid", "ranges"])
+        b = b.filter(pa.array(~ready))
+        if not b.num_rows:
+            continue
+        h1, both, rid = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "rid"))
+        h2, at = both >> 32, both & 0xFFFFFFFF
+        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        first = last is not None and (h1[0], h2[0]) == last[:2]
+        if first and not last[4]:
+            yield pack(np.array([last[2]]), np.array([last[3]]))
+        hit = np.concatenate(([first], same)) | np.concatenate((same, [False]))
+        yield pack(rid[hit], at[hit])
+        last = (h1[-1], h2[-1], rid[-1], at[-1], bool(hit[-1]))
+
+
 def _remove(window: int):
     def run(batches):
         for b in batches:
             out = []
-            for t, starts in zip(b.column("_text").to_pylist(), b.column("starts")):
+            for t, ranges in zip(_unpacked(b.column("_z")), b.column("ranges")):
                 words = t.encode("utf-8", "surrogatepass").split()
-                s = starts.values.to_numpy()
-                step = np.bincount(s, minlength=len(words) + 1) - np.bincount(np.minimum(s + window, len(words)), minlength=len(words) + 1)
+                r = np.concatenate([x.values.to_numpy() for x in ranges]).reshape(-1, 2)
+                step = np.bincount(r[:, 0], minlength=len(words) + 1) - np.bincount(np.minimum(r[:, 1] + window, len(words)), minlength=len(words) + 1)
                 gone = np.cumsum(step)[: len(words)] > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
@@ -215,12 +325,14 @@ def _remove(window: int):
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_k1, _k2, n_removed, sha, kept): the texts that lose words, one row per distinct id and text."""
     docs = df.select(*row_key(F.col(doc_id), F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    some = cut_lineage(docs.join(candidates(docs, window, gram), "_k1"))
-    wins = some.mapInArrow(_windows(window, gram), "h1 long, h2 long, _k1 long, _k2 int, at int")
-    twice = wins.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    starts = wins.join(twice, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_set("at").alias("starts"))
-    return (some.select("_k1", "_k2", "_text").dropDuplicates(["_k1", "_k2"]).join(starts, ["_k1", "_k2"]).select("_k1", "_k2", "_text", "starts")
-            .mapInArrow(_remove(window), "_k1 long, _k2 int, n_removed long, sha string, kept string"))
+    blocks = block_count(docs, window, gram)
+    some = candidates(docs, blocks, window, gram)
+    texts = cut_lineage(_thinned(docs, some).join(some, "_k2").withColumn("rid", F.monotonically_increasing_id()))
+    found = (texts.select("rid", "_z", "vals").mapInArrow(_windows(blocks, window, gram), "h1 long, h2 long, rid long, ranges array<int>")
+             .repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_matched, "rid long, ranges array<int>")
+             .groupBy("rid").agg(F.collect_list("ranges").alias("ranges")))
+    return (texts.select("rid", "_k1", "_k2", "_z").join(found, "rid").select("_k1", "_k2", "_z", "ranges")
+            .mapInArrow(_remove(window), "_k1 long, _k2 int, n_removed long, sha string, kept string").dropDuplicates(["_k1", "_k2"]))
 
 
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
