@@ -91,7 +91,7 @@ def q_field_rank(spark, sf):
     p = P.leave_panel(spark, sf).select("emp", "day", "main_div", "tenure", "rate")
     p = R.field_rank(p, ["day"], "tenure", "rank_org")
     p = R.field_rank(p, ["main_div", "day"], "tenure", "rank_div")
-    return R.field_rank(p, ["day"], "rate", "rank_rate", bounded=True)
+    return R.field_rank(p, ["day"], "rate", "rank_rate")
 
 
 @query("rank_gap_counts", "emp l, day s, below l, above l, below_week l, above_week l", """

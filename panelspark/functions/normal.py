@@ -155,6 +155,14 @@ def np_cdf(x):
     return np.where(x > 0, 1 - lower, lower)
 
 
+def np_log_cdf(x):
+    """Log of the distribution function, also where the function itself rounds to zero."""
+    x = np.asarray(x, float)
+    z = np.maximum(-x, HART_SPLIT)
+    far = -0.5 * z * z - np.log(_tail_fraction(z) * SQRT_2PI)
+    return np.where(x < -HART_SPLIT, far, np.log(np.where(x < -HART_SPLIT, 1.0, np_cdf(x))))
+
+
 def np_inv(p: float) -> float:
     """Quantile of one probability by Newton steps on the distribution function."""
     x = 0.0

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.draws import hash_normal2, hash_uniform
 from panelspark.functions.missing import flag, m_div
-from panelspark.functions.normal import norm_cdf
 from panelspark.operators.keys import attach, cut_lineage
-from panelspark.operators.ranks import RANGES, group_positions
+from panelspark.operators.ranks import group_positions, row_positions
 
 CELL = ["draw", "grp", "day"]
 
@@ -59,20 +58,21 @@ def draw_rows(df: DataFrame, quota: DataFrame, group: str, day: str, k: str, fir
         *[hash_uniform(f"{seed}{s}", "draw", "emp", "day").alias(f"u_{s}") for s in ("list", "split", "best")]))
 
 
-def _uniform_range(u: Column) -> Column:
-    return F.floor(u * RANGES).cast("int")
+def _uniform_range(df: DataFrame, u: Column) -> Column:
+    """Even ranges of a uniform draw, as many as the session shuffles to."""
+    return F.floor(u * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).cast("int")
 
 
 def alloc_list(draws: DataFrame, out: str = "list_work") -> DataFrame:
     """The willing in random order, then the others in random order, up to the day's shifts."""
     d = draws.withColumn("_o", F.col("u_list") + 1 - F.col("willing"))
-    d = group_positions(d, CELL, "_o", "emp", "_p", _uniform_range(F.col("_o")))
+    d = group_positions(d, CELL, "_o", "emp", "_p", _uniform_range(d, F.col("_o")))
     return d.withColumn(out, flag(F.col("_p") <= F.col("shifts"))).drop("_o", "_p")
 
 
 def _regular(draws: DataFrame, u: str) -> DataFrame:
     """Regular shifts at random among the willing; what they leave open goes to `_open`."""
-    d = group_positions(draws, [*CELL, "willing"], u, "emp", "_p", _uniform_range(F.col(u)))
+    d = group_positions(draws, [*CELL, "willing"], u, "emp", "_p", _uniform_range(draws, F.col(u)))
     d = d.withColumn("_reg", flag((F.col("willing") == 1) & (F.col("_p") <= F.col("regular")))).drop("_p")
     n = draws.groupBy(*CELL).agg(F.sum("willing").alias("_w"))
     d = d.join(n, CELL)
@@ -81,8 +81,8 @@ def _regular(draws: DataFrame, u: str) -> DataFrame:
 
 
 def _rest(d: DataFrame, order: Column, out: str) -> DataFrame:
-    d = d.withColumn("_o", order)
-    d = group_positions(d, [*CELL, "_reg"], "_o", "emp", "_p", F.floor(norm_cdf("_o") * RANGES).cast("int"))
+    # values are centred on each row's own index, so only a sort of the data itself balances the ranges
+    d = row_positions(d.withColumn("_o", order), [*CELL, "_reg"], ["_o", "emp"], "_p")
     won = (F.col("_reg") == 1) | (F.col("_p") <= F.col("_open"))
     return d.withColumn(out, flag(won)).drop("_o", "_p", "_reg", "_open")
 

@@ -22,6 +22,8 @@ def _hang(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (u, v): root is the smallest node of its component.
 
+    Nodes may be numbers, texts or structs.
+
     Large and small stars in turn: every round keeps the components and at least halves the depth of long chains
     in practice, so rounds grow with the logarithm of the longest path. It ends when a round changes nothing.
     """

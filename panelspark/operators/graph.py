@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.missing import m_div
-from panelspark.operators.keys import attach, cut_lineage
+from panelspark.operators import components as stars
+from panelspark.operators.keys import attach, cut_lineage, key_join
 from panelspark.operators.ordered import lag_lead
 from panelspark.operators.ranks import running_sums
 
@@ -54,16 +55,22 @@ def node_strength(weights: DataFrame) -> DataFrame:
 
 
 def node_classes(weights: DataFrame) -> DataFrame:
-    """(day, node, cls): the node's set of groups as one text."""
-    return weights.groupBy("day", "node").agg(F.array_join(F.array_sort(F.collect_set("grp")), "+").alias("cls"))
+    """(day, node, cls, grps): the node's set of groups, sorted, and a text that stands for it.
+
+    The text joins the names with "+"; a backslash goes before a "+" or backslash of a name, so different sets
+    have different texts. The set itself is never read back from the text.
+    """
+    plain = F.transform("grps", lambda g: F.regexp_replace(g, r"([+\\])", r"\\$1"))
+    return (weights.groupBy("day", "node").agg(F.array_sort(F.collect_set("grp")).alias("grps"))
+            .select("day", "node", F.array_join(plain, "+").alias("cls"), "grps"))
 
 
 def class_links(weights: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(day, grp, w, cls, n, first_node): classes in each group, with size and smallest node."""
     classes = node_classes(weights) if classes is None else classes
-    sizes = classes.groupBy("day", "cls").agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
+    sizes = classes.groupBy("day", "cls").agg(F.count("*").alias("n"), F.min("node").alias("first_node"), F.first("grps").alias("grps"))
     groups = weights.groupBy("day", "grp").agg(F.max("w").alias("w"))
-    return (sizes.withColumn("grp", F.explode(F.split("cls", r"\+"))).join(groups, ["day", "grp"])
+    return (sizes.withColumn("grp", F.explode("grps")).join(groups, ["day", "grp"])
             .select("day", "grp", "w", "cls", "n", "first_node"))
 
 
@@ -96,7 +103,9 @@ def pair_histogram(edges: DataFrame, weights: DataFrame) -> DataFrame:
 def threshold_edges(edges: DataFrame, weights: DataFrame, q: float) -> tuple[DataFrame, DataFrame]:
     """Class edges at or above the linear-interpolated quantile of all pair weights of the day.
 
-    Returns the edges kept and, per day, the cut-off and the number of pairs kept.
+    Returns the edges kept and, per day, the cut-off and the number of pairs kept. Where the cut-off is 0
+    every pair is kept; the pairs without a link are then one row of the day, with weight 0, no classes and
+    their number, so the rows' pairs add up to the pairs kept.
     """
     hist = running_sums(pair_histogram(edges, weights), ["day"], "w", {"_n": F.sum("n_pairs")}, bounded=True)
     h = (F.col("_n_all") - 1) * F.lit(float(q))
@@ -109,29 +118,27 @@ def threshold_edges(edges: DataFrame, weights: DataFrame, q: float) -> tuple[Dat
         F.max("cutoff").alias("cutoff"),
         F.sum(F.when(F.col("w") >= F.col("cutoff"), F.col("_n")).otherwise(0)).alias("kept_pairs")))
     kept = edges.join(cut, "day").where(F.round("w", 12) >= F.col("cutoff")).drop("cutoff")
-    return kept, kept_n
+    absent = (hist.where("w = 0").join(cut.where("cutoff <= 0"), "day")
+              .select("day", F.lit(None).cast("string").alias("cls_a"), F.lit(None).cast("string").alias("cls_b"),
+                      F.lit(0.0).alias("w"), F.col("_n").cast("long").alias("n_pairs")))
+    return kept.unionByName(absent), kept_n
 
 
-def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(day, cls, label): connected classes share the smallest node of their component.
 
-    Labels spread through groups by partial aggregates; every round is written, and the
-    loop ends on one count of changes.
+    Components are found among the groups, of which there are fewer than classes: a class ties its first group
+    to its others. Rounds grow with the logarithm of the longest chain, and the search ends when nothing changes.
     """
     links = cut_lineage(links.select("day", "grp", "w", "cls", "first_node"))
-    edges = links.where(F.col("w") > 0).select("day", "grp", "cls")
-    state = links.select("day", "cls", F.col("first_node").alias("label")).distinct()
-    for _ in range(max_rounds):
-        by_group = edges.join(state, ["day", "cls"]).groupBy("day", "grp").agg(F.min("label").alias("_g"))
-        seen = edges.join(by_group, ["day", "grp"]).groupBy("day", "cls").agg(F.min("_g").alias("_l"))
-        new = (state.join(seen, ["day", "cls"], "left")
-               .select("day", "cls", F.least("label", F.coalesce("_l", "label")).alias("label"),
-                       (F.coalesce("_l", "label") < F.col("label")).alias("_moved")))
-        new = cut_lineage(new)
-        state = new.drop("_moved")
-        if new.where("_moved").limit(1).count() == 0:
-            break
-    return state
+    tied = links.where(F.col("w") > 0).select("day", "cls", F.struct("day", "grp").alias("v"))
+    first = tied.groupBy("day", "cls").agg(F.min("v").alias("u"))
+    roots = stars.components(tied.join(first, ["day", "cls"]).select("u", "v")).withColumnRenamed("node", "u")
+    # a class without a link is a component of its own
+    mine = (links.select("day", "cls", "first_node").distinct().join(first, ["day", "cls"], "left").join(roots, "u", "left")
+            .select("day", "cls", "first_node", F.coalesce("root", "u").alias("root"), F.when(F.col("u").isNull(), F.col("cls")).alias("alone")))
+    label = mine.groupBy("day", "root", "alone").agg(F.min("first_node").alias("label"))
+    return key_join(mine, label, ["day", "root", "alone"]).select("day", "cls", "label")
 
 
 def largest_component(weights: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -175,9 +182,10 @@ def _iterate(links: DataFrame, tol: float, max_iter: int) -> DataFrame:
         new = cut_lineage(attach(new, ["day"], {"_top": F.max("_y")}).select(
             "day", "cls", (F.col("_y") / F.col("_top")).alias("x"), F.abs(F.col("_y") / F.col("_top") - F.col("x")).alias("_d")))
         state = new.drop("_d")
-        if new.agg(F.max("_d")).first()[0] < tol:
-            break
-    return state
+        change = new.agg(F.max("_d")).first()[0]
+        if change is None or change < tol:
+            return state
+    raise RuntimeError(f"centrality not settled after {max_iter} rounds: the last one moved an entry by {change:.3g}")
 
 
 def eigen_centrality(weights: DataFrame, tol: float = 1e-10, max_iter: int = 2000,

@@ -37,14 +37,20 @@ def attach(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame
     return key_join(df, stats, keys)
 
 
+_own_folders: dict[str, str] = {}
+_scratch: dict[str, list[str]] = {}
+
+
 def shared_folder(spark) -> str:
-    """The session's `spark.checkpoint.dir`; only a local session may go without one."""
+    """The session's `spark.checkpoint.dir`; only a local session may go without one, and then has a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="panelspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="panelspark-")
+        folder = _own_folders[app]
     return folder
 
 
@@ -52,9 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
     Readers get a short plan, column pruning and pushdown, and a lost executor costs a
-    re-read instead of a re-run of everything before.
+    re-read instead of a re-run of everything before. `drop_scratch` deletes what a session wrote.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark) -> int:
+    """Delete the tables this session's operators wrote; results that read them must have been stored before."""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.functions.normal import np_cdf
 from panelspark.operators.keys import attach, cut_lineage
+from panelspark.operators.components import components
+from panelspark.operators.solve import independent, inverse_of
 
 MAX_LEVELS = 3000
+ROUNDS = 50
 
 
 @dataclass
@@ -26,6 +29,7 @@ class Fit:
     coef: np.ndarray
     cov: np.ndarray
     stats: dict[str, float] = field(default_factory=dict)
+    omitted: set[str] = field(default_factory=set)  # terms that the others explain, coefficient 0
 
     @property
     def se(self) -> np.ndarray:
@@ -42,7 +46,7 @@ def model_table(spark: SparkSession, models: dict[str, Fit]) -> DataFrame:
         for t, b, s in zip(m.terms, m.coef, m.se):
             z = float(b / s) if s > 0 else None
             p = None if z is None else float(2 * np_cdf(-abs(z)))
-            stars = "" if p is None else "*" * sum(p < c for c in (0.1, 0.05, 0.01))
+            stars = "omitted" if t in m.omitted else "" if p is None else "*" * sum(p < c for c in (0.1, 0.05, 0.01))
             rows.append((name, t, float(b), float(s), z, p, stars))
         rows += [(name, f"[{k}]", float(v), None, None, None, "") for k, v in m.stats.items()]
     return spark.createDataFrame(rows, "model string, term string, coef double, se double, z double, p double, stars string")
@@ -72,7 +76,7 @@ def absorb(df: DataFrame, cols: list[str], factors: list[str], tol: float = 1e-1
     No factor: less the mean. One: less group means. Several with at most `max_levels`
     levels in all: their normal equations (counts of level pairs) are solved on the driver
     and the level effects joined back. More levels: alternate group means until the largest
-    change is below `tol`.
+    change is below `tol`, an error if `max_sweeps` do not get there.
     """
     if not factors:
         means = [df.agg(F.avg(c)).scalar() for c in cols]
@@ -80,9 +84,9 @@ def absorb(df: DataFrame, cols: list[str], factors: list[str], tol: float = 1e-1
     if len(factors) == 1:
         return _less_means(df, cols, factors[0]), df.select(factors[0]).distinct().count()
     counts = df.agg(*[F.count_distinct(f) for f in factors]).first()
-    rank = sum(counts) - len(factors) + 1
     if sum(counts) <= max_levels:
-        return _less_level_effects(df, cols, factors), rank
+        return _less_level_effects(df, cols, factors)
+    rank = _factor_rank(df, factors, counts)
     d = cut_lineage(df)
     for _ in range(max_sweeps):
         kept = d.withColumns({f"_k_{c}": F.col(c) for c in cols})
@@ -90,9 +94,23 @@ def absorb(df: DataFrame, cols: list[str], factors: list[str], tol: float = 1e-1
             kept = cut_lineage(_less_means(kept, cols, f))
         change = kept.agg(F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"_k_{c}"))) for c in cols], F.lit(0.0))).first()[0]
         d = kept.drop(*[f"_k_{c}" for c in cols])
-        if change < tol:
-            break
-    return d, rank
+        if change is None or change < tol:
+            return d, rank
+    raise RuntimeError(f"factors not taken out after {max_sweeps} sweeps: the last one moved a value by {change:.3g}")
+
+
+def _factor_rank(df: DataFrame, factors: list[str], counts) -> int:
+    """Rank of the level dummies: every further factor adds its levels less the components it hangs together in.
+
+    Exact for two factors; for more, each factor is taken against the one before it, which is exact when they are
+    connected or nested in turn.
+    """
+    rank = counts[0]
+    for i in range(1, len(factors)):
+        ends = [F.concat(F.lit(f"{j}/"), F.col(factors[j]).cast("string")) for j in (i - 1, i)]
+        links = df.select(ends[0].alias("u"), ends[1].alias("v")).distinct()
+        rank += counts[i] - components(links).select("root").distinct().count()
+    return rank
 
 
 def _less_means(df: DataFrame, cols: list[str], factor: str) -> DataFrame:
@@ -100,7 +118,7 @@ def _less_means(df: DataFrame, cols: list[str], factor: str) -> DataFrame:
     return d.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 
-def _less_level_effects(df: DataFrame, cols: list[str], factors: list[str]) -> DataFrame:
+def _less_level_effects(df: DataFrame, cols: list[str], factors: list[str]) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     index, rhs = {}, []
     for f in factors:
@@ -115,7 +133,7 @@ def _less_level_effects(df: DataFrame, cols: list[str], factors: list[str]) -> D
             for r in cells:
                 p, q = index[(a, r[a])], index[(b, r[b])]
                 g[p, q] = g[q, p] = r["_n"]
-    effects = np.linalg.lstsq(g, np.array(rhs, float), rcond=1e-12)[0]
+    effects, _, rank, _ = np.linalg.lstsq(g, np.array(rhs, float), rcond=1e-12)
     out = df
     for f in factors:
         names = [f"_{f}_{c}" for c in cols]
@@ -124,7 +142,7 @@ def _less_level_effects(df: DataFrame, cols: list[str], factors: list[str]) -> D
         # at most MAX_LEVELS rows, counted above
         out = out.join(F.broadcast(spark.createDataFrame(rows, schema)), f)
         out = out.withColumns({c: F.col(c) - F.col(n) for c, n in zip(cols, names)}).drop(*names)
-    return out
+    return out, int(rank)
 
 
 def _score_meat(df: DataFrame, zs: list[str], resid: Column, cluster: str) -> tuple[np.ndarray, int]:
@@ -134,6 +152,18 @@ def _score_meat(df: DataFrame, zs: list[str], resid: Column, cluster: str) -> tu
     return cross_products(sums, zs)
 
 
+def _spread(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """Sums of squares about the mean, the yardstick for what factors and other columns leave of a column."""
+    row = df.agg(*[F.var_pop(c) * F.count(c) for c in cols]).first()
+    return np.array([v or 0.0 for v in row], float)
+
+
+def _clusters(g: int) -> float:
+    if g < 2:
+        raise ValueError("a cluster covariance needs at least two clusters")
+    return g / (g - 1)
+
+
 def _less_fit(y: str, xs: list[str], b: np.ndarray) -> Column:
     out = F.col(y)
     for x, v in zip(xs, b):
@@ -145,7 +175,8 @@ def ols(df: DataFrame, y: str, x: list[str], factors: list[str] | None = None,
         cluster: str | None = None, where: Column | None = None) -> Fit:
     """Least squares with optional factors and cluster-robust covariance.
 
-    Cluster covariance carries (N-1)/(N-k) * G/(G-1); `F` tests all listed slopes.
+    Cluster covariance carries (N-1)/(N-k) * G/(G-1); `F` tests all kept slopes. A column that factors and
+    earlier columns explain is omitted: coefficient and error 0, marked in `omitted`.
     """
     factors = factors or []
     d = complete(df, [y, *x, *factors, *([cluster] if cluster else [])], where)
@@ -159,21 +190,25 @@ def ols(df: DataFrame, y: str, x: list[str], factors: list[str] | None = None,
     r = cut_lineage(r)
     m, n = cross_products(r, [y, *x])
     sxx, sxy = m[1:, 1:], m[1:, 0]
-    inv = np.linalg.inv(sxx)
+    keep = independent(sxx, _spread(d, x))
+    inv = inverse_of(sxx, keep)
     b = inv @ sxy
-    k = len(x) + rank
+    k = len(keep) + rank
     rss = m[0, 0] - b @ sxy
     stats = {"n": n, "r2_within": 1 - rss / m[0, 0], "rmse": math.sqrt(rss / (n - k))}
     if cluster:
         meat, g = _score_meat(r, x, _less_fit(y, x, b), cluster)
-        cov = inv @ meat @ inv * (n - 1) / (n - k) * g / (g - 1)
+        cov = inv @ meat @ inv * (n - 1) / (n - k) * _clusters(g)
         stats["clusters"] = g
     else:
         cov = inv * rss / (n - k)
-    stats["F"] = float(b @ np.linalg.solve(cov, b) / len(x))
+    # with fewer clusters than slopes the covariance has fewer ranks than slopes
+    tested = [keep[i] for i in independent(cov[np.ix_(keep, keep)])]
+    if tested:
+        stats["F"] = float(b[tested] @ np.linalg.solve(cov[np.ix_(tested, tested)], b[tested]) / len(tested))
     if means is not None:
         stats["constant"] = means[0] - float(b @ np.array(means[1:]))
-    return Fit(list(x), b, cov, stats)
+    return Fit(list(x), b, cov, stats, {x[i] for i in range(len(x)) if i not in keep})
 
 
 def ols_factor(df: DataFrame, y: str, x: list[str], factors: list[str], where: Column | None = None) -> Fit:
@@ -192,15 +227,19 @@ def fe_within(df: DataFrame, y: str, x: str, fes: list[str], where: Column | Non
 
 def residualize(df: DataFrame, y: str, controls: list[str], factors: list[str], keep: list[str],
                 out: str = "resid") -> DataFrame:
-    """Residuals of y on controls and factors, for complete rows, next to `keep` columns."""
+    """Residuals of y on controls and factors, for complete rows, next to `keep` columns.
+
+    Controls that factors and earlier controls explain play no part.
+    """
     d = df.select(*keep, *[F.col(c).cast("double").alias(f"_v_{c}") for c in [y, *controls]],
                   *[F.col(f).alias(f"_f_{f}") for f in factors]).dropna(
                       subset=[f"_v_{c}" for c in [y, *controls]] + [f"_f_{f}" for f in factors])
     cols = [f"_v_{c}" for c in [y, *controls]]
-    r = cut_lineage(absorb(cut_lineage(d), cols, [f"_f_{f}" for f in factors])[0])
+    d = cut_lineage(d)
+    r = cut_lineage(absorb(d, cols, [f"_f_{f}" for f in factors])[0])
     if controls:
         m, _ = cross_products(r, cols)
-        b = np.linalg.solve(m[1:, 1:], m[1:, 0])
+        b = inverse_of(m[1:, 1:], independent(m[1:, 1:], _spread(d, cols[1:]))) @ m[1:, 0]
         r = r.withColumn(out, _less_fit(cols[0], cols[1:], b))
     else:
         r = r.withColumn(out, F.col(cols[0]))
@@ -222,9 +261,18 @@ def iv_2sls(df: DataFrame, y: str, endog: str, instrument: str, x: list[str], fa
     if cluster in factors:
         d = d.withColumn("_cl", F.col(cluster))
         cluster = "_cl"
-    r, rank = absorb(cut_lineage(d), cols, factors)
+    d = cut_lineage(d)
+    r, rank = absorb(d, cols, factors)
     r = cut_lineage(r)
     m, n = cross_products(r, cols)
+    # controls first: an instrument or an endogenous column that they explain identifies nothing
+    order, scale = [*range(3, len(cols)), 2], _spread(d, cols)
+    kept = [order[i] for i in independent(m[np.ix_(order, order)], scale[order])]
+    if 2 not in kept or not independent(m[1:2, 1:2], scale[1:2]):
+        raise ValueError("the instrument or the endogenous column has nothing left besides controls and factors")
+    left = {cols[i] for i in range(3, len(cols)) if i not in kept}
+    x, cols = [c for c in x if c not in left], [c for c in cols if c not in left]
+    m = m[np.ix_(at := [0, 1, 2, *[i for i in kept if i != 2]], at)]
     ix, iz = [1, *range(3, len(cols))], [2, *range(3, len(cols))]
     zx_inv = np.linalg.inv(m[np.ix_(iz, ix)])
     b = zx_inv @ m[iz, 0]
@@ -238,7 +286,7 @@ def iv_2sls(df: DataFrame, y: str, endog: str, instrument: str, x: list[str], fa
         meat, g = _score_meat(r, zs, _less_fit(y, xs, b), cluster)
         cov = zx_inv @ meat @ zx_inv.T
         fmeat, _ = _score_meat(r, zs, _less_fit(endog, zs, pi), cluster)
-        fcov = zz_inv @ fmeat @ zz_inv * (n - 1) / (n - k) * g / (g - 1)
+        fcov = zz_inv @ fmeat @ zz_inv * (n - 1) / (n - k) * _clusters(g)
         stats.update(clusters=g, rkf=float(pi[0] ** 2 / fcov[0, 0]))
         # score test: instrument and endogenous, both less the other regressors
         w = m[3:, 3:]
@@ -251,7 +299,11 @@ def iv_2sls(df: DataFrame, y: str, endog: str, instrument: str, x: list[str], fa
     else:
         e = m[0, 0] - 2 * b @ m[ix, 0] + b @ m[np.ix_(ix, ix)] @ b
         cov = zx_inv @ m[np.ix_(iz, iz)] @ zx_inv.T * e / n
-    return Fit(xs, b, cov, stats)
+    if left:  # back in as zeros
+        pad = np.zeros((len(xs) + len(left),) * 2)
+        pad[: len(xs), : len(xs)] = cov
+        xs, b, cov = [*xs, *sorted(left)], np.append(b, np.zeros(len(left))), pad
+    return Fit(xs, b, cov, stats, left)
 
 
 def _glm_frame(df: DataFrame, y: str, x: list[str], factors: list[str], where: Column | None):
@@ -277,7 +329,9 @@ def binary_fit(df: DataFrame, y: str, x: list[str], link: str, factors: list[str
     from pyspark.ml.regression import GeneralizedLinearRegression
     d, names = _glm_frame(df, y, x, factors or [], where)
     m = GeneralizedLinearRegression(family="binomial", link=link, labelCol=y, featuresCol="_x",
-                                    maxIter=50, tol=1e-10).fit(d)
+                                    maxIter=ROUNDS, tol=1e-10).fit(d)
+    if m.summary.numIterations >= ROUNDS:
+        raise RuntimeError(f"the {link} fit did not converge in {ROUNDS} rounds")
     b = np.append(m.coefficients.toArray(), m.intercept)
     se = np.array(m.summary.coefficientStandardErrors)
     return Fit([*names, "_cons"], b, np.diag(se ** 2), {"n": d.count(), "deviance": m.summary.deviance})

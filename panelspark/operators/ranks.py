@@ -12,31 +12,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.operators.keys import cut_lineage, key_join
 
-RANGES = 64
-
-
-def _with_range(df: DataFrame, value: str) -> DataFrame:
-    """Add `_b`, the value's range 0..RANGES-1 between approximate quantiles of the data.
-
-    Any cut points give right results; the sketch only balances the work. The cuts are
-    one scalar subquery of fixed size. Missing values share the last range.
-    """
-    probs = F.lit([i / RANGES for i in range(1, RANGES)])
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(2000))).scalar()
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))
-    return (df.withColumn("_cuts", cuts)
-            .withColumn("_b", F.when(F.col(value).isNull(), RANGES)
-                        .otherwise(F.coalesce(below, F.lit(0)))).drop("_cuts"))
-
-
 def running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column],
                  bounded: bool = False) -> DataFrame:
     """Per group and distinct value: each sum, its running total and its group total.
 
     Output columns `<name>`, `<name>_run` (up to and including the value, missing last)
     and `<name>_all`. `bounded` says a group has few distinct values (days, hours), so
-    one window per group is enough. Otherwise the distinct values are written once, as the
-    cuts, the range totals and the values themselves are read from them.
+    one window per group is enough. Otherwise the distinct values, of any sortable type, are
+    dealt in order of group and value to as many ranges as the session shuffles to; a range's
+    window holds its own part of a group only.
     """
     hist = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in sums.items()])
     order = F.col(value).asc_nulls_last()
@@ -45,7 +29,8 @@ def running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, Col
         run = w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return hist.withColumns({**{f"{n}_run": F.sum(n).over(run) for n in sums},
                                  **{f"{n}_all": F.sum(n).over(w) for n in sums}})
-    hist = cut_lineage(_with_range(cut_lineage(hist), value))
+    spread = cut_lineage(hist).repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys], order)
+    hist = cut_lineage(spread.withColumn("_b", F.spark_partition_id()))
     w = W.partitionBy(*keys)
     ranges = hist.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     before = w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

@@ -16,9 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.functions.normal import bvn_cdf, norm_cdf, np_bvn, np_cdf, np_pdf
+from panelspark.functions.normal import bvn_cdf, norm_cdf, np_bvn, np_cdf, np_log_cdf, np_pdf
 from panelspark.operators.keys import cut_lineage
 from panelspark.operators.linear import MAX_LEVELS, Fit
+from panelspark.operators.solve import independent, inverse_of
 
 OUT, SEL = "outcome", "select"
 
@@ -36,6 +37,7 @@ class Model:
     bread: np.ndarray | None = None
     scores: DataFrame | None = None
     stats: dict[str, float] = field(default_factory=dict)
+    omitted: set[int] = field(default_factory=set)  # positions of parameters that the data do not identify
 
     @property
     def rho(self) -> float:
@@ -48,11 +50,14 @@ class Model:
         """All parameters, the transformed correlation last, in table form."""
         terms = [f"{eq}:{t}" + ("" if lv is None else f"={lv}") for eq, t, lv in self.names]
         vals = np.array([self.athrho if n[0] == "athrho" else self.coef[n] for n in self.names])
-        return Fit(terms, vals, self.cov, {**self.stats, "rho": self.rho})
+        return Fit(terms, vals, self.cov, {**self.stats, "rho": self.rho}, {terms[i] for i in self.omitted})
 
 
 def index_columns(df: DataFrame, model: Model, xb: str = "xb", zg: str = "zg") -> DataFrame:
-    """Add both linear indices; level effects come from small broadcast tables."""
+    """Add both linear indices; level effects come from small broadcast tables.
+
+    A row whose level is missing or was not in the fit stays, with missing indices.
+    """
     spark = df.sparkSession
     parts = {OUT: F.lit(model.get(OUT, "_cons")), SEL: F.lit(model.get(SEL, "_cons"))}
     for eq, cols in ((OUT, model.x), (SEL, model.z)):
@@ -62,8 +67,8 @@ def index_columns(df: DataFrame, model: Model, xb: str = "xb", zg: str = "zg") -
     for f, levels in model.levels.items():
         rows = [(lv, model.get(OUT, f, lv), model.get(SEL, f, lv)) for lv in levels]
         eff = spark.createDataFrame(rows, f"{f} {dict(df.dtypes)[f]}, _o_{f} double, _s_{f} double")
-        # at most MAX_LEVELS rows, checked when the model was fitted
-        df = df.join(F.broadcast(eff), f)
+        # a model made by hand may have any number of levels; the size of a local table is known to the optimizer
+        df = df.join(F.broadcast(eff) if len(rows) <= MAX_LEVELS else eff, f, "left")
         parts[OUT], parts[SEL] = parts[OUT] + F.col(f"_o_{f}"), parts[SEL] + F.col(f"_s_{f}")
         drop += [f"_o_{f}", f"_s_{f}"]
     return df.withColumns({xb: parts[OUT], zg: parts[SEL]}).drop(*drop)
@@ -79,11 +84,16 @@ def selection_predict(df: DataFrame, model: Model, kinds: list[str]) -> DataFram
 
 
 def selection_loglik(df: DataFrame, model: Model, y: str, select: str) -> DataFrame:
-    """(loglik, n, n_selected) of a model on rows, by column expressions."""
+    """(loglik, n, n_selected, n_unusable) of a model on rows, by column expressions.
+
+    Unusable rows have probability zero to rounding, or no prediction; they are counted, not added.
+    """
     d = index_columns(df, model, "_xb", "_zg").withColumns({"_mxb": -F.col("_xb"), "_mzg": -F.col("_zg")})
     d = d.withColumn("_p", F.when(F.col(select) == 0, norm_cdf("_mzg"))
                      .when(F.col(y) == 1, bvn_cdf("_xb", "_zg", model.rho)).otherwise(bvn_cdf("_mxb", "_zg", -model.rho)))
-    return d.agg(F.sum(F.log("_p")).alias("loglik"), F.count("*").alias("n"), F.sum(select).cast("long").alias("n_selected"))
+    usable = F.coalesce(F.col("_p") > 0, F.lit(False))
+    return d.agg(F.sum(F.when(usable, F.log("_p"))).alias("loglik"), F.count("*").alias("n"),
+                 F.sum(select).cast("long").alias("n_selected"), F.count(F.when(~usable, 1)).alias("n_unusable"))
 
 
 # ---- likelihood inside tasks --------------------------------------------------
@@ -97,9 +107,9 @@ def _pieces(xb, zg, y, s, tau, second: bool):
     h = np.zeros((n, 6)) if second else None  # xx, xz, xt, zz, zt, tt
     un = s == 0
     k = zg[un]
-    p = np.maximum(np_cdf(-k), 1e-300)
-    m = np_pdf(k) / p
-    ll[un] = np.log(p)
+    logp = np_log_cdf(-k)
+    m = np.exp(-k * k / 2 - math.log(math.sqrt(2 * math.pi)) - logp)
+    ll[un] = logp
     g[un, 1] = -m
     if second:
         h[un, 3] = m * (k - m)
@@ -277,7 +287,9 @@ def selection_probit(df: DataFrame, y: str, x: list[str], select: str, z: list[s
     """Maximum likelihood with factors in both equations and cluster-robust covariance.
 
     Columns are centred and scaled for the search. The two probits at zero correlation
-    come first; then the correlation (by its inverse hyperbolic tangent) is freed.
+    come first; then the correlation (by its inverse hyperbolic tangent) is freed. Parameters that the
+    data do not identify (collinear columns, levels without variation) are marked in `omitted` and have no
+    error; `converged` in the statistics says whether the last step gained less than `tol`.
     """
     factors = factors or []
     cols = list(dict.fromkeys([*x, *z]))
@@ -311,6 +323,10 @@ def selection_probit(df: DataFrame, y: str, x: list[str], select: str, z: list[s
     base = [lay.at[f][0] for lay in (lx, lz) for f in factors]
     free = np.array([i for i in range(p) if i not in base])
     theta = np.zeros(p)
+    # at zero the two probits are apart, and their information is the weighted cross products of the columns
+    start = -_evaluate(data, theta, lx, lz, True)[2]
+    free = np.array([*free[independent(start[np.ix_(free[:-1], free[:-1])], tol=1e-9)], p - 1])
+    converged = False
     for joint in (False, True):
         idx = free if joint else free[free != p - 1]
         ll, g, h = _evaluate(data, theta, lx, lz, True)
@@ -322,25 +338,34 @@ def selection_probit(df: DataFrame, y: str, x: list[str], select: str, z: list[s
                 ridge = 1e-6 - low
             step = np.linalg.solve(a + ridge * np.eye(len(idx)), g[idx])
             gain = float(step @ g[idx])
-            if gain < tol:
+            converged = gain < tol
+            if converged:
                 break
             size = min(1.0, 0.5 / abs(step[-1])) if joint and abs(step[-1]) > 0.5 else 1.0
             while True:
                 trial = theta.copy()
                 trial[idx] += size * step
                 new = _evaluate(data, trial, lx, lz, size == 1.0)
-                if new[0] > ll - 1e-12 or size < 1e-6:
+                if new[0] > ll - 1e-12:
                     break
                 size /= 2
+                if size < 1e-6:  # no step in this direction is uphill: the search is over, without a gain below tol
+                    trial = None
+                    break
+            if trial is None:
+                break
             theta = trial
             ll, g, h = new if new[2] is not None else _evaluate(data, theta, lx, lz, True)
-    bread = np.zeros((p, p))
-    bread[np.ix_(free, free)] = np.linalg.inv(-h[np.ix_(free, free)])
+    # a coefficient that ran off towards infinity leaves no information behind
+    keep = free[independent(-h[np.ix_(free, free)], start[free, free], tol=1e-9)]
+    bread = inverse_of(-h, list(keep))
     scores, n_cl = None, 0
     cov = bread
     if cluster:
         scores = cut_lineage(_cluster_scores(data, theta, lx, lz))
         meat, n_cl = _outer_sum(scores, p)
+        if n_cl < 2:
+            raise ValueError("a cluster covariance needs at least two clusters")
         cov = bread @ meat @ bread * n_cl / (n_cl - 1)
 
     # back to the columns' own units: value = T @ theta
@@ -362,4 +387,5 @@ def selection_probit(df: DataFrame, y: str, x: list[str], select: str, z: list[s
         scores = scores.withColumn("slot", F.col("slot").cast("int"))
     return Model(x, z, levels, {nm: float(v) for nm, v in zip(names[:-1], own[:-1])}, float(theta[-1]), names,
                  t @ cov @ t.T, t @ bread, scores,
-                 {"n": n[0], "selected": n[1], "loglik": ll, "clusters": n_cl})
+                 {"n": n[0], "selected": n[1], "loglik": ll, "clusters": n_cl, "converged": float(converged)},
+                 {i for i in range(p) if i not in base and i not in keep})
