@@ -121,7 +121,7 @@ def surviving(mh: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> tuple[
     return a, b
 
 
-def group_pairs(block: np.ndarray, bi: int, bj: int, mh: np.ndarray, band: int, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def group_pairs(block: np.ndarray, bi: int, bj: int, mh: np.ndarray, band: int, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     """Surviving pairs of a group, found in pieces of at most `most` pairs."""
     left = np.flatnonzero(block == bi)
     right = left if bi == bj else np.flatnonzero(block == bj)
@@ -138,7 +138,7 @@ def group_pairs(block: np.ndarray, bi: int, bj: int, mh: np.ndarray, band: int,
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
-def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int = 1 << 16, most: int = 1 << 22) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int = 1 << 14, most: int = 1 << 19) -> np.ndarray:
     """Exact sizes of the intersections, by bit maps over slices of the members' common vocabulary."""
     if len(a) <= 4:
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
