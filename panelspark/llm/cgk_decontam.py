@@ -74,8 +74,7 @@ class Items:
             for i, k in enumerate(mine):
                 seq[i, : n[k]] = self.words[k]
             start = np.arange(len(mine)) * (longest + 1)
-            keys = walk_keys(seq.ravel(), start, start + n[mine], c)
-            for r, k in enumerate(keys):
+            for r, k in enumerate(walk_keys(seq.ravel(), start, start + n[mine], [c])[c]):
                 order = np.argsort(k, kind="stable")
                 self.tables[c, r] = (k[order], mine[order])
 
@@ -92,19 +91,46 @@ def plan(c: int) -> list[np.ndarray]:
     return [np.sort(rng.integers(0, steps, SAMPLED)) for _ in range(REPEATS)]
 
 
-def walk_keys(seq: np.ndarray, start: np.ndarray, end: np.ndarray, c: int) -> list[np.ndarray]:
-    """Per repeat, the key of the window that begins at each start; past `end` the walk reads blanks."""
-    out = []
-    for r, sampled in enumerate(plan(c)):
-        at, key, bits = start.copy(), np.zeros(len(start), np.uint64), None
-        for j in range(int(sampled[-1]) + 1):
-            inside = at < end
-            word = np.where(inside, seq[np.minimum(at, len(seq) - 1)], np.uint64(0))
-            for _ in range(int((sampled == j).sum())):
-                key = mix(key * np.uint64(31) + word + np.uint64(j + 1))
-            bits = mix(word ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 + j * 0xD1B54A32D192ED03 & 2**64 - 1))
-            at = at + (inside & ((bits >> np.uint64(17)) & np.uint64(1)).astype(bool))
-        out.append(key)
+SEEDS = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def walk_keys(seq: np.ndarray, start: np.ndarray, end: np.ndarray, classes: list[int], most: int = 8192) -> dict[int, np.ndarray]:
+    """Per size class, keys (repeat, start) of the windows that begin at each start; past `end` a walk reads blanks.
+
+    All repeats walk side by side, and the classes differ only in the steps they look at, so one walk serves them all.
+    """
+    plans = {c: plan(c) for c in classes}
+    steps = 1 + max(int(p[-1]) for ps in plans.values() for p in ps)
+    looks: dict[int, dict[int, list[int]]] = {}
+    for c, ps in plans.items():
+        for r, sampled in enumerate(ps):
+            for j in sampled.tolist():
+                looks.setdefault(j, {}).setdefault(c, []).append(r)
+    out = {c: np.zeros((REPEATS, len(start)), np.uint64) for c in classes}
+    rows = np.arange(REPEATS)[:, None]
+    for k in range(0, len(start), most):
+        s = start[k:k + most]
+        n = np.minimum(end[k:k + most] - s, steps)
+        # only the words that some walk can reach, close together
+        reach = np.zeros(len(seq) + 1, np.int32)
+        np.add.at(reach, s, 1)
+        np.add.at(reach, s + n, -1)
+        used = np.cumsum(reach[:-1]) > 0
+        word = np.append(seq[used], np.uint64(0))
+        at = np.repeat((np.cumsum(used) - 1)[np.minimum(s, len(seq) - 1)][None, :], REPEATS, axis=0)
+        stop = at[:1] + n
+        bits = mix(word[None, :] ^ SEEDS[:, None])
+        bits = [bits, mix(bits + np.uint64(1))]
+        for j in range(steps):
+            if j and j % 64 == 0 and j // 64 >= len(bits):
+                bits.append(mix(bits[-1] + np.uint64(1)))
+            inside = at < stop
+            here = np.minimum(at, len(word) - 1)
+            for c, who in looks.get(j, {}).items():
+                for r in who:
+                    w = np.where(inside[r], word[here[r]], np.uint64(0))
+                    out[c][r, k:k + most] = mix(out[c][r, k:k + most] * np.uint64(31) + w + np.uint64(j + 1))
+            at = at + (inside & ((bits[j // 64][rows, here] >> np.uint64(j % 64)) & np.uint64(1)).astype(bool))
     return out
 
 
@@ -141,8 +167,8 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int,
             if not len(alive):
                 continue
             pairs = []
-            for c in classes:
-                for r, keys in enumerate(walk_keys(seq, alive, stop[alive], c)):
+            for c, walks in walk_keys(seq, alive, stop[alive], classes).items():
+                for r, keys in enumerate(walks):
                     have, number = items.tables[c, r]
                     lo, hi = np.searchsorted(have, keys, side="left"), np.searchsorted(have, keys, side="right")
                     n = hi - lo
