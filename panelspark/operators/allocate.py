@@ -82,9 +82,9 @@ def _regular(draws: DataFrame, u: str) -> DataFrame:
 
 def _rest(d: DataFrame, order: Column, out: str) -> DataFrame:
     # values are centred on each row's own index, so only a sort of the data itself balances the ranges
-    d = row_positions(d.withColumn("_o", order), [*CELL, "_reg"], ["_o", "emp"], "_p")
-    won = (F.col("_reg") == 1) | (F.col("_p") <= F.col("_open"))
-    return d.withColumn(out, flag(won)).drop("_o", "_p", "_reg", "_open")
+    d = row_positions(d.withColumn("_o", order), [*CELL, "_reg"], ["_o", "emp"], "_pos")
+    won = (F.col("_reg") == 1) | (F.col("_pos") <= F.col("_open"))
+    return d.withColumn(out, flag(won)).drop("_o", "_pos", "_reg", "_open")
 
 
 def alloc_auction(draws: DataFrame, out: str = "auction_work") -> DataFrame:
