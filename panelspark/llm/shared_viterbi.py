@@ -59,7 +59,8 @@ class Pieces:
         for p in self.id:
             self.longest[p[-1]] = max(self.longest.get(p[-1], 0), len(p))
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}   # words in use, and those of the time before
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.chains: dict[int, tuple] = {}
 
@@ -102,7 +103,7 @@ class Pieces:
         key = a * len(self.names) + b
         out = self.pairs.get(key)
         if out is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             out = self.pairs[key] = self._apart(a, b)
         return out
@@ -182,8 +183,11 @@ class Pieces:
                 words = [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + MARK.join(words))]
             split.append(words if t else [])
         if len(self.known) > KEPT:
-            self.known.clear()
-        new = sorted(set().union(*split).difference(self.known))
+            self.known, self.older = {}, self.known
+        new = set().union(*split).difference(self.known)
+        again = new.intersection(self.older)
+        self.known |= [(w, self.older[w]) for w in again]
+        new = sorted(new - again)
         spaced = [w for w in new if not w or w[0] == MARK]
         plain = [w for w in new if w and w[0] != MARK]
         self.known |= zip(plain, self.encode_words([MARK + w for w in plain]))
