@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,17 @@ from panelspark.llm.common import slices
 END = 2
 SHARD = 1 << 20           # ids in a shard, unless one text has more
 PART_BYTES = 16 << 20     # text in a partition
-ROUNDS, RULES, LEAST = 8, 512, 24
-BINS = 20
-KEPT = 400_000            # pieces kept in memory by a worker
+ROUNDS, RULES, LEAST = 6, 1024, 24
+BINS = 18
+KEPT = 300_000            # pieces kept in memory by a worker, twice over
 
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+# ASCII signs without the apostrophe, which the tokenizer's pattern treats apart
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+# the tokenizer's byte-level alphabet: visible bytes stand for themselves, the others for code points from 256 on
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+ALPHABET = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
 
 
 class Encoder:
@@ -44,52 +51,48 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        # ids after which one of the tokenizer's words is over
-        vocabulary = self.tok.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}  # in use, and those of the time before
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, new: list[str], many: int = 400) -> None:
-        """Each part is one word to the tokenizer; many are encoded as one text and cut at the word ends."""
-        groups = [new[i:i + many] for i in range(0, len(new), many)]
-        for g, ids in zip(groups, self._raw([" ".join(g) for g in groups])):
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(g):
-                self.parts |= zip(g, (x.tobytes() for x in np.split(ids, ends[:-1])))
-            else:
-                self.parts |= zip(g, (x.tobytes() for x in self._raw(g)))
-
     def _learn(self, new: list[bytes]) -> None:
-        plain, parts, other = [], set(), []
+        """Ids of pieces. Most are letters and then signs, which are two words to the tokenizer's pattern; a word of
+        letters goes straight to its merge model, in its byte alphabet. All other pieces go the whole way."""
+        plain, other, match = [], [], LETTERS.fullmatch
         for p in new:
-            s = p.decode("utf-8", "surrogatepass")
-            m = SIMPLE.fullmatch(s)
-            if m:
-                plain.append((p, m[1].lower(), m[2]))
-                parts.update((m[1].lower(), m[2]) if m[2] else (m[1].lower(),))
+            word = p.rstrip(SIGNS)
+            if word.isalpha():
+                plain.append((p, word.lower(), p[len(word):]))
             else:
-                other.append((p, s))
-        if len(self.parts) > KEPT:
+                low = word.decode("utf-8", "surrogatepass").lower()
+                if match(low):
+                    plain.append((p, low.encode(), p[len(word):]))
+                else:
+                    other.append(p)
+        if len(self.parts) > 2 * KEPT:
             self.parts.clear()
-        self._learn_parts(sorted(parts.difference(self.parts)))
-        for p, word, tail in plain:
-            self.pieces[p] = self.parts[word] + self.parts[tail] if tail else self.parts[word]
-        for (p, _), ids in zip(other, self._raw([s for _, s in other])):
-            self.pieces[p] = ids.tobytes()
+        tokenize, parts = self.tok.model.tokenize, self.parts
+        for word in {x[1] for x in plain}.difference(parts):
+            parts[word] = array("I", [t.id for t in tokenize(word.decode("latin-1").translate(ALPHABET))]).tobytes()
+        tails = list({x[2] for x in plain}.difference(parts))
+        parts |= zip(tails, (x.tobytes() for x in self._raw([t.decode() for t in tails])))
+        self.pieces |= [(p, parts[word] + parts[tail]) for p, word, tail in plain]
+        self.pieces |= zip(other, (x.tobytes() for x in self._raw([p.decode("utf-8", "surrogatepass") for p in other])))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids per text, without the end id."""
         split = [("" if t is None else t).encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.pieces) > KEPT:
-            self.pieces.clear()
+            self.pieces, self.older = {}, self.pieces
         new = set().union(*split).difference(self.pieces)
+        again = new.intersection(self.older)
+        self.pieces |= [(p, self.older[p]) for p in again]
+        new -= again
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         get = self.pieces.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
 
