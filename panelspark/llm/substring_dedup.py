@@ -229,7 +229,7 @@ def candidates(docs: DataFrame, blocks: int, window: int = WINDOW, gram: int = G
     return cut_lineage(hits.groupBy("_k2").agg(F.collect_set("val").alias("vals")))
 
 
-def _windows(blocks: int, window: int, gram: int, chars: int = 12_000_000):
+def _windows(blocks: int, window: int, gram: int, chars: int = 5_000_000):
     """Windows whose stand-in is among their text's candidates.
 
     Those found twice in a piece of the batch are settled: a row (hash of the row id, null, rid, ranges of starts) per text, and
