@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.operators.keys import cut_lineage
+
 # fixed values: tags of the HTML standard by their role here
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
@@ -194,6 +196,7 @@ def main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", page: s
                                               b.column("path")], names=["_id", "_url", "text", "n_chars", "path"])
 
     kind = df.schema[page_id].dataType.simpleString()
-    return (pages.join(votes(df, url, page), "host", "left").select("_id", "_url", "_html", "path")
+    # written first, so that its true size decides how it is joined and pages need not be dealt by host for a small table
+    return (pages.join(cut_lineage(votes(df, url, page)), "host", "left").select("_id", "_url", "_html", "path")
             .mapInArrow(run, f"_id {kind}, _url string, text string, n_chars long, path string")
             .select(F.col("_id").alias(page_id), F.col("_url").alias(url), "text", "n_chars", "path"))
