@@ -3,17 +3,20 @@
 Texts and items are sequences of words (lower case, ASCII punctuation as white space). A text holds an item if some
 window is within floor(n / 5) word insertions, deletions and substitutions of the item's n words.
 
-1. A window that close shares at least (n - q + 1) - q * floor(n / 5) word q-grams with the item. Window starts with
-   fewer shared grams ahead than any item needs are passed over; this loses nothing.
+0. Items of more than `PIECE` words are cut into even pieces. Of the pieces of an item some one takes no more than its
+   own share of the edits, floor(m / 5) of its m words, so it is enough to look for pieces; this loses nothing.
+1. A window that close shares at least (m - q + 1) - q * floor(m / 5) word q-grams with a piece of m words. Window
+   starts with fewer shared grams ahead than any piece needs are passed over; this loses nothing.
 2. At the others a random walk reads the window: each step writes the word under it and moves on by a random bit of
    step and word (the CGK embedding). Windows that differ by few edits fall into step again, so edit distance
-   becomes Hamming distance. The walk stops where a window of the item's size class ends.
-3. `REPEATS` times `SAMPLED` steps of an own walk form a key; windows and items with an equal key are candidates.
-   The number of repeats gives a recall of `RECALL` for pairs whose walks agree on `AGREE` of the steps; equal
-   sequences always meet.
-4. Every candidate is verified by the exact edit distance to the best window that begins there.
+   becomes Hamming distance. The walk stops where a window of the piece's size class ends.
+3. `REPEATS` times `SAMPLED` steps of an own walk form a key; windows and pieces with an equal key are candidates.
+   Walks agree less the longer they are and the more words are missing; up to `PIECE` words the repeats find a piece
+   with its full share of edits at random places, deletions alone included, with a chance of at least 0.98 (measured
+   by a test for every length). Equal sequences always meet.
+4. The exact edit distance of the whole item is worked out for all window starts that a candidate piece allows.
 
-Items go through in blocks of at most `ITEM_BLOCK`, each against all texts, so what a task is sent is bounded.
+Items go through in blocks of about `ITEM_BLOCK` pieces, each against all texts, so what a task is sent is bounded.
 
 Cases: null or empty texts and items match nothing; an empty table on either side gives no rows; repeated rows give
 a row each; the best window (fewest edits, then first) of each text and item is returned. Other columns play no part.
@@ -32,8 +35,8 @@ from panelspark.llm.common import IS_BLANK, Rolling, Words, mix, slices
 
 PART = 5                  # at most one edit for so many words
 SAMPLED = 3
-AGREE, RECALL = 0.42, 0.98
-REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
+PIECE = 24                # words of the longest sequence that is looked up
+REPEATS = 60
 ITEM_BLOCK = 20_000
 BREAK = IS_BLANK.copy()
 BREAK[[c for c in range(33, 128) if not chr(c).isalnum()]] = True
@@ -53,18 +56,24 @@ CLASSES = _classes()
 
 @dataclass
 class Items:
-    """A block of items, with the gram filter and the LSH tables of all size classes."""
+    """A block of items, with the gram filter and the LSH tables of all size classes of their pieces."""
     ids: list
     words: list[np.ndarray]
+    item: np.ndarray = None                       # per piece: item number, words before it
+    offset: np.ndarray = None
     filters: list = field(default_factory=list)   # (q, sorted grams, least shared, longest reach, classes)
-    tables: dict = field(default_factory=dict)    # (class, repeat) -> (sorted keys, item numbers)
+    tables: dict = field(default_factory=dict)    # (class, repeat) -> (sorted keys, piece numbers)
 
     def __post_init__(self):
-        n = np.array([len(w) for w in self.words])
+        cuts = [len(w) * np.arange(p + 1) // p for w in self.words for p in (math.ceil(len(w) / PIECE),)]
+        pieces = [w[a:b] for w, c in zip(self.words, cuts) for a, b in zip(c[:-1], c[1:])]
+        self.item = np.repeat(np.arange(len(cuts)), [len(c) - 1 for c in cuts])
+        self.offset = np.concatenate([c[:-1] for c in cuts])
+        n = np.array([len(w) for w in pieces])
         self.group = CLASSES[np.searchsorted(CLASSES, n, side="right") - 1]
         for q, here in ((3, n >= 6), (1, n < 6)):
             if here.any():
-                grams = np.unique(np.concatenate([q_grams(w, q) for w, h in zip(self.words, here) if h]))
+                grams = np.unique(np.concatenate([q_grams(w, q) for w, h in zip(pieces, here) if h]))
                 need = min(int(m - q + 1 - q * (m // PART)) for m in n[here])
                 self.filters.append((q, grams, max(1, need), int((n[here] + n[here] // PART).max()), sorted(set(self.group[here].tolist()))))
         for c in set(self.group.tolist()):
@@ -72,7 +81,7 @@ class Items:
             longest = int(n[mine].max())
             seq = np.zeros((len(mine), longest + 1), np.uint64)
             for i, k in enumerate(mine):
-                seq[i, : n[k]] = self.words[k]
+                seq[i, : n[k]] = pieces[k]
             start = np.arange(len(mine)) * (longest + 1)
             for r, k in enumerate(walk_keys(seq.ravel(), start, start + n[mine], [c])[c]):
                 order = np.argsort(k, kind="stable")
@@ -134,16 +143,33 @@ def walk_keys(seq: np.ndarray, start: np.ndarray, end: np.ndarray, classes: list
     return out
 
 
-def edit_distances(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Least edits between the item and a window's beginning of any length; one row per window."""
-    ramp = np.arange(windows.shape[1] + 1)
-    row = np.broadcast_to(ramp, (len(windows), len(ramp)))
-    for i, w in enumerate(item):
+def start_distances(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Least edits between the item and a stretch of any length that begins at each place of each window."""
+    back = windows[:, ::-1]  # from the end, a stretch may begin anywhere at no cost
+    ramp = np.arange(back.shape[1] + 1, dtype=np.int32)
+    row = np.zeros((len(back), len(ramp)), np.int32)
+    for i, w in enumerate(item[::-1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + (windows != w), row[:, 1:] + 1)
+        new[:, 1:] = np.minimum(row[:, :-1] + (back != w), row[:, 1:] + 1)
         row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-    return row.min(axis=1)
+    return row[:, ::-1]
+
+
+def edit_distances(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Least edits between the item and a window's beginning of any length; one row per window."""
+    return start_distances(item, windows)[:, 0]
+
+
+def stretches(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, most: int) -> np.ndarray:
+    """Ranges lo:hi of equal documents united where they meet, and cut at `most`; rows of (begin, end), in order."""
+    order = np.lexsort((lo, doc))
+    lo, hi, doc = lo[order], hi[order], doc[order]
+    cut = np.flatnonzero((lo[1:] > hi[:-1]) | (doc[1:] != doc[:-1])) + 1
+    lo, hi = lo[np.concatenate(([0], cut))], hi[np.concatenate((cut - 1, [len(hi) - 1]))]
+    n = -(-(hi - lo) // most)
+    begin = np.repeat(lo, n) + most * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return np.stack([begin, np.minimum(begin + most, np.repeat(hi, n))], axis=1)
 
 
 def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int]]:
@@ -179,20 +205,31 @@ def matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int,
                         pairs.append(np.stack([number[lo[each] + offset], alive[each]]))
             if not pairs:
                 continue
-            pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            piece, at = np.concatenate(pairs, axis=1)
+            # windows of the item that may hold its piece here begin so many words before, give or take the edits
+            pairs = np.unique(np.stack([items.item[piece], at - items.offset[piece], w.doc_of(at)]), axis=1)
             cut = np.concatenate(([0], np.flatnonzero(np.diff(pairs[0])) + 1, [pairs.shape[1]]))
             for a, b in zip(cut[:-1], cut[1:]):
                 k = int(pairs[0, a])
                 item = items.words[k]
                 most = len(item) // PART
-                for s in range(a, b, 4096):
-                    p = pairs[1, s:min(b, s + 4096)]
-                    col = p[:, None] + np.arange(len(item) + most)
-                    windows = np.where(col < stop[p][:, None], seq[np.minimum(col, len(seq) - 1)], np.uint64(0))
-                    d = edit_distances(item, windows)
-                    for x in np.flatnonzero(d <= most):
-                        doc = int(w.doc_of(p[x]))
-                        got = (int(d[x]), int(p[x] - w.first[doc]))
+                _, base, doc = pairs[:, a:b]
+                lo, hi = np.maximum(base - most, w.first[doc]), np.minimum(base + most + 1, w.first[doc + 1])
+                fits = lo < hi
+                if not fits.any():
+                    continue
+                begins = stretches(lo[fits], hi[fits], doc[fits], max(4096, len(item)))
+                begins = begins[np.argsort(begins[:, 1] - begins[:, 0], kind="stable")]
+                wide = int((begins[:, 1] - begins[:, 0]).max()) + len(item) + most
+                step = max(1, (1 << 20) // wide)
+                for s in range(0, len(begins), step):
+                    lo, hi = begins[s:s + step].T
+                    col = lo[:, None] + np.arange(int((hi - lo).max()) + len(item) + most)
+                    windows = np.where(col < stop[lo][:, None], seq[np.minimum(col, len(seq) - 1)], np.uint64(0))
+                    d = start_distances(item, windows)[:, :-1]
+                    for x, y in zip(*np.nonzero((d <= most) & (col < hi[:, None]))):
+                        doc = int(w.doc_of(lo[x]))
+                        got = (int(d[x, y]), int(col[x, y] - w.first[doc]))
                         best[i + doc, k] = min(got, best.get((i + doc, k), got))
     return [(t, k, s, d) for (t, k), (d, s) in sorted(best.items())]
 
@@ -205,6 +242,12 @@ def load_items(rows: list[tuple]) -> Items | None:
     return Items([p[0] for p in parts], [p[1] for p in parts]) if parts else None
 
 
+def block_count(some: DataFrame) -> int:
+    """Blocks of items (t) of about ITEM_BLOCK pieces each."""
+    pieces = F.ceil(F.size(F.split("t", r"[\s\p{Punct}]+")) / PIECE)
+    return math.ceil((some.agg(F.sum(pieces)).first()[0] or 0) / ITEM_BLOCK)
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                  item_text: str = "text") -> DataFrame:
     """Rows (id, item id, start_word, n_edits): the texts that hold an item, with its best window."""
@@ -212,7 +255,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     schema = f"_id {kinds[0]}, _item {kinds[1].simpleString()}, start_word long, n_edits long"
     docs = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     some = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
-    parts = math.ceil(some.count() / ITEM_BLOCK)
+    parts = block_count(some)
     out = None
     for part in range(parts):
         items = load_items(sorted(some.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect(), key=repr))
@@ -239,7 +282,7 @@ def clean_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """The rows of `df`, same columns, whose text holds no item; each row is judged where it stands."""
     at = df.columns.index(text)
     some = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
-    parts = math.ceil(some.count() / ITEM_BLOCK)
+    parts = block_count(some)
     for part in range(parts):
         items = load_items(sorted(some.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect(), key=repr))
         if items is None:

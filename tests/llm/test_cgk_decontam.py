@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from panelspark.llm import cgk_decontam as C
 from panelspark.llm.common import read
@@ -103,3 +104,61 @@ def test_edit_distances():
                 new.append(min(row[j] + (w != x), row[j + 1] + 1, new[j] + 1))
             row = new
         assert got == min(row)
+
+
+def of_one_kind(r, w, k, how):
+    """Exactly k insertions, deletions or substitutions by new words, at random places."""
+    if how == "insert":
+        w = list(w)
+        for _ in range(k):
+            w.insert(r.randrange(len(w) + 1), f"new{r.randrange(10**9)}")
+        return w
+    at = set(r.sample(range(len(w)), k))
+    return [x if i not in at else f"new{r.randrange(10**9)}" for i, x in enumerate(w) if how != "delete" or i not in at]
+
+
+@pytest.mark.parametrize("n", [25, 60, 100, 200, 500])
+@pytest.mark.parametrize("how", ["delete", "insert", "substitute"])
+def test_recall_on_long_items(n, how):
+    """Items with all the edits that the definition allows, of one kind, inside other text."""
+    r = random.Random(n)
+    new = lambda k: [f"v{r.randrange(10**9)}" for _ in range(k)]
+    bench = [new(n) for _ in range(100)]
+    items = C.load_items([(i, " ".join(w)) for i, w in enumerate(bench)])
+    texts = [" ".join(new(r.randrange(90)) + of_one_kind(r, w, n // C.PART, how) + new(r.randrange(90))) for w in bench]
+    got = C.matches(texts, items)
+    assert all(t == k and d <= n // C.PART for t, k, _, d in got)
+    assert len(got) >= 98
+
+
+def test_recall_of_each_length_looked_up():
+    """The chance that walks of a piece meet, with its full share of edits, per length and kind."""
+    r = np.random.default_rng(11)
+    new = lambda k: r.integers(1, 2**63, k, dtype=np.uint64)
+    for n in range(C.PART, C.PIECE + 1):
+        c = int(C.CLASSES[np.searchsorted(C.CLASSES, n, side="right") - 1])
+        k = n // C.PART
+        for how in ("delete", "insert", "substitute"):
+            seq, start, end = [], [], []
+            for _ in range(400):
+                w = new(n)
+                at = np.sort(r.permutation(n)[:k])
+                t = np.delete(w, at) if how == "delete" else np.insert(w, at, new(k)) if how == "insert" else w.copy()
+                if how == "substitute":
+                    t[at] = new(k)
+                for x, size in ((w, n), (np.concatenate([t, new(2 * n)]), len(t) + 2 * n)):
+                    start.append(sum(map(len, seq[-1:])) + (start[-1] if start else 0))
+                    end.append(start[-1] + size)
+                    seq.append(np.append(x, np.uint64(0)))
+            keys = C.walk_keys(np.concatenate(seq), np.array(start), np.array(end), [c])[c]
+            assert (keys[:, 0::2] == keys[:, 1::2]).any(axis=0).mean() >= 0.97, (n, how)
+
+
+def test_best_window_of_a_long_item():
+    r = random.Random(2)
+    item = [f"v{r.randrange(10**9)}" for _ in range(120)]
+    items = C.load_items([(0, " ".join(item))])
+    for head in (0, 3, 40):
+        text = [f"t{r.randrange(10**9)}" for _ in range(head)] + item[:1] + of_one_kind(r, item[1:], 20, "delete") + ["tail"] * 5
+        assert C.matches([" ".join(text), None, " ".join(item[30:])], items) == [(0, 0, head, 20)]
+    assert C.matches([" ".join(item[24:])], items) == [(0, 0, 0, 24)] and C.matches([" ".join(item[25:])], items) == []
