@@ -1,6 +1,7 @@
 """Near duplicates by Jaccard similarity of word shingles, with Bayesian pruning of candidate pairs.
 
-1. Texts with the same set of shingles form a class; one of its documents speaks for it.
+1. Texts with the same set of shingles form a class; one of its documents speaks for it. Classes go by a number written
+   with them and rows by a hash of id and text; ids are only mapped to in the result.
 2. 96 MinHash values of 16 bits; four at a time they are bands. Classes equal in a band share a bucket. At the
    threshold of 0.8 a pair shares none with a chance of (1 - 0.8^4)^24 = 3e-6.
 3. Within a bucket the values of a pair are compared 16 at a time. Agreements among n values are binomial in the
@@ -16,9 +17,9 @@ the same members are kept once.
 Result: one row per row of the input with class_id (the smallest id reachable over links) and n_links (documents of
 similarity 0.8 or more, copies included).
 
-Cases: a text of fewer than five words is its own single shingle; null or empty texts have no links; a null id is
-one id; rows that share an id are judged each by its text, and the filter keeps one of them; an empty table gives no
-rows. Only id and text are read.
+Cases: a text of fewer than five words is its own single shingle; null or empty texts have no links, and the filter
+keeps them all; a null id comes first; rows that share an id, or have none, are judged each by its text; an empty table
+gives no rows. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import Rolling, Words, mix, slices
+from panelspark.llm.common import Rolling, Words, mix, row_key, slices
 from panelspark.operators.components import components
 from panelspark.operators.keys import cut_lineage
 
@@ -41,6 +42,7 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 512
 BLOCK_BYTES = 64 << 20
+BLANK = r"\x20\x09-\x0D"
 A, B = Rolling(21), Rolling(22)
 _rng = np.random.default_rng(23)
 MULTIPLY = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -94,8 +96,8 @@ def _describe(batches):
         sets = shingle_sets(b.column("_text").to_pylist())
         sig = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([min_hashes(s) if len(s) else None for s in sets], pa.binary())], names=["id", "h1", "h2", "n", "mh"])
+            [b.column("id"), b.column("_k1"), b.column("_k2"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([min_hashes(s) if len(s) else None for s in sets], pa.binary())], names=["id", "_k1", "_k2", "h1", "h2", "n", "mh"])
 
 
 def _bands(batches):
@@ -231,20 +233,20 @@ def _shingles(batches):
     for b in batches:
         sets = shingle_sets(b.column("_text").to_pylist())
         sig = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                         names=["rep", "h1", "h2", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                         names=["h1", "h2", "shingles"])
 
 
 GROUP = ["bucket", "bi", "bj"]
 
 
-def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, class_id, n_links, n_shingles."""
-    docs = df.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    docs = docs.withColumn("id", F.coalesce("_id", F.lit(-2**63)))
-    each = cut_lineage(docs.select("id", "_text").mapInArrow(_describe, "id long, h1 long, h2 long, n long, mh binary"))
+def _linked(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, h1, h2, n; classes with words: h1, h2, top, n_links); top is (id, _k1, _k2) of the first row in reach."""
+    docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)).alias("id"), *row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text"))
+    each = cut_lineage(docs.mapInArrow(_describe, "id long, _k1 long, _k2 int, h1 long, h2 long, n long, mh binary"))
     classes = cut_lineage(each.where("n > 0").groupBy("h1", "h2")
-                          .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh")))
+                          .agg(F.min(F.struct("id", "_k1", "_k2")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
+                          .withColumn("rep", F.monotonically_increasing_id()))
     bands = classes.select("rep", "n", "mh").mapInArrow(_bands, "rep long, n long, band int, key long")
     buckets = (bands.groupBy("band", "key")
                .agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.sum("n").alias("w")).where("m > 1")
@@ -257,26 +259,33 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     active = cut_lineage(members.join(classes.select("rep", "mh"), "rep").select(*GROUP, "rep", "block", "band", "mh")
                          .repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
                          .mapInArrow(_active, "bucket long, bi int, bj int, rep long, block int, band int"))
-    wanted = active.select("rep").distinct().join(classes.select("rep", "h1", "h2"), "rep")
-    sets = (docs.select("id", "_text").join(wanted.select(F.col("rep").alias("id")).distinct(), "id")
-            .select("id", "_text").mapInArrow(_shingles, "rep long, h1 long, h2 long, shingles binary")
-            .join(wanted, ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep", "h1", "h2"]).select("rep", "h1", "h2", "shingles"))
-    found = cut_lineage(active.join(classes.select("rep", "h1", "h2", "copies", "mh"), "rep").join(sets, ["rep", "h1", "h2"])
+    wanted = active.select("rep").distinct().join(classes.select("rep", "h1", "h2", "own._k1", "own._k2"), "rep")
+    sets = (docs.select("_k1", "_k2", "_text").join(wanted.select("_k1", "_k2").distinct(), ["_k1", "_k2"])
+            .select("_text").mapInArrow(_shingles, "h1 long, h2 long, shingles binary")
+            .join(wanted.select("rep", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles"))
+    found = cut_lineage(active.join(classes.select("rep", "copies", "mh"), "rep").join(sets, "rep")
                         .select(*GROUP, "rep", "block", "band", "copies", "mh", "shingles")
                         .repartition(*GROUP).sortWithinPartitions(*GROUP, "rep").mapInArrow(_verify, "u long, v long, links long"))
     links = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     roots = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("rep"), "root")
-    known = (classes.select("h1", "h2", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
-             .select("h1", "h2", F.coalesce("root", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    tops = roots.join(classes.select("rep", "own"), "rep").groupBy("root").agg(F.min("own").alias("top"))
+    known = (classes.select("h1", "h2", "rep", "own", "copies").join(links, "rep", "left").join(roots.join(tops, "root").select("rep", "top"), "rep", "left")
+             .select("h1", "h2", F.coalesce("top", "own").alias("top"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return each.select("id", "h1", "h2", "n"), known
+
+
+def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, class_id, n_links, n_shingles."""
+    each, known = _linked(df, doc_id, text)
     real = lambda c: F.when(F.col(c) != -2**63, F.col(c))
-    some = each.where("n > 0").join(known, ["h1", "h2"]).select(real("id").alias(doc_id), real("class").alias("class_id"), "n_links", F.col("n").alias("n_shingles"))
+    some = each.where("n > 0").join(known, ["h1", "h2"]).select(real("id").alias(doc_id), real("top.id").alias("class_id"), "n_links", F.col("n").alias("n_shingles"))
     none = each.where("n = 0").select(real("id").alias(doc_id), real("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("n").alias("n_shingles"))
     return some.unionByName(none)
 
 
 def one_per_class(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df`, same columns, whose id is the smallest of its class; rows that share an id stay once."""
-    keep = (jaccard_classes(df, doc_id, text).where(F.col(doc_id).eqNullSafe(F.col("class_id")))
-            .select(F.coalesce(F.col(doc_id), F.lit(-2**63)).alias("_key")).distinct())
-    rows = df.select(F.struct("*").alias("d"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)).alias("_key"))
-    return rows.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select("d.*")
+    """Rows of `df`, same columns: of each class the first by id and text hash (equal rows once), and all without a word."""
+    keep = _linked(df, doc_id, text)[1].select("top._k1", "top._k2").distinct()
+    rows = df.select(F.struct("*").alias("d"), *row_key(F.col(doc_id), F.col(text)), F.coalesce(F.col(text).rlike(f"[^{BLANK}]"), F.lit(False)).alias("_words"))
+    first = rows.where("_words").join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return first.select("d.*").unionByName(rows.where("NOT _words").select("d.*"))

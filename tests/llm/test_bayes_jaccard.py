@@ -76,6 +76,28 @@ def test_missing_and_shared_ids(spark):
     assert J.jaccard_classes(df.limit(0)).count() == 0 and J.one_per_class(df.limit(0)).count() == 0
 
 
+def test_no_row_is_lost_by_its_id(spark):
+    """Rows without an id, or with that of another, are kept by their texts."""
+    x, q = "a b c d e f", "q r s t u v"
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda rows: sorted(map(str, map(tuple, J.one_per_class(table(rows)).collect())))
+    assert kept([(4, x), (4, q), (9, q), (None, x)]) == sorted([str((None, x)), str((4, q))])
+    clean = [(None, f"{i} b c d e f") for i in range(9)] + [(7, f"{i} q r s t") for i in range(9)]
+    assert kept(clean + [clean[0], clean[-1]]) == sorted(str(r) for r in clean)
+    empty = [(None, None), (None, ""), (3, " "), (3, None)]
+    assert kept(empty) == sorted(str(r) for r in empty)
+
+
+def test_unlike_classes_with_the_same_ids(spark):
+    """Two pairs of near copies whose ids are the same stay two classes, and both have their link."""
+    r = random.Random(5)
+    a, b = ([f"{c}{r.randrange(10**6)}" for _ in range(200)] for c in "ab")
+    rows = [(i, " ".join(w[:-1] + [f"end{i}"])) for w in (a, b) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_classes(df).select("doc_id", "class_id", "n_links").collect())) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 1, 1)]
+    assert sorted(map(tuple, J.one_per_class(df).collect())) == sorted([rows[0], rows[2]])
+
+
 def test_bayes_bound():
     rng = np.random.default_rng(1)
     for i, j, need in J.NEED:
