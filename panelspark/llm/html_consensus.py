@@ -6,7 +6,10 @@ host's winning path, or from its own best container where it has none there.
 
 A text is one line per block: character references decoded, white space inside a block one space, trimmed. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role
-or class name.
+or class name. An outermost article or main element is judged by itself, whatever encloses it. "no-sidebar" or
+"with-comments" name no sidebar and no comments; an element that holds most of the unlinked text (of its article, or of
+a page without one) is no boilerplate by its name, unless by one of comments; a first-level heading stays in an element
+named header.
 
 Cases: null or empty html gives an empty text; a null URL, or one without "://", votes under the host ""; unclosed
 tags and cut-off pages are read as far as they go; ties between paths go to the greater score, then to the path
@@ -41,30 +44,57 @@ BOILER_WORDS = frozenset(("ad ads advert adverts advertisement advertising banne
                           "pagination pager popup promo promotion related respond replies search share sharing shares sidebar social "
                           "sponsor sponsored subscribe toolbar widget complementary contentinfo").split())
 
+NOT_NAMED = frozenset("no not has have with without".split())  # what follows says what is there or not, not what this is
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+HEADER_WORDS = frozenset("header masthead banner".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 def _words(attributes: str) -> tuple[list[str], set[str]]:
-    """(class names, words of class, id and role)."""
+    """(class names, words of class, id and role that name boilerplate)."""
     names, words = [], set()
     for name, *values in ATTRIBUTE.findall(attributes):
         value = html.unescape("".join(values)).lower()
         if name.lower() == "class":
             names = value.split()
-        words |= set(re.split(r"[^a-z]+", value)) | set(value.split())
-    return names, words
+        for v in value.split():
+            parts = re.split(r"[^a-z]+", v)
+            words |= {w for before, w in zip(["", *parts], parts) if before not in NOT_NAMED}
+    return names, words & BOILER_WORDS
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "text", "links")
+    __slots__ = ("tag", "path", "skip", "scope", "named", "words", "text", "links")
 
-    def __init__(self, tag, path, skip):
+    def __init__(self, tag, path, skip, scope=None, named=(), words=()):
         self.tag, self.path, self.skip, self.text, self.links = tag, path, skip, 0, 0
+        self.scope, self.named, self.words = scope, named, words  # outermost article or main; enclosing elements with such names, and its own
 
 
 def blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
     """(open elements, block's text, its characters inside links), in page order, boilerplate left out."""
+    every = list(_blocks(page))
+    total: dict[Node | None, int] = {}
+    for nodes, t, linked in every:
+        own, top = max(0, len(t) - linked), nodes[-1]
+        total[top.scope] = total.get(top.scope, 0) + own
+        for n in top.named:
+            n.text += own
+    alone = not any(total[k] for k in total if k is not None)
+
+    def boiler(n: Node) -> bool:
+        return not COMMENT_WORDS.isdisjoint(n.words) or not (n.scope is not None or alone) or 2 * n.text <= total[n.scope]
+
+    for nodes, t, linked in every:
+        title = any(n.tag == "h1" for n in nodes)
+        if not any(boiler(n) and not (title and HEADER_WORDS.issuperset(n.words)) for n in nodes[-1].named):
+            yield nodes, t, linked
+
+
+def _blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
+    """Blocks outside elements that are boilerplate by their tag."""
     stack = [Node("#", "", False)]
     held: list[str] = []
     linked = in_link = 0
@@ -128,10 +158,19 @@ def blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
         names, words = _words(m[3]) if m[3] and "=" in m[3] else ([], set())
         step = ".".join([tag, *sorted(re.sub("[0-9]+", "", c) for c in names)])
         top = stack[-1]
-        skip = top.skip or tag in BOILER or (tag not in ("html", "body", "article", "main") and not BOILER_WORDS.isdisjoint(words))
+        skip, scope, named = top.skip or tag in BOILER, top.scope, top.named
+        if tag in ("article", "main") and scope is None:
+            skip, named = False, ()
         if m[3].endswith("/") and tag == "svg":
             continue
-        stack.append(Node(tag, top.path if tag in INLINE else f"{top.path}/{step}", skip))
+        node = Node(tag, top.path if tag in INLINE else f"{top.path}/{step}", skip, scope, named, words)
+        if tag in ("article", "main"):
+            node.scope = scope or node
+        elif words and tag in INLINE:
+            node.skip = True
+        elif words and tag not in ("html", "body"):
+            node.named = (*named, node)
+        stack.append(node)
         in_link += tag == "a"
     if b := flush():
         yield b

@@ -21,6 +21,38 @@ def test_extract(page, want):
     assert H.extract(page, H.best_container(page)[0]) == want
 
 
+ARTICLE = "<h1>Title</h1><p>" + "word " * 40 + "</p>"
+WANT = "Title\n" + " ".join(["word"] * 40)
+SIDE = "<div class='sidebar'><p>side</p></div><div class='comment-list'><p>nice</p></div>"
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "has-sidebar", "content-sidebar-wrap", "with-comments", "page-with-sidebar", "elementor-widget"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_named_like_boilerplate(name, tag):
+    page = f"<body><div class='{name}'><{tag} class='text'>{ARTICLE}{SIDE}</{tag}></div><div class='footer'>f</div></body>"
+    assert H.extract(page, H.best_container(page)[0]) == WANT
+    page = f"<body><{tag} class='text'><div class='{name}'>{ARTICLE}{SIDE}</div></{tag}></body>"
+    assert H.extract(page, H.best_container(page)[0]) == WANT
+
+
+def test_article_in_a_form_and_title_in_a_header():
+    for page in (f"<body><form id='all'><main>{ARTICLE}<form>f</form></main></form></body>",
+                 "<body><article><div class='post-header'><h1>Title</h1><p>by x</p></div><p>" + "word " * 40 + "</p></article></body>"):
+        assert H.extract(page, H.best_container(page)[0]) == WANT
+
+
+def test_named_inline_elements_are_left_out():
+    assert H.extract("<article><p>one <span class='share'>share</span>two</p></article>", None) == "one two"
+
+
+def test_long_comments_are_left_out():
+    much = "<p>" + "nice post " * 200 + "</p>"
+    for page in (f"<body><article>{ARTICLE}<div class='comments-area'>{much}</div></article></body>",
+                 f"<body><article>{ARTICLE}<section id='comments'><article class='comment'>{much}</article></section></article></body>",
+                 f"<body><article>{ARTICLE}</article><div class='sidebar'>{much}</div></body>"):
+        assert H.extract(page, H.best_container(page)[0]) == WANT
+
+
 def test_consensus_overrules_a_page(spark):
     """One page's longest container is a box that the host's other pages don't use."""
     good = "<body><main class='story-{0}'><p>" + "word " * 40 + "</p></main><div class='box'><p>note</p></div></body>"
