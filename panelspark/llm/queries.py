@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import (bayes_jaccard, cgk_decontam, crf_pii, decision_list, hash_shards, html_consensus, repair_tokens,
-                            shared_viterbi, substring_dedup, url_rules)
+from panelspark.llm import (bayes_jaccard, cgk_decontam, crf_pii, decision_list, hash_shards, html_consensus, parse_phrases, repair_tokens,
+                            shared_viterbi, spectrum_whitening, substring_dedup, tier_packing, url_rules)
 from panelspark.llm.common import read
 from panelspark.operators.keys import shared_folder
 
@@ -164,3 +164,48 @@ WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT
            WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1 GROUP BY ALL)
 SELECT doc_id, shard, depth, n_bytes, shard_rows, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {SHARD_BYTES} AS over
 FROM g JOIN e USING (doc_id, depth) JOIN f USING (shard, depth)"""
+
+
+# ---- op11: phrase collocation mining
+
+@query
+def op11_parse_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return parse_phrases.collocations(read(spark, sf, "documents"))
+
+
+SQL["op11_parse_phrases"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+     p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
+     g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+           UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+           UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),
+     f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+     n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+     c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+     cut AS (SELECT c.lang, c.phrase, c.a, c.w, c.k, x.a AS l, y.a AS r, x.k AS cut_at,
+                    CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+             FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c
+             JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:i], ' ') AND x.k = c.i
+             JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[i + 1:], ' ') AND y.k = c.k - c.i),
+     s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+     longer AS (SELECT lang, part, max(a) AS a FROM
+                (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+     t AS (SELECT s.* FROM s LEFT JOIN longer ON longer.lang = s.lang AND longer.part = s.phrase WHERE longer.a IS NULL OR 100 * longer.a < 50 * s.a)
+SELECT t.lang, CAST(row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank, phrase, a, l, r, n, score
+FROM t JOIN n ON n.lang = t.lang QUALIFY rank <= 2000"""
+
+
+# ---- op12: packing
+
+@query
+def op12_tier_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return tier_packing.pack_texts(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+# ---- op13: embedding whitening
+
+@query
+def op13_spectrum_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    w = spectrum_whitening.whiten(read(spark, sf, "embeddings"))
+    return w.withColumn("deviation", F.col("deviation").cast("long"))
