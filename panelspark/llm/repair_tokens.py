@@ -5,11 +5,12 @@ whole texts. A shard's ids are shortened by repeatedly replacing frequent neighb
 rules, the length that every symbol expands to, and the symbols. Any stretch is decoded from the symbols that cover
 it. One row of a Parquet folder is one shard, written by Spark, so any store that Spark reaches will do.
 
-In each round the pairs are counted in hashed bins, those in full bins are counted exactly, and up to `RULES` of the
-most frequent become rules at once; where chosen pairs overlap, the left one wins. No pair crosses a text's end.
+In each round the pairs are counted in hashed bins, those in full bins are counted exactly, and every pair met at least
+`LEAST` times becomes a rule; of overlapping pairs the more frequent one wins, and a rule that is left with fewer places
+waits for a later round. The most frequent pair always wins, so every round shortens the ids, and rounds go on until no
+pair is met as often. No pair crosses a text's end.
 
-White space separates what the tokenizer sees (its pattern never matches across it), so the pieces between ASCII
-white space are encoded once and kept while they last in a bounded memory; the result is that of the whole text.
+Ids come from `word_ids`: new words go to the library, words met before to a table of bounded size.
 
 Cases: a null or empty text is the end id alone; a null id comes first; equal ids keep any order; an empty table
 writes no shards; a text longer than a shard has one to itself. Only id and text are read.
@@ -18,93 +19,32 @@ writes no shards; a text longer than a shard has one to itself. Only id and text
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from panelspark.llm.common import slices
+from panelspark.llm.spans import pieces, utf8
+from panelspark.llm.word_ids import word_ids
 
 END = 2
 SHARD = 1 << 20           # ids in a shard, unless one text has more
 PART_BYTES = 16 << 20     # text in a partition
-ROUNDS, RULES, LEAST = 6, 1024, 24
+LEAST = 24                # a pair met less often is no rule
 BINS = 18
-KEPT = 300_000            # pieces kept in memory by a worker, twice over
-
-# ASCII signs without the apostrophe, which the tokenizer's pattern treats apart
-SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-LETTERS = re.compile("[a-zß-öø-ÿ]+")
-# the tokenizer's byte-level alphabet: visible bytes stand for themselves, the others for code points from 256 on
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_HIDDEN = [b for b in range(256) if b not in _SHOWN]
-ALPHABET = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
-
-
-class Encoder:
-    """Ids of texts by the tokenizers library, through a bounded store of pieces."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.pieces: dict[bytes, bytes] = {}  # in use, and those of the time before
-        self.older: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of pieces. Most are letters and then signs, which are two words to the tokenizer's pattern; a word of
-        letters goes straight to its merge model, in its byte alphabet. All other pieces go the whole way."""
-        plain, other, match = [], [], LETTERS.fullmatch
-        for p in new:
-            word = p.rstrip(SIGNS)
-            if word.isalpha():
-                plain.append((p, word.lower(), p[len(word):]))
-            else:
-                low = word.decode("utf-8", "surrogatepass").lower()
-                if match(low):
-                    plain.append((p, low.encode(), p[len(word):]))
-                else:
-                    other.append(p)
-        if len(self.parts) > 2 * KEPT:
-            self.parts.clear()
-        tokenize, parts = self.tok.model.tokenize, self.parts
-        for word in {x[1] for x in plain}.difference(parts):
-            parts[word] = array("I", [t.id for t in tokenize(word.decode("latin-1").translate(ALPHABET))]).tobytes()
-        tails = list({x[2] for x in plain}.difference(parts))
-        parts |= zip(tails, (x.tobytes() for x in self._raw([t.decode() for t in tails])))
-        self.pieces |= [(p, parts[word] + parts[tail]) for p, word, tail in plain]
-        self.pieces |= zip(other, (x.tobytes() for x in self._raw([p.decode("utf-8", "surrogatepass") for p in other])))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """uint32 ids per text, without the end id."""
-        split = [("" if t is None else t).encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.pieces) > KEPT:
-            self.pieces, self.older = {}, self.pieces
-        new = set().union(*split).difference(self.pieces)
-        again = new.intersection(self.older)
-        self.pieces |= [(p, self.older[p]) for p in again]
-        new -= again
-        if new:
-            self._learn(list(new))
-        get = self.pieces.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), np.uint32) for s in split]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker process, so that what it has stored serves later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+
+
+def _apart(at: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without every other position in a run of one pair (a a a a holds a a twice), so that counts are of what can be replaced; and those."""
+    run = (np.diff(at) == 1) & (pair[1:] == pair[:-1])
+    if not run.any():
+        return at, pair, at[:0]
+    run = np.concatenate(([False], run))
+    place = np.arange(len(at))
+    keep = (place - np.maximum.accumulate(np.where(run, 0, place))) % 2 == 0
+    return at[keep], pair[keep], at[~keep]
 
 
 def compress(ids: np.ndarray, end: int = END) -> dict[str, np.ndarray]:
@@ -112,36 +52,38 @@ def compress(ids: np.ndarray, end: int = END) -> dict[str, np.ndarray]:
     seq = ids.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
     size, left, right, first = base, [], [], []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        pair = seq[:-1] * size + seq[1:]
+    live = np.arange(len(seq) - 1) if len(seq) else np.zeros(0, np.int64)  # where a pair begins that may be frequent
+    live = live[seq[live] != end]                                            # nothing crosses the end of a text
+    while True:
+        pair = seq[live] * size + seq[live + 1]
         bins = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BINS)).astype(np.int64)
-        bins[seq[:-1] == end] = 1 << BINS  # nothing crosses the end of a text
-        count = np.bincount(bins, minlength=(1 << BINS) + 1)
-        count[1 << BINS] = 0
-        full = np.partition(count, -RULES)[-RULES]
-        at = np.flatnonzero((count >= max(full, LEAST))[bins])
-        if not len(at):
-            break
-        names, n = np.unique(pair[at], return_counts=True)
-        best = np.argsort(-n, kind="stable")[:RULES]
-        best = np.sort(best[n[best] >= LEAST])
+        full = (np.bincount(bins, minlength=1 << BINS) >= LEAST)[bins]
+        at, pair, spare = _apart(live[full], pair[full])
+        names, n = np.unique(pair, return_counts=True)
+        best = np.flatnonzero(n >= LEAST)
         if not len(best):
             break
         chosen = names[best]
-        where = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[where] == pair[at]
+        where = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+        hit = chosen[where] == pair
         at, rule = at[hit], where[hit]
-        # in a run of neighbouring positions every other one, from the left
-        fresh = np.concatenate(([True], np.diff(at) > 1))
-        head = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        keep = (at - head) % 2 == 0
-        at, rule = at[keep], rule[keep]
+        may = np.zeros(len(seq) + 1, bool)
+        may[at] = may[spare] = True
+        # of overlapping pairs the more frequent one; a rule must still be worth its place after that
+        rank = np.zeros(len(seq) + 1, np.int64)
+        rank[at + 1] = n[best][rule] * len(chosen) + rule + 1
+        win = (rank[at + 1] >= rank[at]) & (rank[at + 1] > rank[np.minimum(at + 2, len(seq))])
+        at, rule = at[win], rule[win]
+        used = np.bincount(rule, minlength=len(chosen)) >= LEAST
+        at, rule, chosen = at[used[rule]], (np.cumsum(used) - 1)[rule[used[rule]]], chosen[used]
         alive = np.ones(len(seq), bool)
         seq[at] = size + rule
         alive[at + 1] = False
-        seq = seq[alive]
+        # only pairs with a new symbol, and those that were frequent before, can be frequent now
+        may[at] = may[np.maximum(at - 1, 0)] = True
+        may[np.maximum(at - 2, 0)[~alive[at - 1]]] = True
+        seq, may = seq[alive], may[:-1][alive]
+        live = np.flatnonzero(may[:-1] & (seq[:-1] != end))
         first.append(size)
         left.append(chosen // size)
         right.append(chosen % size)
@@ -193,7 +135,7 @@ SHARD_SCHEMA = ("part int, shard int, n_ids long, doc_ids array<{id}>, doc_lengt
 
 def _shards(path: str, kind: pa.DataType):
     def run(batches):
-        enc, part, shard = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, shard = word_ids(path), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
 
         def flush():
@@ -204,9 +146,11 @@ def _shards(path: str, kind: pa.DataType):
                 names=["part", "shard", "n_ids", "doc_ids", "doc_lengths", "base", *ARRAYS])
 
         for b in batches:
-            names, texts = b.column("_id").to_pylist(), b.column("_text").to_pylist()
-            for i, j in slices(texts):
-                for name, x in zip(names[i:j], enc.encode(texts[i:j])):
+            names = b.column("_id").to_pylist()
+            buf, offsets = utf8(b.column("_text"))
+            for i, j in pieces(offsets):
+                flat, bound = enc.encode(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                for name, x in zip(names[i:j], np.split(flat, bound[1:-1])):
                     if held and size + len(x) + 1 > SHARD:
                         yield flush()
                         shard, ids, held, size = shard + 1, [], [], 0

@@ -4,12 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.llm import repair_tokens as R
 from panelspark.llm import shared_viterbi as V
 from panelspark.llm.common import read
+from panelspark.llm.word_ids import WordIds
 
 BPE, SPM = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b   c", "\n", "a\nb", "\n\n a\tb \n", "▁a▁ b", "é́é ñ", "日本語 テキスト", "😀👍🏽 x😀",
@@ -26,13 +28,14 @@ def texts():
 
 
 def test_word_bpe_as_the_library(texts):
-    e = R.Encoder(BPE)
+    e = WordIds(BPE)
     want = [x.ids for x in e.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    for t, a, b in zip(texts, e.encode(texts), want):
+    flat, bound = e.encode_column(pa.array(texts, pa.string()))
+    for t, a, b in zip(texts, np.split(flat, bound[1:-1]), want):
         assert a.tolist() == b, t[:80]
     # in other company, with a warm store
-    for t, a, b in zip(texts, (e.encode([t])[0] for t in texts), want):
-        assert a.tolist() == b
+    for t, b in zip(texts, want):
+        assert e.encode_column(pa.array([t], pa.string()))[0].tolist() == b
 
 
 def test_sentencepiece_as_the_library(texts):
@@ -91,7 +94,7 @@ def test_files(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     R.write_tokens(df, path, BPE)
     got = R.read_tokens(spark, path).collect()
-    enc = R.Encoder(BPE)
+    enc = WordIds(BPE)
     assert len(got) == len(rows)
     at = 0
     for r in sorted(got, key=lambda r: r.start):
@@ -100,7 +103,7 @@ def test_files(spark, tmp_path, monkeypatch):
     ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ids == [None] + sorted(i for i, _ in rows if i is not None)
     for r in got:
-        own = [np.append(x, np.uint32(2)) for (i, _), x in zip(rows, enc.encode([t for _, t in rows])) if i == r.doc_id]
+        own = [np.append(enc.encode_column(pa.array([t], pa.string()))[0], np.uint32(2)) for i, t in rows if i == r.doc_id]
         assert (r.n_tokens, r.ids_crc32) in [(len(x), zlib.crc32(x.astype("<u4").tobytes())) for x in own]
     empty = str(tmp_path / "e")
     R.write_tokens(df.limit(0), empty, BPE)
@@ -114,3 +117,30 @@ def test_encode_decode(spark):
     for i, t in enumerate(ODD):
         assert got[i].n_tokens == len(m.processor.encode(t or "")) and got[i].round_trip == ("▁" not in (t or ""))
     assert V.encode_decode(df.limit(0), SPM).count() == 0
+
+
+def frequent_pairs(symbols, end=R.END):
+    """Most places of one pair that do not overlap, none across the end of a text."""
+    from collections import Counter
+    seen, last = Counter(), {}
+    for i, p in enumerate(zip(symbols.tolist(), symbols.tolist()[1:])):
+        if p[0] != end and last.get(p) != i - 1:
+            seen[p] += 1
+            last[p] = i
+    return max(seen.values(), default=0)
+
+
+@pytest.mark.parametrize("kind", ["copies", "same", "words", "runs", "near copies"])
+def test_no_pair_stays_frequent(kind):
+    rng = np.random.default_rng(5)
+    passage = rng.integers(3, 40_000, 100)
+    ids = {"copies": np.tile(np.append(passage, R.END), 3000), "same": np.full(50_000, 7), "words": rng.zipf(1.3, 60_000) % 5000 + 3,
+           "runs": np.repeat(rng.integers(3, 6, 5000), rng.integers(1, 9, 5000)),
+           "near copies": np.concatenate([np.where(rng.random(100) < 0.05, rng.integers(3, 40_000, 100), passage) for _ in range(800)])}[kind].astype(np.uint32)
+    g = R.compress(ids)
+    assert (R.expand(g, g["symbols"]) == ids).all()
+    assert frequent_pairs(g["symbols"]) < R.LEAST
+    if kind == "copies":
+        assert len(g["symbols"]) < 300
+    for a, b in ((0, 10), (777, 1500), (len(ids) - 5, len(ids))):
+        assert (R.expand_range(g, a, b) == ids[a:b]).all()
