@@ -263,10 +263,36 @@ def q_probit(spark, sf):
     return L.probit(d, "ot_work", ["bartik_scaled", "share_mean"])[1]
 
 
-@query("logit_fe", "term s, coef d, se d")
+def logit_level_sql(src: str, y: str, xs: list[str], level: str, rounds: int) -> list[str]:
+    """Newton steps for slopes with one effect a level, each level taken out by its own count; ends in t<rounds> and i<rounds - 1> (inverse)."""
+    p, have = len(xs), " AND ".join(f"{c} IS NOT NULL" for c in [y, *xs])
+    ctes = [f"d0 AS (SELECT {level} AS lv, {y}::DOUBLE AS y, {', '.join(f'{x}::DOUBLE AS z{i}' for i, x in enumerate(xs))} FROM {src} WHERE {have})",
+            "d AS MATERIALIZED (SELECT * FROM d0 WHERE lv IN (SELECT lv FROM d0 GROUP BY lv HAVING min(y) <> max(y)))",
+            "a0 AS (SELECT DISTINCT lv, 0.0::DOUBLE AS a FROM d)", "t0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS t{i}" for i in range(p)) + ")"]
+    for r in range(1, rounds + 1):
+        eta = " + ".join(["a", *[f"t{i} * z{i}" for i in range(p)]])
+        ctes.append(f"w{r} AS MATERIALIZED (SELECT *, y - pr AS u, pr * (1 - pr) AS wt FROM (SELECT d.*, 1 / (1 + exp(-({eta}))) AS pr FROM d JOIN a{r - 1} USING (lv), t{r - 1}))")
+        ctes.append(f"l{r} AS MATERIALIZED (SELECT lv, sum(u) AS g, sum(wt) AS d, {', '.join(f'sum(wt * z{i}) AS b{i}, sum(u * z{i}) AS s{i}' for i in range(p))}, "
+                    f"{', '.join(f'sum(wt * z{i} * z{j}) AS h{i}_{j}' for i in range(p) for j in range(p))} FROM w{r} GROUP BY lv)")
+        cell = {(i, j): f"sum(h{i}_{j} - b{i} * b{j} / d)" for i in range(p) for j in range(p)} | {(i, p): f"sum(s{i} - b{i} * g / d)" for i in range(p)}
+        cell |= {(i, p + 1 + j): "1.0::DOUBLE" if i == j else "0.0::DOUBLE" for i in range(p) for j in range(p)}
+        width = 2 * p + 1
+        ctes.append(f"s{r}_0 AS (SELECT {', '.join(f'{v} AS m_{i}_{j}' for (i, j), v in cell.items())} FROM l{r})")
+        for k in range(p):
+            out = [f"m_{k}_{j} / m_{k}_{k} AS m_{k}_{j}" if i == k else f"m_{i}_{j} - m_{i}_{k} * m_{k}_{j} / m_{k}_{k} AS m_{i}_{j}" for i in range(p) for j in range(width)]
+            ctes.append(f"s{r}_{k + 1} AS MATERIALIZED (SELECT {', '.join(out)} FROM s{r}_{k})")
+        ctes.append(f"t{r} AS MATERIALIZED (SELECT {', '.join(f't{i} + m_{i}_{p} AS t{i}' for i in range(p))} FROM t{r - 1}, s{r}_{p})")
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT lv, a + (g - {' - '.join(f'b{i} * m_{i}_{p}' for i in range(p))}) / d AS a FROM a{r - 1} JOIN l{r} USING (lv), s{r}_{p})")
+    return ctes
+
+
+@query("logit_fe", "term s, coef d, se d", "WITH " + SHARES + ",\n" + ",\n".join(
+    [PROBIT_SRC, *logit_level_sql("pb", "ot_work", ["bartik_scaled", "share_mean"], "day", 10)])
+    + "\nMAIN " + " UNION ALL ".join(f"SELECT '{n}' AS term, t{i} AS coef, sqrt(m_{i}_{3 + i}) AS se FROM t10, s10_2" for i, n in enumerate(["bartik_scaled", "share_mean"])))
 def q_logit_fe(spark, sf):
+    """Overtime on scaled exposure and its person mean, with an effect for every date."""
     d = C.shares(spark, sf).where((F.col("leave_hours") == 0) | (F.col("worked_hours") > 0))
-    return terms(spark, L.logit_fe(d, "ot_work", ["bartik_scaled", "share_mean"], ["day"]))
+    return terms(spark, L.logit_fe(d, "ot_work", ["bartik_scaled", "share_mean"], ["day"])[0])
 
 
 @query("model_table", "model s, term s, coef d, se d, z d, p d, stars s")

@@ -15,7 +15,7 @@ from panelspark.catalog.stats import kde_sql, pct_sql, ranked_long
 from panelspark.functions.normal import W_A, W_B, W_C, W_D, W_E, W_F, bvn_rule, np_inv
 from panelspark.operators import allocate as A, effects as E, linear as L, stats as T
 from panelspark.operators.keys import cut_lineage
-from panelspark.operators.selection import OUT, SEL, Model, index_columns, selection_loglik, selection_predict, selection_probit
+from panelspark.operators.selection import OUT, SEL, Model, index_columns, level_table, selection_loglik, selection_predict, selection_probit, usable
 from panelspark.plans import inputs as I, sample as S
 
 RHO = -0.6
@@ -96,20 +96,25 @@ def q_margins(spark, sf):
     return E.margins(rows(spark, sf), demo(), E.pcond, LEAVE_GRID, at="others_out")
 
 
-@query("margins_slopes", "term s, dydx d, eyex d", with_sql(
-    BASE, " UNION ALL ".join(
-        f"SELECT '{t}' AS term, avg(exp(-zg * zg / 2) / sqrt(2 * pi()) * {COEF[SEL][t]}::DOUBLE) AS dydx, "
-        f"avg(exp(-zg * zg / 2) / sqrt(2 * pi()) * {COEF[SEL][t]}::DOUBLE * {t} / {cdf_text('zg')}) AS eyex FROM m WHERE weekday BETWEEN 1 AND 4"
-        for t in ("others_out", "rate"))))
+SLOPE_TERMS = ["others_out", "rate", "age"]
+DENS = {v: f"(exp(-{v} * {v} / 2) / sqrt(2 * pi()))" for v in ("xb", "zg")}
+SLOPES = [*BASE, f"h AS MATERIALIZED (SELECT *, (zg - {RHO}::DOUBLE * xb) / {ROOT!r}::DOUBLE AS zx, (xb - {RHO}::DOUBLE * zg) / {ROOT!r}::DOUBLE AS xz FROM m WHERE weekday BETWEEN 1 AND 4)",
+          f"q AS MATERIALIZED (SELECT *, {cdf_text('zg')} AS ps, {bvn_text('xb', 'zg', RHO)} AS j, {DENS['xb']} * {cdf_text('zx')} AS jx, {DENS['zg']} * {cdf_text('xz')} AS jz FROM h)"]
+
+
+def slope_sql(t: str) -> str:
+    beta, gamma = COEF[OUT].get(t, 0.0), COEF[SEL].get(t, 0.0)
+    sel = f"{DENS['zg']} * {gamma!r}::DOUBLE"
+    cond = f"(jx * {beta!r}::DOUBLE + (jz - j / ps * {DENS['zg']}) * {gamma!r}::DOUBLE) / ps"
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS prediction, '{t}' AS term, '{kind}' AS kind, avg({d}{'' if kind == 'dydx' else f' * {t} / ({level})'}) AS estimate, count(*) AS n FROM q"
+        for name, d, level in (("psel", sel, "ps"), ("pcond", cond, "j / ps")) for kind in ("dydx", "eyex"))
+
+
+@query("margins_slopes", "prediction s, term s, kind s, estimate d, n l", with_sql(SLOPES, " UNION ALL ".join(slope_sql(t) for t in SLOPE_TERMS)))
 def q_margins_slopes(spark, sf):
-    """Average derivative and elasticity of the selection probability."""
-    out = None
-    for t in ("others_out", "rate"):
-        r = E.margins(rows(spark, sf), demo(), E.slope(E.psel, t), where=weekdays()).select(F.lit(t).alias("term"), F.col("estimate").alias("dydx"))
-        e = E.margins(rows(spark, sf), demo(), E.slope(E.psel, t, True), where=weekdays()).select(F.lit(t).alias("term"), F.col("estimate").alias("eyex"))
-        r = r.join(e, "term")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Average derivatives and elasticities of both predictions."""
+    return E.margins_slopes(rows(spark, sf), demo(), SLOPE_TERMS, weekdays())
 
 
 SURFACE = [*BASE, grid_sql([k / 100 for k in range(1, 100)]), f"p AS MATERIALIZED (SELECT xb, {cdf_text('zg')} AS psel FROM m WHERE weekday BETWEEN 1 AND 4)",
@@ -208,22 +213,42 @@ def q_fe_components(spark, sf):
 
 # ---- fitted model ------------------------------------------------------------
 
+FACTORS = ["day", "main_div"]
+FIT_X, FIT_Z = [*XS, "rank_org"], [*ZS, "rank_org"]
+
+
 @I.stage
 def _fit_frame(spark, sf):
-    return cut_lineage(rows(spark, sf).where(F.col("day_varies") == 1))
+    return cut_lineage(S.estimation_sample(spark, sf))
+
+
+def in_sample():
+    return usable("injured", FIT_X, "worked", FIT_Z, FACTORS, F.col("day_varies") == 1)
+
+
+@query("selection_sample", "emp l, day s, worked l, sample_marked l", """
+    SELECT emp, day, worked, (day_varies = 1 AND worked IS NOT NULL AND (worked = 0 OR injured IS NOT NULL) AND bar_others_out IS NOT NULL AND bar_rate IS NOT NULL
+        AND age IS NOT NULL AND rate IS NOT NULL AND others_out IS NOT NULL AND rank_org IS NOT NULL AND main_div IS NOT NULL)::INT AS sample_marked FROM @sample""")
+def q_selection_sample(spark, sf):
+    """The rows that the main model uses."""
+    return _fit_frame(spark, sf).select("emp", "day", "worked", in_sample().cast("int").alias("sample_marked"))
 
 
 _fits: dict = {}
 
 
 def fitted(spark, sf) -> Model:
-    """The main model: weekday and division effects, errors by person; fitted once per session."""
+    """The main model: date and division effects, seniority, errors by person; fitted once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fits:
-        _fits[key] = selection_probit(_fit_frame(spark, sf), "injured", XS, "worked", ZS, ["weekday", "main_div"], "emp")
+        _fits[key] = selection_probit(_fit_frame(spark, sf), "injured", FIT_X, "worked", FIT_Z, FACTORS, "emp", F.col("day_varies") == 1)
     return _fits[key]
 
 
+def marked(spark, sf):
+    return _fit_frame(spark, sf).where(in_sample())
+
+
 TABLE = "model s, term s, coef d, se d, z d, p d, stars s"
 
 
@@ -232,6 +257,12 @@ def q_selection_probit(spark, sf):
     return L.model_table(spark, {"selection": fitted(spark, sf).fit()})
 
 
+@query("selection_levels", "level s, out d, sel d, se_out d, se_sel d")
+def q_selection_levels(spark, sf):
+    """Effects of the dates in both equations."""
+    return level_table(fitted(spark, sf))
+
+
 @query("lincom_nlcom", "what s, value d, se d")
 def q_lincom_nlcom(spark, sf):
     m = fitted(spark, sf)
@@ -241,20 +272,41 @@ def q_lincom_nlcom(spark, sf):
 
 @query("margins_fitted", "u d, estimate d, se d, n l")
 def q_margins_fitted(spark, sf):
-    m = fitted(spark, sf)
-    return E.margins(_fit_frame(spark, sf), m, E.pcond, [0.0, 2.0, 4.0], at="others_out", vce="unconditional", cluster="emp")
+    return E.margins(marked(spark, sf), fitted(spark, sf), E.pcond, LEAVE_GRID, at="others_out", vce="unconditional", cluster="emp")
+
+
+@query("margins_slopes_fitted", "prediction s, term s, kind s, estimate d, se d, n l")
+def q_margins_slopes_fitted(spark, sf):
+    return E.margins_slopes(marked(spark, sf), fitted(spark, sf), ["others_out", "rank_org", "rate"], weekdays())
+
+
+@query("elasticity_fitted", "u d, estimate d, se d, low d, high d, share_above d")
+def q_elasticity_fitted(spark, sf):
+    """Elasticity by risk quantile with error and interval."""
+    e = E.elasticity_grid(marked(spark, sf), fitted(spark, sf), "rate", GRID, "emp")
+    half = F.col("se") * E.NORMAL_975
+    return e.select("u", "estimate", "se", (F.col("estimate") - half).alias("low"), (F.col("estimate") + half).alias("high"), "share_above")
 
 
 @query("model_sweep", "name s, instrument d, se_i d, rho d, se_r d, margin d, se_m d, n l")
 def q_model_sweep(spark, sf):
-    """Refits: another instrument, an excluded injury kind, a cost threshold where a missing cost stays."""
-    base = dict(y="injured", x=XS, select="worked", z=ZS, instrument="others_out", factors=["weekday"], cluster="emp", average=weekdays())
-    alt = [*[c for c in ZS if c != "others_out"], "others_leave"]
+    """The main model and six others: leave without sick time, broader date effects, no strains, three cost thresholds.
+
+    A missing cost is above every threshold.
+    """
+    base = dict(y="injured", x=FIT_X, select="worked", z=FIT_Z, instrument="others_out", factors=FACTORS, cluster="emp",
+                where=F.col("day_varies") == 1, average=weekdays())
+    broad = {**base, "factors": ["week", "weekday", "main_div"]}
+    swap = lambda cols: [{"others_out": "others_leave_nosick", "bar_others_out": "bar_nosick"}.get(c, c) for c in cols]
     off = lambda cond: [("injured", cond, F.lit(0))]
-    return E.model_sweep(_fit_frame(spark, sf), [
-        {**base, "name": "base"}, {**base, "name": "all leave", "z": alt, "instrument": "others_leave"},
-        {**base, "name": "no strains", "update": off(F.col("nature") == "Strain")},
-        {**base, "name": "cost above 150", "update": off(F.col("medpd") <= 150)}])
+    d = _fit_frame(spark, sf)
+    means = d.where("day_varies = 1").groupBy("emp").agg(F.avg("others_leave_nosick").alias("bar_nosick"))
+    return E.model_sweep(d.join(means, "emp", "left"), [
+        {**base, "name": "base"},
+        {**base, "name": "sick time excluded from leave", "x": swap(FIT_X), "z": swap(FIT_Z), "instrument": "others_leave_nosick"},
+        {**broad, "name": "broader date effects"},
+        {**broad, "name": "strains not injuries", "where": None, "update": off(F.col("nature") == "Strain")},
+        *[{**broad, "name": f"cost up to {t} not injury", "update": off(F.col("medpd") <= t)} for t in (0, 200, 400)]])
 
 
 # ---- allocation replicates ----------------------------------------------------

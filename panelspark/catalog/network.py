@@ -51,6 +51,21 @@ def q_node_strength_rolling(spark, sf):
     return N.node_strength(N.rolling_members(w, w, 7))
 
 
+SPANS = [7, 30, 90, 180, 1000]
+
+
+@query("node_strength_windows", "day s, node l, " + ", ".join(f"strength_{s} d" for s in SPANS), f"""
+    WITH n AS (SELECT emp, min(day) AS lo, max(day) AS hi FROM @panel GROUP BY emp),
+    t AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS day, emp FROM n),
+    l AS (SELECT t.day, t.emp, t.day - p.day AS ago, p.w FROM t JOIN @pairs p ON p.i = t.emp AND p.day <= t.day
+          JOIN n ON n.emp = p.j AND t.day BETWEEN n.lo AND n.hi)
+MAIN SELECT t.day, t.emp AS node, {', '.join(f'coalesce(sum(l.w) FILTER (ago <= {s}), 0) AS strength_{s}' for s in SPANS)}
+    FROM t LEFT JOIN l ON l.day = t.day AND l.emp = t.emp GROUP BY ALL""")
+def q_node_strength_windows(spark, sf):
+    """Contact strength over five windows for everyone in the panel on a day."""
+    return C.rolling(spark, sf, SPANS)
+
+
 COMPONENTS = """links AS (SELECT DISTINCT a.day, a.div AS a, b.div AS b FROM @contacts a JOIN @contacts b ON a.day = b.day AND a.emp = b.emp),
     reach AS (SELECT day, a, a AS b FROM links UNION SELECT r.day, r.a, l.b FROM reach r JOIN links l ON l.day = r.day AND l.a = r.b),
     comp AS (SELECT day, a AS div, min(b) AS label FROM reach GROUP BY day, a),

@@ -1,7 +1,8 @@
 """Quantities of a selection model: averages over rows, on grids, with standard errors.
 
-Each quantity is the mean of a row expression of both indices, the correlation and a few
-coefficients. Grids are generated inside the tasks and reduced by partial aggregates.
+Each quantity is the mean of a row expression of both indices, the correlation and a few coefficients. Where errors are
+asked for, the derivatives in all of these are carried along as columns (forward mode), so one pass over the rows gives the
+mean and its gradient. Grids are generated inside the tasks and reduced by partial aggregates.
 """
 
 from __future__ import annotations
@@ -13,84 +14,264 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.normal import bvn_cdf, norm_cdf, norm_inv, np_inv
 from panelspark.operators.linear import Fit
-from panelspark.operators.selection import OUT, SEL, Model, index_columns, selection_predict
+from panelspark.operators.selection import OUT, SEL, Model, Spec, fit_selections, index_columns, selection_predict, variances
 from panelspark.operators.stats import kde_grid
 
-H = 1e-4
 RHO = ("athrho", "athrho", None)
+MOVE = "covariate"
+NORMAL_975 = 1.959963984540054
 
 
-class Ctx:
-    """What a row expression may use: both indices, the correlation, a grid value, coefficients.
+class Dual:
+    """A value with its derivatives by name; both are columns, numbers or, for derivatives of derivatives, pairs of a lower level."""
 
-    `let` stores an intermediate as a column of the frame being built, so that a formula
-    that uses it many times stays small.
-    """
+    def __init__(self, v, d: dict, level: int = 0):
+        self.v, self.d, self.level = v, d, level
 
-    def __init__(self, df: DataFrame, par: dict[tuple, float | Column], xb="_xb", zg="_zg", u="_u", q="_q"):
-        self.df, self.par = df, par
-        self.xb, self.zg, self.u, self.q = F.col(xb), F.col(zg), F.col(u), F.col(q)
-        tau = par[RHO]
-        self.rho = F.tanh(tau) if isinstance(tau, Column) else F.lit(math.tanh(tau))
-        self.root = F.sqrt(1 - self.rho * self.rho)
+    def __neg__(self):
+        return Dual(-self.v, {k: -x for k, x in self.d.items()}, self.level)
 
-    def let(self, *cols: Column) -> list[str]:
-        """Names of new columns that hold the given values."""
-        n = len(self.df.columns)
-        names = [f"_l{n + i}" for i in range(len(cols))]
-        self.df = self.df.withColumns(dict(zip(names, cols)))
-        return names
+    def __add__(self, o):
+        return add(self, o)
+
+    def __radd__(self, o):
+        return add(o, self)
+
+    def __sub__(self, o):
+        return sub(self, o)
+
+    def __rsub__(self, o):
+        return sub(o, self)
+
+    def __mul__(self, o):
+        return mul(self, o)
+
+    def __rmul__(self, o):
+        return mul(o, self)
+
+    def __truediv__(self, o):
+        return divide(self, o)
+
+    def __rtruediv__(self, o):
+        return divide(o, self)
+
+
+def _level(x) -> int:
+    return x.level if isinstance(x, Dual) else -1
+
+
+def _parts(x, level: int):
+    """Value and derivatives at a level; what is of a lower one is a constant there."""
+    return (x.v, x.d) if _level(x) == level else (x, {})
+
+
+def _sum(a: dict, b: dict) -> dict:
+    return a | {k: add(a[k], y) if k in a else y for k, y in b.items()}
+
+
+def add(a, b):
+    n = max(_level(a), _level(b))
+    if n < 0:
+        return a + b
+    (v, c), (w, d) = _parts(a, n), _parts(b, n)
+    return Dual(add(v, w), _sum(c, d), n)
+
+
+def sub(a, b):
+    return add(a, -b)
 
-    def coef(self, eq: str, term: str) -> Column:
-        v = self.par.get((eq, term, None), 0.0)
-        return v if isinstance(v, Column) else F.lit(float(v))
 
+def mul(a, b):
+    n = max(_level(a), _level(b))
+    if n < 0:
+        return a * b
+    (v, c), (w, d) = _parts(a, n), _parts(b, n)
+    return Dual(mul(v, w), _sum({k: mul(x, w) for k, x in c.items()}, {k: mul(v, y) for k, y in d.items()}), n)
 
-Expr = Callable[[Ctx], Column]
 
+def divide(a, b):
+    """a / b, missing where b is zero."""
+    n = max(_level(a), _level(b))
+    if n < 0:
+        return F.try_divide(_col(a), _col(b)) if isinstance(a, Column) or isinstance(b, Column) else a / b
+    (v, c), (w, d) = _parts(a, n), _parts(b, n)
+    q = divide(v, w)
+    return Dual(q, _sum({k: divide(x, w) for k, x in c.items()}, {k: -divide(mul(q, y), w) for k, y in d.items()}), n)
 
-def psel(c: Ctx) -> Column:
-    return norm_cdf(c.let(c.zg)[0])
 
+def _open(o):
+    return (o.v, o.d) if isinstance(o, Dual) else (o, {})
 
-def pmargin(c: Ctx) -> Column:
-    return norm_cdf(c.let(c.xb)[0])
 
+def _col(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
 
-def pcond(c: Ctx) -> Column:
-    x, z, r = c.let(c.xb, c.zg, c.rho)
-    return F.try_divide(bvn_cdf(x, z, r), norm_cdf(z))
 
+class Ctx:
+    """What a row expression may use: both indices, the correlation, a grid value, coefficients, and functions of them.
+
+    `let` stores an intermediate as a column of the frame being built, so that a formula that uses it many times stays
+    small. With `errors`, values carry their derivatives in xb, zg, athrho and every coefficient the expression asked for.
+    """
+
+    def __init__(self, df: DataFrame, model: Model, xb="_xb", zg="_zg", u="_u", q="_q", errors: bool = False):
+        self.df, self.model, self.errors = df, model, errors
+        self.stored: dict[int, tuple[str, Column]] = {}  # columns of the frame by their object
+        self.made: dict = {}                             # functions by name and arguments, so that none is computed twice
+        mark = (lambda v, k: Dual(v, {k: 1.0})) if errors else (lambda v, k: v)
+        self.xb, self.zg, self.u, self.q = mark(self._ref(xb), "xb"), mark(self._ref(zg), "zg"), F.col(u), F.col(q)
+        rho = math.tanh(model.athrho)
+        self.rho = Dual(rho, {RHO: 1 - rho * rho}) if errors else rho
+        root = math.sqrt(1 - rho * rho)
+        self.root = Dual(root, {RHO: -rho * (1 - rho * rho) / root}) if errors else root
 
-def mte(c: Ctx) -> Column:
+    def let(self, *cols: Column) -> list[str]:
+        """Names of new columns that hold the given values."""
+        n = len(self.df.columns)
+        names = [f"_l{n + i}" for i in range(len(cols))]
+        self.df = self.df.withColumns(dict(zip(names, cols)))
+        return names
+
+    def _ref(self, name: str) -> Column:
+        c = F.col(name)
+        self.stored[id(c)] = (name, c)
+        return c
+
+    def _name(self, x: Column) -> str:
+        return self.stored[id(x)][0] if id(x) in self.stored else self.let(x)[0]
+
+    def _key(self, x):
+        """What identifies a value whose parts are columns of the frame; None for others."""
+        if isinstance(x, Dual):
+            parts = [self._key(x.v), *[(str(k), self._key(d)) for k, d in x.d.items()]]
+            return None if parts[0] is None or any(p[1] is None for p in parts[1:]) else (x.level, parts[0], tuple(sorted(parts[1:])).__str__())
+        if isinstance(x, Column):
+            return self.stored[id(x)][0] if id(x) in self.stored else None
+        return float(x)
+
+    def _once(self, what: str, args: tuple, make):
+        key = (what, *map(self._key, args))
+        if None in key:
+            return make()
+        if key not in self.made:
+            self.made[key] = self.keep(make())
+        return self.made[key]
+
+    def keep(self, x):
+        """The same value with its parts stored as columns; numbers and what is stored stay as they are."""
+        parts: dict[int, Column] = {}
+
+        def gather(v):
+            if isinstance(v, Dual):
+                gather(v.v)
+                for d in v.d.values():
+                    gather(d)
+            elif isinstance(v, Column) and id(v) not in self.stored:
+                parts[id(v)] = v
+
+        gather(x)
+        new = {k: self._ref(n) for k, n in zip(parts, self.let(*parts.values()))} if parts else {}
+        back = lambda v: Dual(back(v.v), {k: back(d) for k, d in v.d.items()}, v.level) if isinstance(v, Dual) else new.get(id(v), v)
+        return back(x)
+
+    def coef(self, eq: str, term: str):
+        v = self.model.get(eq, term)
+        return Dual(v, {(eq, term, None): 1.0}) if self.errors and (eq, term, None) in self.model.coef else v
+
+    def _known(self, x, value, s):
+        """A function of x: its value, and its slope times the derivatives of x."""
+        return Dual(value, {k: mul(s, d) for k, d in x.d.items()}, x.level)
+
+    def exp(self, x):
+        if not isinstance(x, Dual):
+            return F.exp(_col(x))
+        e = self.keep(self.exp(x.v))
+        return self._known(x, e, e)
+
+    def pdf(self, x):
+        x = self.keep(x)
+        return self._once("pdf", (x,), lambda: mul(self.exp(mul(mul(x, x), -0.5)), 1 / math.sqrt(2 * math.pi)))
+
+    def cdf(self, x):
+        x = self.keep(x)
+        if not isinstance(x, Dual):
+            return self._once("cdf", (x,), lambda: norm_cdf(self._name(_col(x))))
+        return self._once("cdf", (x,), lambda: self._known(x, self.cdf(x.v), self.pdf(x.v)))
+
+    def inv(self, p):
+        p = self.keep(p)
+        if not isinstance(p, Dual):
+            return norm_inv(self._name(_col(p)))
+        v = self.keep(self.inv(p.v))
+        return self._known(p, v, self.keep(divide(1.0, self.pdf(v))))
+
+    def joint(self, x, z, r):
+        """P(X <= x, Y <= z) at correlation r, a number with or without derivatives."""
+        x, z = self.keep(x), self.keep(z)
+        return self._once("joint", (x, z, r), lambda: self._joint(x, z, r))
+
+    def _joint(self, x, z, r):
+        n = max(map(_level, (x, z, r)))
+        if n < 0:
+            return bvn_cdf(self._name(_col(x)), self._name(_col(z)), float(r))
+        (xv, xd), (zv, zd), (rv, rd) = (_parts(v, n) for v in (x, z, r))
+        one = sub(1.0, mul(rv, rv))
+        root = _root(one)
+        sx = self.keep(mul(self.pdf(xv), self.cdf(divide(sub(zv, mul(rv, xv)), root))))
+        sz = self.keep(mul(self.pdf(zv), self.cdf(divide(sub(xv, mul(rv, zv)), root))))
+        square = sub(mul(mul(rv, 2.0), mul(xv, zv)), add(mul(xv, xv), mul(zv, zv)))
+        sr = self.keep(mul(self.exp(mul(square, divide(0.5, one))), divide(1 / (2 * math.pi), root)))
+        d: dict = {}
+        for s, parts in ((sx, xd), (sz, zd), (sr, rd)):
+            d = _sum(d, {k: mul(s, v) for k, v in parts.items()})
+        return Dual(self.joint(xv, zv, rv), d, n)
+
+
+def _root(v):
+    """Square root of a number that may carry derivatives."""
+    if not isinstance(v, Dual):
+        return math.sqrt(v)
+    r = _root(v.v)
+    return Dual(r, {k: mul(d, divide(0.5, r)) for k, d in v.d.items()}, v.level)
+
+
+Expr = Callable[[Ctx], "Column | Dual"]
+
+
+def psel(c: Ctx):
+    return c.cdf(c.zg)
+
+
+def pmargin(c: Ctx):
+    return c.cdf(c.xb)
+
+
+def pcond(c: Ctx):
+    x, z = c.keep(c.xb), c.keep(c.zg)
+    return divide(c.joint(x, z, c.rho), c.cdf(z))
+
+
+def mte(c: Ctx):
     """Outcome probability at unobserved resistance u."""
-    return norm_cdf(c.let((c.xb - c.q * c.rho) / c.root)[0])
+    return c.cdf((c.xb - c.rho * c.q) / c.root)
 
 
-def supply(c: Ctx) -> Column:
+def supply(c: Ctx):
     """Selection probability at unobserved outcome risk u."""
-    return norm_cdf(c.let((c.zg + c.q * c.rho) / c.root)[0])
+    return c.cdf((c.zg + c.rho * c.q) / c.root)
 
 
 def slope(expr: Expr, term: str, elasticity: bool = False) -> Expr:
     """The derivative of `expr` in a covariate, through both indices; or its elasticity."""
-    def run(c: Ctx) -> Column:
-        h, vals, xb, zg = 1e-3, [], c.xb, c.zg
-        for s in (h, -h, 0.0) if elasticity else (h, -h):
-            c.xb, c.zg = map(F.col, c.let(xb + c.coef(OUT, term) * s, zg + c.coef(SEL, term) * s))
-            vals += map(F.col, c.let(expr(c)))
+    def run(c: Ctx):
+        xb, zg = c.xb, c.zg
+        c.xb, c.zg = Dual(xb, {MOVE: c.coef(OUT, term)}, 1), Dual(zg, {MOVE: c.coef(SEL, term)}, 1)
+        e = c.keep(expr(c))
         c.xb, c.zg = xb, zg
-        d = (vals[0] - vals[1]) / (2 * h)
-        return F.try_divide(d * F.col(term), vals[2]) if elasticity else d
+        return divide(mul(e.d[MOVE], F.col(term)), e.v) if elasticity else e.d[MOVE]
     return run
 
 
-def _par(model: Model) -> dict[tuple, float]:
-    p = {(OUT, c, None): model.get(OUT, c) for c in model.x} | {(SEL, c, None): model.get(SEL, c) for c in model.z}
-    p[RHO] = model.athrho
-    return p
-
-
 def _spread(df: DataFrame, grid: list[float]) -> DataFrame:
     """Rows by grid values: `_u` and its normal quantile `_q`."""
     pts = [(float(v), np_inv(v) if 0 < v < 1 else None) for v in grid]
@@ -99,85 +280,94 @@ def _spread(df: DataFrame, grid: list[float]) -> DataFrame:
 
 
 def margins(df: DataFrame, model: Model, expr: Expr, grid: list[float] | None = None, at: str | None = None,
-            where: Column | None = None, direct: list[tuple] | None = None, vce: str = "delta",
-            cluster: str | None = None) -> DataFrame:
+            where: Column | None = None, vce: str = "delta", cluster: str | None = None,
+            nodes: list[tuple[float, float]] | None = None) -> DataFrame:
     """(u, estimate, se, n): the mean of `expr`, per grid value if a grid is given.
 
-    `at` sets a covariate to the grid value in both indices. `direct` names coefficients the
-    expression uses besides the indices. For standard errors each row is evaluated at both
-    indices and each parameter moved up and down; the gradient is a difference of sums, its
-    level parts are group sums. `vce='unconditional'` adds the sampling of rows, by cluster.
+    `at` sets a covariate to the grid value in both indices. Standard errors are by the delta method, from the covariance of
+    the fit (by cluster if it has clusters); `vce='unconditional'` adds the sampling of rows, by cluster. With `nodes`
+    (value, weight) the expression is summed over `_x`, weighted: a row and node make one row of the pass.
     """
-    spark = df.sparkSession
-    has_grid = grid is not None
-    d = _spread(index_columns(df if where is None else df.where(where), model, "_xb", "_zg"), grid if has_grid else [0.0])
+    rows = [r[1:] for r in _means(df, model, [expr], grid, at, where, vce, cluster, nodes)]
+    out = df.sparkSession.createDataFrame(rows, "_u double, estimate double, se double, n bigint")
+    return out.drop("_u") if grid is None else out.withColumnRenamed("_u", "u")
+
+
+def _means(df: DataFrame, model: Model, exprs: list[Expr], grid=None, at=None, where=None, vce="delta", cluster=None, nodes=None) -> list[tuple]:
+    """(number of the expression, u, mean, error, n) of several expressions in one pass."""
+    errors = model.cov is not None
+    d = _spread(index_columns(df if where is None else df.where(where), model, "_xb", "_zg"), grid if grid is not None else [0.0])
     if at:
         d = d.withColumns({"_xb": F.col("_xb") + (F.col("_u") - F.col(at)) * F.lit(model.get(OUT, at)),
                            "_zg": F.col("_zg") + (F.col("_u") - F.col(at)) * F.lit(model.get(SEL, at))})
         d = d.withColumn(at, F.col("_u"))
-    par = _par(model)
-    if model.cov is None:
-        c = Ctx(d, par)
-        e = expr(c)
-        return _named(c.df.withColumn("_e", e).groupBy("_u").agg(
-            F.avg("_e").alias("estimate"), F.lit(None).cast("double").alias("se"), F.count("_e").alias("n")), has_grid)
-    own = list(dict.fromkeys([RHO, *(direct or [])]))
-    slots = ["xb", "zg", *range(len(own))]
-    moves = [(0, None, 0.0)] + [(i + 1 if s > 0 else -i - 1, v, s) for i, v in enumerate(slots) for s in (H, -H)]
-    variants = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(s if v == w else 0.0).alias(f"m{j}") for j, w in enumerate(slots)])
-                         for k, v, s in moves])
-    d = d.withColumn("_v", F.explode(variants)).withColumns({
-        "_k": F.col("_v.k"), "_xb": F.col("_xb") + F.col("_v.m0"), "_zg": F.col("_zg") + F.col("_v.m1"),
-        **{f"_p{i}": F.lit(par[n]) + F.col(f"_v.m{i + 2}") for i, n in enumerate(own)}}).drop("_v")
-    c = Ctx(d, {**par, **{n: F.col(f"_p{i}") for i, n in enumerate(own)}})
-    e = expr(c)
-    d = c.df.withColumn("_e", e)
-    aggs = [F.count("_e").alias("n"), F.sum("_e").alias("e")]
-    aggs += [F.sum(F.col("_e") * F.col(t)).alias(f"t_{t}") for t in dict.fromkeys([*model.x, *model.z])]
-    top: dict[float, dict[int, dict]] = {}
-    for r in d.groupBy("_u", "_k").agg(*aggs).collect():
-        top.setdefault(r["_u"], {})[r["_k"]] = r
+    if nodes:
+        d = d.withColumn("_n", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in nodes])))
+        d = d.withColumns({"_x": F.col("_n.x"), "_w": F.col("_n.w")}).drop("_n")
+    per = len(nodes) if nodes else 1
+    weigh = (lambda x: _col(x) * F.col("_w")) if nodes else _col
+    c = Ctx(d, model, errors=errors)
+    made, keys = {}, []
+    for k, expr in enumerate(exprs):
+        v, parts = _open(expr(c))
+        made[f"_e{k}"] = weigh(v)
+        keys.append({key: f"_d{k}_{i}" for i, key in enumerate(parts)})
+        made |= {f"_d{k}_{i}": weigh(x) for i, x in enumerate(parts.values())}
+    d = c.df.withColumns(made)
+    aggs = []
+    for k, own in enumerate(keys):
+        aggs += [(F.count(f"_e{k}") / per).cast("long").alias(f"n{k}"), F.sum(f"_e{k}").alias(f"e{k}")]
+        for key, cols in (("xb", model.x), ("zg", model.z)):
+            if key in own:
+                aggs += [F.sum(F.col(own[key]) * F.col(t)).alias(f"{key}{k}_{t}") for t in cols]
+        aggs += [F.sum(x).alias(f"s{x}") for x in own.values()]
+    top = sorted(d.groupBy("_u").agg(*aggs).collect(), key=lambda r: r["_u"])
+    cases = [(k, i) for k in range(len(exprs)) for i in range(len(top))]
+    if not errors:
+        return [(k, float(top[i]["_u"]), top[i][f"e{k}"] / top[i][f"n{k}"] if top[i][f"n{k}"] else None, None, int(top[i][f"n{k}"])) for k, i in cases]
     pos = {n: i for i, n in enumerate(model.names)}
-    grads = {u: np.zeros(len(pos)) for u in top}
-    for u, r in top.items():
-        n = r[0]["n"]
-        diff = lambda i, key: ((r[i][key] or 0.0) - (r[-i][key] or 0.0)) / (2 * H * n)
-        for i, eq, cols in ((1, OUT, model.x), (2, SEL, model.z)):
-            for t in cols:
-                grads[u][pos[(eq, t, None)]] = diff(i, f"t_{t}")
-            grads[u][pos[(eq, "_cons", None)]] = diff(i, "e")
-        for i, name in enumerate(own):
-            grads[u][pos[name]] += diff(i + 3, "e")
-    moved = d.where(F.col("_k").isin(1, -1, 2, -2))
+    at_u = {r["_u"]: i for i, r in enumerate(top)}
+    grads = np.zeros((len(cases), len(pos)))
+    for row, (k, i) in enumerate(cases):
+        r, n = top[i], top[i][f"n{k}"]
+        for key, x in keys[k].items():
+            total = (r[f"s{x}"] or 0.0) / n
+            if key in ("xb", "zg"):
+                eq, cols = (OUT, model.x) if key == "xb" else (SEL, model.z)
+                grads[row, pos[(eq, "_cons", None)]] += total
+                for t in cols:
+                    grads[row, pos[(eq, t, None)]] += (r[f"{key}{k}_{t}"] or 0.0) / n
+            else:
+                grads[row, pos[key]] += total
+    ends = [(k, eq, own[key]) for k, own in enumerate(keys) for key, eq in (("xb", OUT), ("zg", SEL)) if key in own]
     for f in model.levels:
-        for r in moved.groupBy("_u", f, "_k").agg(F.sum("_e").alias("e")).collect():
-            eq = OUT if abs(r["_k"]) == 1 else SEL
-            grads[r["_u"]][pos[(eq, f, r[f])]] += math.copysign(1, r["_k"]) * (r["e"] or 0.0) / (2 * H * top[r["_u"]][0]["n"])
+        for r in d.groupBy("_u", f).agg(*[F.sum(x).alias(x) for _, _, x in ends]).collect():
+            i = at_u[r["_u"]]
+            for k, eq, x in ends:
+                grads[k * len(top) + i, pos[(eq, f, r[f])]] += (r[x] or 0.0) / top[i][f"n{k}"]
+    number = F.element_at(F.create_map(*[x for u, i in at_u.items() for x in (F.lit(float(u)), F.lit(i))]), F.col("_u"))
+    size = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit(float(r[f"n{k}"])))]), F.col("_u")) for k in range(len(exprs))]
+    by_level = mean = None
+    if model.wide is not None and ends:
+        half = lambda k, key: F.coalesce(F.sum(keys[k][key]), F.lit(0.0)) / size[k] if key in keys[k] else F.lit(0.0)
+        each = F.array(*[F.struct((number + k * len(top)).alias("i"), half(k, "xb").alias("j0"), half(k, "zg").alias("j1")) for k in range(len(exprs))])
+        by_level = (d.groupBy(F.col(model.wide.name).cast("string").alias("level"), "_u").agg(each.alias("x")).select("level", F.inline("x")))
     if vce == "unconditional" and model.scores is not None:
-        var = _cluster_variance(d.where(F.col("_k") == 0), model, top, grads, cluster)
-    else:
-        var = {u: float(g @ model.cov @ g) for u, g in grads.items()}
-    rows = [(float(u), r[0]["e"] / r[0]["n"], math.sqrt(max(var[u], 0.0)), int(r[0]["n"])) for u, r in sorted(top.items())]
-    return _named(spark.createDataFrame(rows, "_u double, estimate double, se double, n bigint"), has_grid)
-
+        centre = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit(r[f"e{k}"] / r[f"n{k}"]))]), F.col("_u")) for k in range(len(exprs))]
+        each = F.array(*[F.struct((number + k * len(top)).alias("i"), ((F.sum(f"_e{k}") - F.count(f"_e{k}") / per * centre[k]) / size[k]).alias("m")) for k in range(len(exprs))])
+        mean = d.groupBy(F.col(cluster).alias("cluster"), "_u").agg(each.alias("x")).select("cluster", F.inline("x"))
+    var = variances(model, grads, by_level, mean)
+    return [(k, float(top[i]["_u"]), top[i][f"e{k}"] / top[i][f"n{k}"], math.sqrt(max(var[row], 0.0)), int(top[i][f"n{k}"])) for row, (k, i) in enumerate(cases)]
 
-def _named(df: DataFrame, has_grid: bool) -> DataFrame:
-    return df.withColumnRenamed("_u", "u") if has_grid else df.drop("_u")
 
-
-def _cluster_variance(d: DataFrame, model: Model, top, grads, cluster: str) -> dict[float, float]:
-    """Sum of squared cluster influences, mean part plus parameter part, for all grid values."""
-    loads = {u: g @ model.bread for u, g in grads.items()}
-    cells = F.array(*[F.struct(F.lit(float(u)).alias("_u"), F.array(*[F.lit(float(v)) for v in w]).alias("_w")) for u, w in loads.items()])
-    part = (model.scores.select("cluster", "slot", "value", F.inline(cells))
-            .groupBy("cluster", "_u").agg(F.sum(F.col("value") * F.element_at("_w", F.col("slot") + 1)).alias("_p")))
-    centre = F.create_map(*[x for u, r in top.items() for x in (F.lit(float(u)), F.lit(r[0]["e"] / r[0]["n"]))])
-    size = F.create_map(*[x for u, r in top.items() for x in (F.lit(float(u)), F.lit(float(r[0]["n"])))])
-    mean = (d.groupBy(F.col(cluster).alias("cluster"), "_u").agg(F.sum("_e").alias("_s"), F.count("_e").alias("_c"))
-            .withColumn("_m", (F.col("_s") - F.col("_c") * F.element_at(centre, F.col("_u"))) / F.element_at(size, F.col("_u"))))
-    psi = F.coalesce("_p", F.lit(0.0)) + F.coalesce("_m", F.lit(0.0))
-    j = part.join(mean, ["cluster", "_u"], "full_outer").groupBy("_u").agg(F.sum(psi * psi).alias("s"), F.count("*").alias("g"))
-    return {r["_u"]: r["s"] * r["g"] / (r["g"] - 1) for r in j.collect()}
+def margins_slopes(df: DataFrame, model: Model, terms: list[str], where: Column | None = None) -> DataFrame:
+    """(prediction, term, kind, estimate, se, n): mean derivative and elasticity of both predictions in each term, in one pass a prediction."""
+    rows = []
+    for name, expr in (("psel", psel), ("pcond", pcond)):
+        cells = [(t, kind) for t in terms for kind in ("dydx", "eyex")]
+        got = _means(df, model, [slope(expr, t, kind == "eyex") for t, kind in cells], where=where)
+        rows += [(name, *cells[k], float(m), s, n) for k, _, m, s, n in got]
+    return df.sparkSession.createDataFrame(rows, "prediction string, term string, kind string, estimate double, se double, n bigint")
 
 
 def mte_curve(df, model, grid, where=None) -> DataFrame:
@@ -191,8 +381,7 @@ def labor_supply_curve(df, model, grid, at, where=None) -> DataFrame:
 
 def elasticity_grid(df: DataFrame, model: Model, col: str, grid: list[float], cluster: str | None = None) -> DataFrame:
     """Elasticity of supply in `col` by risk quantile, with the share of rows whose index is above it."""
-    m = margins(df, model, slope(supply, col, elasticity=True), grid, direct=[(SEL, col, None)],
-                vce="unconditional", cluster=cluster)
+    m = margins(df, model, slope(supply, col, elasticity=True), grid, vce="unconditional", cluster=cluster)
     pts = F.explode(F.array(*[F.lit(float(v)) for v in grid]))
     share = (index_columns(df, model, "_xb", "_zg").select("_xb", pts.alias("u"))
              .groupBy("u").agg(F.avg((F.col("_xb") >= F.col("u")).cast("int")).alias("share_above")))
@@ -204,7 +393,7 @@ def surface_rows(df: DataFrame, model: Model, n_u: int, p_step: float, where: Co
     d = selection_predict(df if where is None else df.where(where), model, ["xb", "psel"]).select("xb", "psel")
     low = d.agg(F.min("psel")).scalar()
     d = _spread(d.withColumn("_low", low), [k / (n_u + 1) for k in range(1, n_u + 1)]).where(F.col("_u") > F.col("_low"))
-    c = Ctx(d, _par(model), "xb", "xb")
+    c = Ctx(d, model, "xb", "xb")
     e = mte(c)
     per = round(1 / p_step)
     return c.df.select("psel", (F.floor(F.col("psel") * per) / per).alias("bin"), F.col("_u").alias("u"), e.alias("mte"))
@@ -233,7 +422,7 @@ def bound_integral(df: DataFrame, model: Model, lo: float = 0.01, hi: float = 0.
     """Integral of the mean effect curve over u by a sum whose last point counts half."""
     k = round((hi - lo) / step) + 1
     us = [round(lo + i * step, 10) for i in range(k)]
-    c = Ctx(_spread(index_columns(df if where is None else df.where(where), model, "_xb", "_zg").select("_xb", "_zg"), us), _par(model))
+    c = Ctx(_spread(index_columns(df if where is None else df.where(where), model, "_xb", "_zg").select("_xb", "_zg"), us), model)
     e = mte(c)
     weight = F.when(F.col("_u") == us[-1], step / 2).otherwise(step)
     return c.df.select(e.alias("_e"), weight.alias("_w")).agg(
@@ -245,42 +434,53 @@ NODES = (-2.02018, -0.958572, 0.0, 0.958572, 2.02018)
 NODE_WEIGHTS = (0.0199532, 0.393619, 0.945309, 0.393619, 0.0199532)
 
 
-def value_expr(wage: str, p: Column | float, m: float = 1.0, nodes=NODES, weights=NODE_WEIGHTS, hours: float = 8.0) -> Expr:
-    """Pay that offsets a small rise p in outcome risk, summed over the resistance nodes."""
-    def run(c: Ctx) -> Column:
-        rate = c.coef(OUT, wage) - c.rho * c.coef(SEL, wage)
-        root = F.col(c.let(c.root)[0])
-        shift = p if isinstance(p, Column) else F.lit(float(p))
-        a = c.let(*[(c.xb - c.rho * x) / root for x in nodes])
-        raised = c.let(*[norm_cdf(v) + shift for v in a])
-        gaps = c.let(*[norm_inv(v) for v in raised])
-        total = F.lit(0.0)
-        for w, v, g in zip(weights, a, gaps):
-            total = total + (F.col(v) - F.col(g)) * root * w
-        return total * (-hours * m / math.pi) / rate
-    return run
+def _value_node(c: Ctx, wage: str, p: float, x, hours: float):
+    """One node's part of the pay that offsets a small rise p in outcome risk."""
+    rate = c.coef(OUT, wage) - c.rho * c.coef(SEL, wage)
+    a = c.keep((c.xb - c.rho * x) / c.root)
+    gap = (a - c.inv(c.cdf(a) + p)) * c.root
+    return divide(mul(gap, -hours / math.pi), rate)
 
 
 def quadrature_value(df: DataFrame, model: Model, wage: str, ms: list[float], nodes=NODES, weights=NODE_WEIGHTS,
-                     where: Column | None = None) -> DataFrame:
-    """(m, wtp, wtp_se, total, total_se, n): mean pay for one avoided event spread over all rows, and times N."""
+                     where: Column | None = None, hours: float = 8.0) -> DataFrame:
+    """(m, wtp, wtp_se, total, total_se, n): mean pay for one avoided event spread over all rows, and times N.
+
+    The value is linear in m, so one pass serves all; the nodes are rows of the pass, which keeps its code small. Rows with a
+    node whose raised risk passes 1 have no value and are left out.
+    """
     d = df if where is None else df.where(where)
     n = d.count()
-    out = None
-    for m in ms:
-        direct = [(OUT, wage, None), (SEL, wage, None)]
-        r = margins(d, model, value_expr(wage, 1.0 / n, m, nodes, weights), direct=direct)
-        r = r.select(F.lit(float(m)).alias("m"), F.col("estimate").alias("wtp"), F.col("se").alias("wtp_se"),
-                     (F.col("estimate") * n).alias("total"), (F.col("se") * n).alias("total_se"), "n")
-        out = r if out is None else out.unionByName(r)
-    return out
+    far = max(abs(x) for x in nodes)
+    rho, root = math.tanh(model.athrho), math.sqrt(1 - math.tanh(model.athrho) ** 2)
+
+    def expr(c: Ctx):
+        # the riskiest node decides for the row
+        risk = c.let((_open(c.xb)[0] + abs(rho) * far) / root)[0]
+        ok = F.col(c.let(norm_cdf(risk) + 1.0 / n < 1)[0])
+        return _where(ok, _value_node(c, wage, 1.0 / n, F.col("_x"), hours))
+
+    r = margins(d, model, expr, nodes=list(zip(nodes, weights)))
+    return r.select(F.explode(F.array(*[F.lit(float(m)) for m in ms])).alias("m"), "*").select(
+        "m", (F.col("estimate") * F.col("m")).alias("wtp"), (F.col("se") * F.col("m")).alias("wtp_se"),
+        (F.col("estimate") * n * F.col("m")).alias("total"), (F.col("se") * n * F.col("m")).alias("total_se"), "n")
+
+
+def _where(ok: Column, x):
+    if isinstance(x, Dual):
+        return Dual(_where(ok, x.v), {k: _where(ok, d) for k, d in x.d.items()}, x.level)
+    return F.when(ok, _col(x))
 
 
-def row_values(df: DataFrame, model: Model, wage: str, n: int, out: str = "value", nodes=NODES, weights=NODE_WEIGHTS) -> DataFrame:
+def row_values(df: DataFrame, model: Model, wage: str, n: int, out: str = "value", nodes=NODES, weights=NODE_WEIGHTS,
+               hours: float = 8.0) -> DataFrame:
     """The value per row, for its density."""
-    c = Ctx(index_columns(df, model, "_xb", "_zg"), _par(model))
-    e = value_expr(wage, 1.0 / n, 1.0, nodes, weights)(c)
-    return c.df.withColumn(out, e).select(*df.columns, out)
+    c = Ctx(index_columns(df, model, "_xb", "_zg"), model)
+    total = None
+    for x, w in zip(nodes, weights):
+        part = F.col(c.let(_value_node(c, wage, 1.0 / n, x, hours) * w)[0])
+        total = part if total is None else total + part
+    return c.df.withColumn(out, total).select(*df.columns, out)
 
 
 def value_density(df, model, wage, n, points: int) -> DataFrame:
@@ -307,7 +507,7 @@ def lincom_nlcom(model: Model, eq: str, term: str, fn: str = "identity") -> tupl
     return value, abs(slope_) * se
 
 
-def rho_interval(model: Model, q: float = 1.959963984540054) -> tuple[float, float]:
+def rho_interval(model: Model, q: float = NORMAL_975) -> tuple[float, float]:
     """Interval of the correlation, lower end first."""
     se = lincom_nlcom(model, "athrho", "athrho")[1]
     return math.tanh(model.athrho - q * se), math.tanh(model.athrho + q * se)
@@ -317,15 +517,14 @@ def model_sweep(df: DataFrame, specs: list[dict]) -> DataFrame:
     """One result row per specification: instrument, correlation and mean outcome, with errors.
 
     A spec has name, y, x, select, z, instrument, and optionally factors, cluster, where,
-    update (column, condition, value) and average (row filter of the mean).
+    update (column, condition, value) and average (row filter of the mean). All are fitted together: a Newton
+    step reads the rows once.
     """
-    from panelspark.operators.clean import conditional_update
-    from panelspark.operators.selection import selection_probit
+    models = fit_selections(df, [Spec(s["y"], s["x"], s["select"], s["z"], s.get("factors", []), s.get("cluster"), s.get("where"), s.get("update", []))
+                                 for s in specs])
     rows = []
-    for s in specs:
-        d = conditional_update(df, s["update"]) if s.get("update") else df
-        m = selection_probit(d, s["y"], s["x"], s["select"], s["z"], s.get("factors"), s.get("cluster"), s.get("where"))
-        used = d if s.get("where") is None else d.where(s["where"])
+    for s, m in zip(specs, models):
+        used = df if s.get("where") is None else df.where(s["where"])
         mean = margins(used.dropna(subset=[*s["x"], *s["z"]]), m, pmargin, where=s.get("average")).first()
         coef, rho = lincom_nlcom(m, SEL, s["instrument"]), lincom_nlcom(m, "athrho", "athrho", "tanh")
         rows.append((s["name"], *map(float, coef), *map(float, rho), float(mean["estimate"]), float(mean["se"]), int(m.stats["n"])))

@@ -14,17 +14,14 @@ the square of the group size, so no operator here does. Two facts replace them:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.missing import m_div
 from panelspark.operators import components as stars
-from panelspark.operators.keys import attach, cut_lineage, key_join
+from panelspark.operators.keys import attach, cut_lineage, key_join, release
 from panelspark.operators.ordered import lag_lead
 from panelspark.operators.ranks import running_sums
 
-DENSE_CLASSES = 1500
-
 
 def contact_weights(members: DataFrame, day: str, group: str, node: str) -> DataFrame:
     """Distinct memberships with the link weight of their group; zero when alone."""
@@ -54,6 +51,33 @@ def node_strength(weights: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("w") * (F.col("_m") - 1)).alias("strength"), F.count("*").alias("n_groups")))
 
 
+def rolling_strength(weights: DataFrame, present: DataFrame, spans: list[int]) -> DataFrame:
+    """(day, node, strength_<span>...): contact weight of the last `span` days and today, among people present on the day.
+
+    present: (node, start, end), one row per person. A link of a past day counts from when both are present until either leaves or
+    the span is over, so a person's strength only changes at such events. They are added up by person and time and swept
+    once by running sums, all spans side by side; rows written follow memberships, events and days present, not the spans.
+    A person's events are in one task: they are bounded by the calendar.
+    """
+    m = weights.where("w > 0").join(present.select("node", "start", "end"), "node").where("end >= day")
+    m = cut_lineage(m.withColumn("from", F.greatest("day", "start")))
+    turns = m.select("day", "grp", "w", F.explode(F.array(F.struct(F.col("from").alias("at"), F.lit(1).alias("k")),
+                                                          F.struct(F.date_add("end", 1).alias("at"), F.lit(-1).alias("k")))).alias("t"))
+    turns = turns.groupBy("day", "grp", "t.at").agg((F.max("w") * F.sum("t.k")).alias("v"))
+    others = m.select("day", "grp", "node").join(turns, ["day", "grp"]).select("node", "day", "at", "v")
+    own = m.select("node", "day", F.col("from").alias("at"), (-F.col("w")).alias("v"))
+    names = [f"strength_{s}" for s in spans]
+    enter = F.struct(F.col("at").alias("time"), *[F.col("v").alias(n) for n in names])
+    leave = [F.struct(F.greatest("at", F.date_add("day", s + 1)).alias("time"), *[(-F.col("v") if t == s else F.lit(0.0)).alias(n) for t, n in zip(spans, names)]) for s in spans]
+    moves = others.unionByName(own).select("node", F.inline(F.array(enter, *leave))).withColumn("here", F.lit(0))
+    days = present.select("node", F.explode(F.sequence("start", "end")).alias("time"), *[F.lit(0.0).alias(n) for n in names], F.lit(1).alias("here"))
+    sums = moves.unionByName(days).groupBy("node", "time").agg(*[F.sum(n).alias(n) for n in names], F.max("here").alias("here"))
+    run = W.partitionBy("node").orderBy("time").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # what has been put in and taken out again is zero but for rounding
+    swept = sums.select("node", F.col("time").alias("day"), "here", *[F.round(F.sum(n).over(run), 12).alias(n) for n in names])
+    return swept.where("here = 1").select("day", "node", *names)
+
+
 def node_classes(weights: DataFrame) -> DataFrame:
     """(day, node, cls, grps): the node's set of groups, sorted, and a text that stands for it.
 
@@ -151,60 +175,89 @@ def largest_component(weights: DataFrame, classes: DataFrame | None = None) -> D
     return state.join(top, ["day", "label"]).select("day", "cls", "n", "label")
 
 
-def _solve_day(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Leading eigenvector of one day's class matrix, largest entry 1."""
-    cls, ci = np.unique(pdf["cls"].to_numpy(), return_inverse=True)
-    _, gi = np.unique(pdf["grp"].to_numpy(), return_inverse=True)
-    n = np.zeros(len(cls))
-    n[ci] = pdf["n"].to_numpy(float)
-    half = np.zeros((len(cls), gi.max() + 1))
-    half[ci, gi] = np.sqrt(pdf["w"].to_numpy(float))
-    a = half @ half.T
-    own = np.diag(a).copy()
-    # symmetric form: class sizes enter by their square roots
-    s = np.sqrt(n)
-    m = s[:, None] * a * s[None, :] - np.diag(own)
-    vec = np.linalg.eigh(m)[1][:, -1]
-    x = np.abs(vec) / s
-    return pd.DataFrame({"day": pdf["day"].iloc[0], "cls": cls, "x": x / x.max()})
-
-
-def _iterate(links: DataFrame, tol: float, max_iter: int) -> DataFrame:
-    """Power iteration on (links + identity) for all days at once, in factored form."""
-    links = cut_lineage(links)
-    own = links.groupBy("day", "cls").agg(F.sum("w").alias("_own"))
-    state = links.select("day", "cls").distinct().withColumn("x", F.lit(1.0))
+# vectors of the search in the order of its columns; each has its image under the matrix next to it
+BASIS = ("x", "r", "k", "p")
+
+
+def _images(links: DataFrame, state: DataFrame, of: str) -> DataFrame:
+    """(day, cls, out): the links' matrix times the column `of`, in factored form: a group sum, less the own part.
+
+    In symmetric form class sizes enter by their square roots: sqrt(n_a) * sum over groups of w * sum of sqrt(n_b) v_b, less w * v_a.
+    """
+    totals = (links.join(state.select("day", "cls", of), ["day", "cls"])
+              .groupBy("day", "grp").agg(F.sum(F.sqrt("n") * F.col(of)).alias("_t")))
+    return (links.join(totals, ["day", "grp"]).join(state.select("day", "cls", of), ["day", "cls"])
+            .groupBy("day", "cls").agg(F.sum(F.col("w") * (F.sqrt("n") * F.col("_t") - F.col(of))).alias("out")))
+
+
+def _combination(gram: np.ndarray, image: np.ndarray) -> tuple[float, np.ndarray]:
+    """Largest Ritz value and its coefficients over a basis with these products; directions that add nothing are left out."""
+    size = np.sqrt(np.maximum(np.diag(gram), 0))
+    scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+    e, q = np.linalg.eigh(gram * scale[:, None] * scale[None, :])
+    keep = e > 1e-13
+    way = scale[:, None] * q[:, keep] / np.sqrt(e[keep])
+    theta, c = np.linalg.eigh(way.T @ image @ way)
+    return float(theta[-1]), way @ c[:, -1]
+
+
+def _leading(links: DataFrame, tol: float, max_iter: int) -> DataFrame:
+    """(day, cls, x): leading eigenvector of every day's links, largest entry 1; all days move together.
+
+    Lanczos, restarted after two steps: each round takes the best vector from the span of the current one, its residual, the
+    residual's image and the last move, so tables stay a few columns wide. The driver sees the products of these by day. A day is done when its
+    residual is below `tol` times its value; that bounds how far value and vector are off (by the gap to the next value).
+    """
+    state = cut_lineage(links.groupBy("day", "cls").agg(F.max("n").alias("n")).withColumn("x", F.sqrt("n")))
+    first = _images(links, state, "x").withColumnRenamed("out", "mx")
+    table = cut_lineage(state.join(first, ["day", "cls"]).withColumns({"p": F.lit(0.0), "mp": F.lit(0.0)}))
+    release(state)
+    theta: dict = {}
+    for r in table.groupBy("day").agg(F.sum(F.col("x") * F.col("mx")).alias("a"), F.sum(F.col("x") * F.col("x")).alias("b")).collect():
+        theta[r["day"]] = r["a"] / r["b"]
+    spark, kind = links.sparkSession, dict(links.dtypes)["day"]
     for _ in range(max_iter):
-        totals = links.join(state, ["day", "cls"]).groupBy("day", "grp").agg(F.sum(F.col("n") * F.col("x")).alias("_t"))
-        pull = links.join(totals, ["day", "grp"]).groupBy("day", "cls").agg(F.sum(F.col("w") * F.col("_t")).alias("_p"))
-        new = (state.join(pull, ["day", "cls"]).join(own, ["day", "cls"])
-               .select("day", "cls", "x", (F.col("_p") + (1 - F.col("_own")) * F.col("x")).alias("_y")))
-        new = cut_lineage(attach(new, ["day"], {"_top": F.max("_y")}).select(
-            "day", "cls", (F.col("_y") / F.col("_top")).alias("x"), F.abs(F.col("_y") / F.col("_top") - F.col("x")).alias("_d")))
-        state = new.drop("_d")
-        change = new.agg(F.max("_d")).first()[0]
-        if change is None or change < tol:
-            return state
-    raise RuntimeError(f"centrality not settled after {max_iter} rounds: the last one moved an entry by {change:.3g}")
-
-
-def eigen_centrality(weights: DataFrame, tol: float = 1e-10, max_iter: int = 2000,
-                     dense_classes: int = DENSE_CLASSES) -> DataFrame:
+        values = spark.createDataFrame(list(theta.items()), f"day {kind}, theta double")
+        step = table.join(values, "day").withColumn("r", F.col("mx") - F.col("theta") * F.col("x")).drop("theta")
+        step = step.join(_images(links, step, "r").withColumnRenamed("out", "mr"), ["day", "cls"])
+        step = cut_lineage(step.withColumn("k", F.col("mr")))
+        new = cut_lineage(step.join(_images(links, step, "k").withColumnRenamed("out", "mk"), ["day", "cls"]))
+        release(step, table)
+        pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+        cell = lambda i, j, m="": F.sum(F.col(BASIS[i]) * F.col(m + BASIS[j]))
+        rows = new.groupBy("day").agg(*[cell(i, j).alias(f"g{i}{j}") for i, j in pairs], *[cell(i, j, "m").alias(f"m{i}{j}") for i, j in pairs]).collect()
+        moves, worst = [], 0.0
+        for r in rows:
+            g, m = np.zeros((4, 4)), np.zeros((4, 4))
+            for i, j in pairs:
+                g[i, j] = g[j, i] = r[f"g{i}{j}"]
+                m[i, j] = m[j, i] = r[f"m{i}{j}"]
+            error = np.sqrt(g[1, 1] / g[0, 0]) / max(abs(theta[r["day"]]), np.finfo(float).tiny)
+            worst = max(worst, error)
+            if error > tol:
+                theta[r["day"]], c = _combination(g, m)
+            else:
+                c = np.array([1.0, 0, 0, 0]) / np.sqrt(g[0, 0])
+            moves.append((r["day"], *map(float, c)))
+        coef = spark.createDataFrame(moves, f"day {kind}, " + ", ".join(f"c{v} double" for v in BASIS))
+        part = lambda names, m="": sum((F.col(f"c{v}") * F.col(m + v) for v in names), F.lit(0.0))
+        table = new.join(coef, "day").select("day", "cls", "n", part(BASIS).alias("x"), part(BASIS, "m").alias("mx"), part(BASIS[1:]).alias("p"), part(BASIS[1:], "m").alias("mp"))
+        table._scratch_path = new._scratch_path
+        if worst <= tol:
+            out = table.withColumn("x", F.abs("x") / F.sqrt("n"))
+            return attach(out, ["day"], {"_top": F.max("x")}).select("day", "cls", (F.col("x") / F.col("_top")).alias("x"))
+    raise RuntimeError(f"centrality not settled after {max_iter} rounds: a residual of {worst:.3g}")
+
+
+def eigen_centrality(weights: DataFrame, tol: float = 1e-11, max_iter: int = 500) -> DataFrame:
     """(day, node, centrality): leading eigenvector on the largest component, 0 elsewhere.
 
-    Interchangeable people share an entry, so the problem is solved over classes. Days
-    with at most `dense_classes` classes are solved exactly, one small matrix per day and
-    task; larger days iterate over the factored links.
+    Interchangeable people share an entry, so the problem is solved over classes.
     """
     nodes = cut_lineage(node_classes(weights))
     inside = largest_component(weights, nodes).select("day", "cls")
-    links = class_links(weights, nodes).where(F.col("w") > 0).join(inside, ["day", "cls"])
-    links = cut_lineage(attach(links, ["day"], {"_k": F.count_distinct("cls")}))
-    small = links.where(F.col("_k") <= dense_classes).select("day", "grp", "w", "cls", "n")
-    x = small.groupBy("day").applyInPandas(_solve_day, "day date, cls string, x double")
-    large = links.where(F.col("_k") > dense_classes).select("day", "grp", "w", "cls", "n")
-    if large.limit(1).count():
-        x = x.unionByName(_iterate(large, tol, max_iter))
+    links = cut_lineage(class_links(weights, nodes).where(F.col("w") > 0).join(inside, ["day", "cls"]).select("day", "grp", "w", "cls", "n"))
+    x = _leading(links, tol, max_iter)
     return (nodes.join(x, ["day", "cls"], "left")
             .select("day", "node", F.coalesce("x", F.lit(0.0)).alias("centrality")))
 

@@ -64,14 +64,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/panelspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `cut_lineage` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        mine = _scratch.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in mine:
+            mine.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_scratch(spark) -> int:
     """Delete the tables this session's operators wrote; results that read them must have been stored before."""
     paths = _scratch.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, p)
     return len(paths)

@@ -14,11 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.functions.normal import np_cdf
-from panelspark.operators.keys import attach, cut_lineage
+from panelspark.operators.keys import attach, cut_lineage, release
 from panelspark.operators.components import components
 from panelspark.operators.solve import independent, inverse_of
 
-MAX_LEVELS = 3000
 ROUNDS = 50
 
 
@@ -69,48 +68,99 @@ def complete(df: DataFrame, cols: list[str], where: Column | None = None) -> Dat
     return d.select(*uniq).dropna()
 
 
-def absorb(df: DataFrame, cols: list[str], factors: list[str], tol: float = 1e-10,
-           max_levels: int = MAX_LEVELS, max_sweeps: int = 500) -> tuple[DataFrame, int]:
+def absorb(df: DataFrame, cols: list[str], factors: list[str], tol: float = 1e-12, max_iter: int = 1000) -> tuple[DataFrame, int]:
     """Replace `cols` by their residuals on the factors; also the rank the factors use.
 
-    No factor: less the mean. One: less group means. Several with at most `max_levels`
-    levels in all: their normal equations (counts of level pairs) are solved on the driver
-    and the level effects joined back. More levels: alternate group means until the largest
-    change is below `tol`, an error if `max_sweeps` do not get there.
+    No factor: less the mean. One: less group means. More: rows are added up once to the cells of levels that occur together, the
+    normal equations of the level effects are solved by conjugate gradients on tables of levels, and the effects are
+    taken off the rows. So the rows are read twice, at any number of levels.
     """
     if not factors:
         means = [df.agg(F.avg(c)).scalar() for c in cols]
         return df.withColumns({c: F.col(c) - m for c, m in zip(cols, means)}), 1
     if len(factors) == 1:
         return _less_means(df, cols, factors[0]), df.select(factors[0]).distinct().count()
-    counts = df.agg(*[F.count_distinct(f) for f in factors]).first()
-    if sum(counts) <= max_levels:
-        return _less_level_effects(df, cols, factors)
-    rank = _factor_rank(df, factors, counts)
-    d = cut_lineage(df)
-    for _ in range(max_sweeps):
-        kept = d.withColumns({f"_k_{c}": F.col(c) for c in cols})
-        for f in factors:
-            kept = cut_lineage(_less_means(kept, cols, f))
-        change = kept.agg(F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"_k_{c}"))) for c in cols], F.lit(0.0))).first()[0]
-        d = kept.drop(*[f"_k_{c}" for c in cols])
-        if change is None or change < tol:
-            return d, rank
-    raise RuntimeError(f"factors not taken out after {max_sweeps} sweeps: the last one moved a value by {change:.3g}")
-
-
-def _factor_rank(df: DataFrame, factors: list[str], counts) -> int:
-    """Rank of the level dummies: every further factor adds its levels less the components it hangs together in.
-
-    Exact for two factors; for more, each factor is taken against the one before it, which is exact when they are
-    connected or nested in turn.
+    keys = [f"_k{i}" for i in range(len(factors))]
+    keyed = df.select(*[F.col(f).cast("string").alias(k) for f, k in zip(factors, keys)], *cols)
+    cells = cut_lineage(keyed.groupBy(*keys).agg(F.count("*").cast("double").alias("_n"), *[F.sum(c).alias(f"_s{j}") for j, c in enumerate(cols)]))
+    levels, rank = _level_effects(cells, keys, len(cols), tol, max_iter)
+    out = df
+    for i, f in enumerate(factors):
+        eff = levels.where(F.col("f") == i).select(F.col("level").alias("_level"), *[F.col(f"x{j}").alias(f"_x{j}") for j in range(len(cols))])
+        out = out.join(eff, F.col(f).cast("string") == F.col("_level")).drop("_level")
+        out = out.withColumns({c: F.col(c) - F.col(f"_x{j}") for j, c in enumerate(cols)}).drop(*[f"_x{j}" for j in range(len(cols))])
+    return out, rank
+
+
+def _by_level(cells: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Cell values added up for every level of every factor: (f, level, ...)."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(k).alias("level")) for i, k in enumerate(keys)]))
+    return (cells.select(*[c.alias(n) for n, c in sums.items()], each.alias("_e")).groupBy("_e.f", "_e.level")
+            .agg(*[F.sum(n).alias(n) for n in sums]))
+
+
+def _level_effects(cells: DataFrame, keys: list[str], n_cols: int, tol: float, max_iter: int) -> tuple[DataFrame, int]:
+    """(f, level, n, x0, x1, ...) that solve the normal equations of the level dummies, and the dummies' rank.
+
+    Conjugate gradients with the counts as preconditioner, all columns side by side: one pass over the cells a step. The rank is
+    the number of levels less the dimension of what the dummies cannot tell apart: two factors lose one for every component they
+    hang together in; for more, random level vectors are solved along, and what is left of them spans that space.
     """
-    rank = counts[0]
-    for i in range(1, len(factors)):
-        ends = [F.concat(F.lit(f"{j}/"), F.col(factors[j]).cast("string")) for j in (i - 1, i)]
-        links = df.select(ends[0].alias("u"), ends[1].alias("v")).distinct()
-        rank += counts[i] - components(links).select("root").distinct().count()
-    return rank
+    if len(keys) == 2:
+        ends = [F.concat(F.lit(f"{i}/"), F.col(k)) for i, k in enumerate(keys)]
+        links = cells.select(ends[0].alias("u"), ends[1].alias("v"))
+        return _conjugate(cells, keys, n_cols, tol, max_iter), _count_levels(cells, keys) - components(links).select("root").distinct().count()
+    probes = len(keys) + 1
+    while True:
+        draw = lambda f, level, j: (F.pmod(F.xxhash64(f, level, F.lit(j)), F.lit(1 << 20)) / F.lit(float(1 << 19)) - 1.0)
+        more = {f"_s{n_cols + j}": F.col("_n") * sum((draw(F.lit(i), F.col(k), j) for i, k in enumerate(keys)), F.lit(0.0)) for j in range(probes)}
+        levels = _conjugate(cells.withColumns(more), keys, n_cols + probes, tol, max_iter)
+        left = [draw(F.col("f"), F.col("level"), j) - F.col(f"x{n_cols + j}") for j in range(probes)]
+        pairs = [(a, b) for a in range(probes) for b in range(a, probes)]
+        row = levels.agg(F.count("*"), *[F.sum(F.col("n") * left[a] * left[b]) for a, b in pairs], *[F.sum(F.col("n") * draw(F.col("f"), F.col("level"), 0) ** 2)]).first()
+        g = np.zeros((probes, probes))
+        for (a, b), v in zip(pairs, row[1:]):
+            g[a, b] = g[b, a] = v
+        null = int((np.linalg.eigvalsh(g) > 1e-9 * row[-1]).sum())
+        if null < probes:
+            return levels, row[0] - null
+        probes *= 2
+
+
+def _count_levels(cells: DataFrame, keys: list[str]) -> int:
+    return sum(cells.agg(*[F.count_distinct(k) for k in keys]).first())
+
+
+def _conjugate(cells: DataFrame, keys: list[str], n_cols: int, tol: float, max_iter: int) -> DataFrame:
+    cols = range(n_cols)
+    start = _by_level(cells, keys, {"n": F.col("_n"), **{f"r{j}": F.col(f"_s{j}") for j in cols}})
+    table = cut_lineage(start.select("f", "level", "n", *[F.lit(0.0).alias(f"x{j}") for j in cols], *[f"r{j}" for j in cols],
+                                     *[(F.col(f"r{j}") / F.col("n")).alias(f"p{j}") for j in cols]))
+    first = None
+    for _ in range(max_iter):
+        moved = cells.select("_n", *keys)
+        for i, k in enumerate(keys):
+            p = table.where(F.col("f") == i).select(F.col("level").alias(k), *[F.col(f"p{j}").alias(f"p{i}_{j}") for j in cols])
+            moved = moved.join(p, k)
+        q = _by_level(moved, keys, {f"q{j}": F.col("_n") * sum((F.col(f"p{i}_{j}") for i in range(len(keys))), F.lit(0.0)) for j in cols})
+        new = cut_lineage(table.join(q, ["f", "level"]))
+        dots = new.agg(*[F.sum(e).alias(f"{n}{j}") for j in cols for n, e in (
+            ("pq", F.col(f"p{j}") * F.col(f"q{j}")), ("rr", F.col(f"r{j}") ** 2 / F.col("n")),
+            ("rq", F.col(f"r{j}") * F.col(f"q{j}") / F.col("n")), ("qq", F.col(f"q{j}") ** 2 / F.col("n")))]).first()
+        first = first or [dots[f"rr{j}"] or 0.0 for j in cols]
+        open_ = [j for j in cols if (dots[f"rr{j}"] or 0.0) > tol * tol * first[j] and (dots[f"pq{j}"] or 0.0) > 0]
+        step = {j: dots[f"rr{j}"] / dots[f"pq{j}"] if j in open_ else 0.0 for j in cols}
+        after = {j: max(dots[f"rr{j}"] - 2 * step[j] * dots[f"rq{j}"] + step[j] ** 2 * dots[f"qq{j}"], 0.0) if j in open_ else 0.0 for j in cols}
+        turn = {j: after[j] / dots[f"rr{j}"] if j in open_ else 0.0 for j in cols}
+        residual = {j: F.col(f"r{j}") - F.col(f"q{j}") * step[j] for j in cols}
+        old, table = table, new.select("f", "level", "n", *[(F.col(f"x{j}") + F.col(f"p{j}") * step[j]).alias(f"x{j}") for j in cols],
+                                       *[residual[j].alias(f"r{j}") for j in cols],
+                                       *[(residual[j] / F.col("n") + F.col(f"p{j}") * turn[j]).alias(f"p{j}") for j in cols])
+        release(old)
+        table._scratch_path = new._scratch_path
+        if not open_:
+            return table
+    raise RuntimeError(f"the level effects did not settle in {max_iter} steps")
 
 
 def _less_means(df: DataFrame, cols: list[str], factor: str) -> DataFrame:
@@ -118,33 +168,6 @@ def _less_means(df: DataFrame, cols: list[str], factor: str) -> DataFrame:
     return d.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 
-def _less_level_effects(df: DataFrame, cols: list[str], factors: list[str]) -> tuple[DataFrame, int]:
-    spark = df.sparkSession
-    index, rhs = {}, []
-    for f in factors:
-        for r in df.groupBy(f).agg(*[F.sum(c).alias(c) for c in cols]).collect():
-            index[(f, r[f])] = len(index)
-            rhs.append([r[c] for c in cols])
-    g = np.zeros((len(index), len(index)))
-    for i, a in enumerate(factors):
-        for b in factors[i:]:
-            cells = (df.groupBy(a).agg(F.count("*").alias("_n")) if a == b
-                     else df.groupBy(a, b).agg(F.count("*").alias("_n"))).collect()
-            for r in cells:
-                p, q = index[(a, r[a])], index[(b, r[b])]
-                g[p, q] = g[q, p] = r["_n"]
-    effects, _, rank, _ = np.linalg.lstsq(g, np.array(rhs, float), rcond=1e-12)
-    out = df
-    for f in factors:
-        names = [f"_{f}_{c}" for c in cols]
-        rows = [(lvl, *map(float, effects[i])) for (ff, lvl), i in index.items() if ff == f]
-        schema = f"{f} {dict(df.dtypes)[f]}, " + ", ".join(f"{n} double" for n in names)
-        # at most MAX_LEVELS rows, counted above
-        out = out.join(F.broadcast(spark.createDataFrame(rows, schema)), f)
-        out = out.withColumns({c: F.col(c) - F.col(n) for c, n in zip(cols, names)}).drop(*names)
-    return out, int(rank)
-
-
 def _score_meat(df: DataFrame, zs: list[str], resid: Column, cluster: str) -> tuple[np.ndarray, int]:
     """Sum over clusters of the outer product of cluster score sums."""
     d = df.withColumn("_e", resid)
@@ -349,10 +372,77 @@ def probit(df: DataFrame, y: str, x: list[str], where: Column | None = None) ->
     return fit, mean_pdf.select(F.inline(effects))
 
 
-def logit_fe(df: DataFrame, y: str, x: list[str], factors: list[str], where: Column | None = None) -> Fit:
-    """Logit with fixed effects, on factor levels where the outcome varies."""
+def logit_fe(df: DataFrame, y: str, x: list[str], factors: list[str], where: Column | None = None, tol: float = 1e-10,
+             max_iter: int = 60) -> tuple[Fit, DataFrame]:
+    """Logit with fixed effects, on factor levels where the outcome varies: (slopes, (level, effect, se)).
+
+    Newton steps. The effects of the factor with the most levels stay in a table: rows are added up by level, each level is taken out of the
+    equations of the slopes by its own count, and its step follows from theirs. Levels of further factors are columns.
+    """
     from panelspark.operators.ordered import group_variation_flag
     d = complete(df, [y, *x, *factors], where)
     for f in factors:
         d = group_variation_flag(cut_lineage(d), [f], y, "_v").where(F.col("_v") == 1).drop("_v")
-    return binary_fit(d, y, x, "logit", factors)
+    d = cut_lineage(d)
+    counts = d.agg(*[F.count_distinct(f) for f in factors]).first()
+    wide = max(zip(counts, factors))[1]
+    cols = {c: F.col(c).cast("double") for c in x}
+    for f in factors:
+        if f != wide:
+            for lv in sorted(r[0] for r in d.select(f).distinct().collect())[1:]:
+                cols[f"{f}={lv}"] = (F.col(f) == F.lit(lv)).cast("double")
+    names, p = list(cols), len(cols)
+    spread = d.agg(*[e for c in cols.values() for e in (F.avg(c), F.stddev_samp(c))]).first()
+    scale = [(spread[2 * j] or 0.0, spread[2 * j + 1] or 1.0) for j in range(p)]
+    data = cut_lineage(d.select(F.col(wide).cast("string").alias("level"), F.col(y).cast("double").alias("_y"),
+                                *[((c - m) / s).alias(f"z{j}") for j, (c, (m, s)) in enumerate(zip(cols.values(), scale))]))
+    slope, table, ll = np.zeros(p), None, -math.inf
+    step, size = np.zeros(p), 1.0
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    for _ in range(max_iter):
+        trial = slope + size * step
+        if table is None:
+            eff = data.select("level").distinct().withColumn("a", F.lit(0.0))
+        else:
+            own = F.try_divide(F.col("g") - sum((F.col(f"b{j}") * float(step[j]) for j in range(p)), F.lit(0.0)), F.col("d"))
+            eff = table.select("level", (F.col("a") + size * F.coalesce(own, F.lit(0.0))).alias("a"))
+        eta = F.col("a") + sum((F.col(f"z{j}") * float(trial[j]) for j in range(p)), F.lit(0.0))
+        r = data.join(eff, "level").withColumn("_eta", eta).withColumn("_p", 1 / (1 + F.exp(-F.col("_eta"))))
+        # log(1 + exp(eta)) without overflow
+        r = r.withColumns({"_u": F.col("_y") - F.col("_p"), "_w": F.col("_p") * (1 - F.col("_p")),
+                           "_l": F.col("_y") * F.col("_eta") - F.greatest("_eta", F.lit(0.0)) - F.log1p(F.exp(-F.abs("_eta")))})
+        new = cut_lineage(r.groupBy("level").agg(
+            F.max("a").alias("a"), F.sum("_l").alias("ll"), F.count("*").alias("n"), F.sum("_u").alias("g"), F.sum("_w").alias("d"),
+            *[F.sum(F.col("_w") * F.col(f"z{j}")).alias(f"b{j}") for j in range(p)], *[F.sum(F.col("_u") * F.col(f"z{j}")).alias(f"s{j}") for j in range(p)],
+            *[F.sum(F.col("_w") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in upper]))
+        less = lambda a, b: F.coalesce(F.try_divide(F.col(a) * F.col(b), F.col("d")), F.lit(0.0))
+        sums = new.agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"), F.sum(less("g", "g")).alias("gain"),
+                       *[F.sum(F.col(f"s{j}") - less(f"b{j}", "g")).alias(f"s{j}") for j in range(p)],
+                       *[F.sum(F.col(f"h{i}_{j}") - less(f"b{i}", f"b{j}")).alias(f"h{i}_{j}") for i, j in upper],
+                       *[F.sum(f"h{j}_{j}").alias(f"v{j}") for j in range(p)]).first()
+        if sums["ll"] < ll - 1e-12:
+            release(new)
+            size /= 2
+            if size < 1e-6:
+                raise RuntimeError("the logit fit found no step uphill")
+            continue
+        if table is not None:
+            release(table)
+        slope, table, ll, size = trial, new, sums["ll"], 1.0
+        info = np.zeros((p, p))
+        for i, j in upper:
+            info[i, j] = info[j, i] = sums[f"h{i}_{j}"]
+        keep = independent(info, np.array([sums[f"v{j}"] for j in range(p)]), 1e-10)
+        inv, grad = inverse_of(info, keep), np.array([sums[f"s{j}"] for j in range(p)])
+        step = inv @ grad
+        if float(step @ grad) + sums["gain"] < tol:
+            break
+    else:
+        raise RuntimeError(f"the logit fit did not converge in {max_iter} rounds")
+    unit = np.array([1 / s for _, s in scale])
+    fit = Fit(names, slope * unit, inv * np.outer(unit, unit), {"n": sums["n"], "loglik": ll}, {names[j] for j in range(p) if j not in keep})
+    # effects belong to centred columns; a column's mean moves all of them
+    shift = float(sum(b * m for b, (m, _) in zip(fit.coef, scale)))
+    lean = [F.col(f"b{j}") / F.col("d") + m / s for j, (m, s) in enumerate(scale)]
+    var = 1 / F.col("d") + sum((lean[i] * lean[j] * float(inv[i, j]) for i in range(p) for j in range(p)), F.lit(0.0))
+    return fit, table.select("level", (F.col("a") - shift).alias("effect"), F.sqrt(var).alias("se"))

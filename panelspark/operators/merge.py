@@ -13,26 +13,17 @@ from panelspark.operators.ranks import row_positions
 def merge_report(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Full outer merge with `_merge` = 1 left only, 2 right only, 3 both, and its counts.
 
-    A non-key column on both sides keeps the left value unless the row is right-only.
+    A non-key column on both sides keeps the left value unless the row is right-only. A full outer join cannot be split
+    at a hot key; a left join and the right rows without a match can, a missing key like any other.
     """
     both = [c for c in right.columns if c in left.columns and c not in on]
-    l = left.select(*[F.col(c).alias(f"_l_{c}") for c in left.columns], F.lit(1).alias("_in_l"))
-    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns], F.lit(1).alias("_in_r"))
-    cond = None
-    for k in on:
-        c = l[f"_l_{k}"].eqNullSafe(r[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    j = l.join(r, cond, "full_outer")
-    no_left = F.col("_in_l").isNull()
-    cols: list[Column] = []
-    for c in left.columns:
-        if c in on or c in both:
-            cols.append(F.when(no_left, F.col(f"_r_{c}")).otherwise(F.col(f"_l_{c}")).alias(c))
-        else:
-            cols.append(F.col(f"_l_{c}").alias(c))
-    cols += [F.col(f"_r_{c}").alias(c) for c in right.columns if c not in on and c not in both]
-    code = F.when(no_left, 2).when(F.col("_in_r").isNull(), 1).otherwise(3)
-    merged = j.select(*cols, code.alias("_merge"))
+    only = [c for c in right.columns if c not in on and c not in both]
+    matched = key_join(left, right.select(*on, *only, F.lit(1).alias("_hit")), on, "left")
+    matched = matched.select(*left.columns, *only, F.when(F.col("_hit") == 1, 3).otherwise(1).alias("_merge"))
+    rest = key_join(right, left.select(*on).distinct(), on, "left_anti")
+    kinds = dict(left.dtypes)
+    rest = rest.select(*[F.col(c) if c in right.columns else F.lit(None).cast(kinds[c]).alias(c) for c in left.columns], *only, F.lit(2).alias("_merge"))
+    merged = matched.unionByName(rest)
     return merged, merged.groupBy("_merge").agg(F.count("*").alias("n"))
 
 

@@ -25,6 +25,12 @@ def centrality(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(N.eigen_centrality(weights(spark, sf)))
 
 
+def rolling(spark: SparkSession, sf: str, spans: list[int]) -> DataFrame:
+    """Contact strength over several windows; people are present from their first to their last day in the panel."""
+    present = panel(spark, sf).groupBy(F.col("emp").alias("node")).agg(F.min("day").alias("start"), F.max("day").alias("end"))
+    return N.rolling_strength(weights(spark, sf), cut_lineage(present), spans)
+
+
 @I.stage
 def node_days(spark: SparkSession, sf: str) -> DataFrame:
     """The panel with contact strength and overtime; days without contact count zero."""

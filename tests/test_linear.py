@@ -45,12 +45,23 @@ def test_cluster_covariance_equals_full_dummies(data, factors):
     assert fit.coef == pytest.approx(b[:2]) and fit.se == pytest.approx(np.sqrt(np.diag(v))[:2])
 
 
-def test_alternating_means_agree(data):
-    _, df = data
-    a, _ = L.absorb(df, ["y", "d"], ["f", "g"])
-    b, _ = L.absorb(df, ["y", "d"], ["f", "g"], max_levels=1)
-    sa, sb = (L.cross_products(x, ["y", "d"])[0] for x in (a, b))
-    assert sa == pytest.approx(sb, rel=1e-8)
+@pytest.mark.parametrize("kind", ["three", "apart"])
+def test_absorbing_factors_equals_dummies(spark, kind):
+    """Residuals to 1e-10 and the rank of the dummies, also where levels are nested or fall apart into components."""
+    rng = np.random.default_rng(7)
+    n = 3000
+    f, g, h = rng.integers(0, 20, n), rng.integers(0, 8, n), rng.integers(0, 4, n)
+    if kind == "apart":  # two blocks of levels that never meet, and one factor nested in another
+        g, h = g % 4 + 4 * (f % 2), f // 4
+    pdf = pd.DataFrame({"f": f, "g": g, "h": h, "y": rng.normal(size=n) + f * 0.1 - g * 0.2, "v": rng.normal(size=n) * 100 + h, "id": np.arange(n)})
+    factors = ["f", "g", "h"]
+    d = np.hstack([pd.get_dummies(pdf[c]).to_numpy(float) for c in factors])
+    got, rank = L.absorb(spark.createDataFrame(pdf).repartition(5), ["y", "v"], factors)
+    assert rank == np.linalg.matrix_rank(d)
+    out = got.toPandas().sort_values("id")
+    for c in ("y", "v"):
+        want = pdf[c] - d @ np.linalg.lstsq(d, pdf[c].to_numpy(), rcond=None)[0]
+        assert np.abs(out[c].to_numpy() - want.to_numpy()).max() < 1e-10 * max(1, np.abs(pdf[c]).max())
 
 
 def test_iv_equals_closed_form(data):
@@ -87,5 +98,42 @@ def test_probit_and_logit_recover(spark):
     fit, eff_df = L.probit(df, "p", ["x"])
     assert fit["x"] == pytest.approx(0.8, abs=0.08)
     assert 0.15 < eff_df.first()["effect"] < 0.3
-    lf = L.logit_fe(df, "q", ["x"], ["day"])
-    assert lf["x"] == pytest.approx(1.0, abs=0.12) and lf["day=1"] == pytest.approx(0.5, abs=0.3)
+    lf, days = L.logit_fe(df, "q", ["x"], ["day"])
+    days = {r.level: r for r in days.collect()}
+    assert lf["x"] == pytest.approx(1.0, abs=0.12) and days["1"].effect - days["0"].effect == pytest.approx(0.5, abs=0.3)
+
+
+def test_logit_effects_equal_dummies(spark):
+    """50 levels, one with a third of the rows, some without variation: slopes, effects and errors of the fit with dummies."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    lv = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 50, n))
+    x = rng.normal(size=(n, 2)) * [1, 20] + [0, 100]
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.8 * x[:, 0] + 0.03 * (x[:, 1] - 100) + np.sin(lv))))).astype(int)
+    y[lv == 7], y[lv == 8] = 1, 0
+    grp = rng.integers(0, 3, n)
+    pdf = pd.DataFrame({"y": y, "a": x[:, 0], "b": x[:, 1], "lv": lv, "grp": grp})
+    for factors in (["lv"], ["grp", "lv"]):
+        fit, eff = L.logit_fe(spark.createDataFrame(pdf).repartition(7), "y", ["a", "b"], factors)
+        d = pdf[~pdf["lv"].isin([7, 8])]
+        parts = [d[["a", "b"]].to_numpy(float)] + ([pd.get_dummies(d["grp"], drop_first=True).to_numpy(float)] if "grp" in factors else []) + [pd.get_dummies(d["lv"]).to_numpy(float)]
+        z = np.hstack(parts)
+        t = np.zeros(z.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z @ t))
+            info = z.T @ (z * (p * (1 - p))[:, None])
+            t = t + np.linalg.solve(info, z.T @ (d["y"] - p))
+        se, k = np.sqrt(np.diag(np.linalg.inv(info))), len(fit.terms)
+        assert fit.coef == pytest.approx(t[:k], abs=1e-6) and fit.se == pytest.approx(se[:k], rel=1e-5)
+        got = {int(r.level): r for r in eff.collect()}
+        levels = sorted(d["lv"].unique())
+        assert sorted(got) == levels
+        assert [got[v].effect for v in levels] == pytest.approx(t[k:], abs=1e-5) and [got[v].se for v in levels] == pytest.approx(se[k:], rel=1e-4)
+
+
+def test_logit_with_many_levels(spark):
+    from pyspark.sql import functions as F
+    d = spark.range(300_000).select((F.col("id") % 75_000).alias("lv"), F.randn(1).alias("x"), F.rand(2).alias("u"))
+    d = d.withColumn("y", (F.col("u") < 1 / (1 + F.exp(-F.col("x") - (F.col("lv") % 5 - 2) / 4))).cast("int"))
+    fit, eff = L.logit_fe(d, "y", ["x"], ["lv"])
+    assert eff.count() > 45_000 and 1.0 < fit["x"] < 1.6  # four rows a level take the slope up

@@ -220,3 +220,35 @@ def test_gap_tags(spark):
     assert O.max_gap(d, ["k"], "day", day(2)).first()["max_gap"] == 6
     t = O.gap_end_tag(d, ["k"], "day", day(2), 5)
     assert [r["gap_end"] for r in t.orderBy("day").collect()] == [None, None, None, None, day(12)]
+
+
+def test_merge_report_keeps_hot_and_missing_keys(spark):
+    """Half the rows on one key, a quarter without a key: counts are those of a full outer join, and the plan has none."""
+    left = [(1, f"a{i}") for i in range(400)] + [(None, f"n{i}") for i in range(200)] + [(i, "x") for i in range(2, 202)]
+    right = [(1, 10), (1, 11), (None, 5), (None, 6)] + [(i, i) for i in range(100, 300)]
+    a, b = spark.createDataFrame(left, "k int, v string"), spark.createDataFrame(right, "k int, w int")
+    m, n = merge.merge_report(a, b, ["k"])
+    assert "FullOuter" not in m._jdf.queryExecution().optimizedPlan().toString()
+    full = a.withColumn("l", F.lit(1)).join(b.withColumnRenamed("k", "k2").withColumn("r", F.lit(1)), F.col("k").eqNullSafe(F.col("k2")), "full_outer")
+    want = sorted(map(str, full.select(F.coalesce("k", "k2"), "v", "w", F.when(F.col("l").isNull(), 2).when(F.col("r").isNull(), 1).otherwise(3)).collect()))
+    assert sorted(str(tuple(r)) for r in m.collect()) == sorted(str(tuple(r)) for r in full.select(F.coalesce("k", "k2"), "v", "w", F.when(F.col("l").isNull(), 2).when(F.col("r").isNull(), 1).otherwise(3)).collect()) and want
+    assert sum(r["n"] for r in n.collect()) == full.count()
+
+
+def test_kernel_density_equals_the_sum_over_all_values(spark):
+    import numpy as np
+    from panelspark.operators import stats as T
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(100, 15, 3000), np.full(1500, 80.0), rng.exponential(3, 500)]).tolist()
+    d = spark.createDataFrame([("a" if i % 3 else "b", v) for i, v in enumerate(values)] + [("a", None)], "g string, x double")
+    for by in (None, ["g"]):
+        got = T.kde_grid(d, "x", 60, by).collect()
+        for g in {r["g"] if by else None for r in got}:
+            x = np.array([v for i, v in enumerate(values) if g is None or ("a" if i % 3 else "b") == g])
+            rows = sorted((r for r in got if not by or r["g"] == g), key=lambda r: r["point"])
+            assert len(rows) == 60
+            at = np.array([r["x_at"] for r in rows])
+            h = x.min() - at[0]
+            z = (at[:, None] - x[None, :]) / h
+            want = np.where(z * z < 5, 0.75 / 5**0.5 * (1 - z * z / 5), 0).sum(axis=1) / (len(x) * h)
+            assert np.abs(np.array([r["density"] for r in rows]) - want).max() < 1e-12
