@@ -37,6 +37,7 @@ EVERY = 32               # words from one end of a chunk to the next, on average
 HELD = 1 << 21           # phrases that a task counts before it passes them on
 KEY_BITS = 40            # of a hash, in the counts that feed the maps
 MAP_BITS = (20, 28)      # least and greatest size of a map, 32 MB at most
+PARTS = 64               # of a language's phrases, ranked apart first
 BLOCK_BITS = 12          # maps are put together in so many blocks
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -292,6 +293,9 @@ def collocations(df: DataFrame, lang: str = "lang", text: str = "text", longest:
     around = inner.groupBy("lang", "phrase").agg(F.max("a").alias("around"))
     kept = scored.join(around, ["lang", "phrase"], "left").where(
         F.col("around").isNull() | (_exact(F.col("around")) * COVERED[1] < _exact(F.col("a")) * COVERED[0]))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each part of a language first, so that the last step meets a bounded number of phrases
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    kept = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
