@@ -9,17 +9,23 @@
    when it falls under `TOLERANCE`.
 4. What is left is verified by the exact overlap of the 64-bit shingle sets.
 
-A bucket is cut into blocks of at most `BLOCK` members; each pair of blocks is a group of its own, so no task sees
-a bucket whole. Pairs stay inside their group: it passes on how many links each member has and enough links to span
-what it found linked, never the pairs themselves. A pair counts in the first band that it shares, and buckets with
-the same members are kept once.
+A bucket is cut into blocks of at most `BLOCK` members, so no task sees a bucket whole. Classes need two rounds:
+
+a. Members meet those of their own block and the bucket's pivots (about `PIVOTS` members that join every block). In a group of near
+   copies nearly all link to a pivot, which unites the blocks.
+b. What is still apart from its bucket's largest united set meets all members of the bucket. Those already united never
+   meet, so rows follow the members, and grow faster only with members that do not link to what they share a bucket with.
+
+Numbers of links do need every pair of a bucket. Where they are asked for, the blocks of a bucket travel packed, one row a block
+and pair of blocks; the answer for a pair of blocks is again one row a block. A pair counts in the first band that it shares, and buckets with the
+same members are kept once.
 
 Result: one row per row of the input with class_id (the smallest id reachable over links) and n_links (documents of
 similarity 0.8 or more, copies included).
 
 Cases: a text of fewer than five words is its own single shingle; null or empty texts have no links, and the filter
 keeps them all; a null id comes first; rows that share an id, or have none, are judged each by its text; an empty table
-gives no rows. Only id and text are read.
+gives no rows. Ids of any type that can be ordered will do. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import Rolling, Words, mix, row_key, slices
 from panelspark.operators.components import components
-from panelspark.operators.keys import cut_lineage
+from panelspark.operators.keys import cut_lineage, release
 
 SHINGLE = 5
 OVER, UNDER = 4, 5       # the threshold as a fraction
@@ -41,6 +47,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 512
+PIVOTS = 16              # members of a bucket in several blocks that meet all the others, on average
 BLOCK_BYTES = 64 << 20
 BLANK = r"\x20\x09-\x0D"
 A, B = Rolling(21), Rolling(22)
@@ -123,17 +130,21 @@ def surviving(mh: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> tuple[
     return a, b
 
 
-def group_pairs(block: np.ndarray, bi: int, bj: int, mh: np.ndarray, band: int, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of a group, found in pieces of at most `most` pairs."""
-    left = np.flatnonzero(block == bi)
-    right = left if bi == bj else np.flatnonzero(block == bj)
+def group_pairs(left: np.ndarray, right: np.ndarray | None, mh: np.ndarray, band: int, apart: np.ndarray | None = None,
+                most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of a member on the left with one on the right (or two on the left), in pieces of at most `most` pairs.
+
+    `apart` holds a mark of each member; members with the same one are not compared.
+    """
+    other = left if right is None else right
     out_a, out_b = [], []
-    step = max(1, most // max(1, len(right)))
+    step = max(1, most // max(1, len(other)))
     for k in range(0, len(left), step):
-        a, b = np.repeat(left[k:k + step], len(right)), np.tile(right, len(left[k:k + step]))
-        if bi == bj:
-            a, b = a[a < b], b[a < b]
-        a, b = surviving(mh, a, b, band)
+        a, b = np.repeat(left[k:k + step], len(other)), np.tile(other, len(left[k:k + step]))
+        ok = a < b if right is None else a != b
+        if apart is not None:
+            ok &= apart[a] != apart[b]
+        a, b = surviving(mh, a[ok], b[ok], band)
         out_a.append(a)
         out_b.append(b)
     none = np.zeros(0, np.int64)
@@ -159,23 +170,23 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int =
     return out
 
 
-def _groups(batches, columns: list[str]):
-    """Row lists of consecutive equal (bucket, bi, bj); rows come sorted by them."""
+def _groups(batches, keys: list[str], columns: list[str]):
+    """Row lists of consecutive equal keys; rows come sorted by them."""
     held, key = [], None
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("bucket", "bi", "bj", *columns)]
+        cols = [b.column(c).to_pylist() for c in (*keys, *columns)]
         for r in zip(*cols):
-            if r[:3] != key:
+            if r[:len(keys)] != key:
                 if held:
                     yield key, held
-                held, key = [], r[:3]
-            held.append(r[3:])
+                held, key = [], r[:len(keys)]
+            held.append(r[len(keys):])
     if held:
         yield key, held
 
 
-def _matrix(rows: list[tuple], k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(r[k] for r in rows), np.uint16).reshape(-1, HASHES)
+def _matrix(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint16).reshape(-1, HASHES)
 
 
 def _collect(rows_of, schema: pa.Schema, size: int = 20_000):
@@ -189,44 +200,100 @@ def _collect(rows_of, schema: pa.Schema, size: int = 20_000):
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema)
 
 
-def _active(batches):
-    """Members that have a surviving pair in their group."""
-    def rows():
-        for (bucket, bi, bj), g in _groups(batches, ["rep", "block", "band", "mh"]):
-            a, b = group_pairs(np.array([r[1] for r in g]), bi, bj, _matrix(g, 3), g[0][2])
-            for i in np.union1d(a, b):
-                yield bucket, bi, bj, g[i][0], g[i][1], g[i][2]
-    yield from _collect(rows(), pa.schema([("bucket", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("rep", pa.int64()), ("block", pa.int32()), ("band", pa.int32())]))
+def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Members of a group by side; a group of one side compares its members with each other, a guest only with the hosts."""
+    side = np.array([r[1] for r in rows])
+    hosts, guests = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return hosts, (guests if len(guests) else None)
+
+
+def _group_candidates(rows: list[tuple], mh: np.ndarray, band: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    hosts, guests = _sides(rows)
+    apart = np.array([r[2] for r in rows])
+    a, b = group_pairs(hosts, None, mh, band, apart) if within else (np.zeros(0, np.int64),) * 2
+    if guests is not None:
+        c, d = group_pairs(guests, hosts, mh, band, apart)
+        a, b = np.concatenate([a, c]), np.concatenate([b, d])
+    return a, b
 
 
-def _verify(batches):
-    """Per group: (u, null, links) for every member with links, and (u, v, 0) links that span the linked members."""
+ROLES = ["rep", "side", "mark", "band"]
+GROUP = ["bucket", "bi", "bj"]
+
+
+def _active(within: bool):
+    """Members that have a surviving pair in their group."""
+    def run(batches):
+        def rows():
+            for key, g in _groups(batches, GROUP, [*ROLES, "mh"]):
+                a, b = _group_candidates(g, _matrix([r[4] for r in g]), g[0][3], within)
+                for i in np.union1d(a, b):
+                    yield *key, *g[i][:4]
+        yield from _collect(rows(), pa.schema([("bucket", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("rep", pa.int64()), ("side", pa.int32()), ("mark", pa.int64()), ("band", pa.int32())]))
+    return run
+
+
+def linked_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that reach the threshold, exactly."""
+    size = np.array([len(s) for s in sets], np.int64)
+    both = overlaps(sets, a, b)
+    ok = UNDER * both >= OVER * (size[a] + size[b] - both)
+    return a[ok], b[ok]
+
+
+def united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n members is linked to."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def _settle(sets: list[np.ndarray], reps: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per member of a group: the first one that it is linked to in the end, and how many documents it is linked to."""
+    a, b = linked_pairs(sets, a, b)
+    links = np.zeros(len(reps), np.int64)
+    np.add.at(links, a, copies[b])
+    np.add.at(links, b, copies[a])
+    return reps[united(len(reps), a, b)], links
+
+
+LINKS = "u long, v long, links long"
+
+
+def _verify(within: bool):
+    """(u, v, links) of every member with links: links (u, v) span those of the group, and links counts documents."""
+    def run(batches):
+        def rows():
+            for _, g in _groups(batches, GROUP, [*ROLES, "mh", "copies", "shingles"]):
+                reps = np.array([r[0] for r in g])
+                to, links = _settle([np.frombuffer(r[6], np.uint64) for r in g], reps, np.array([r[5] for r in g]),
+                                    *_group_candidates(g, _matrix([r[4] for r in g]), g[0][3], within))
+                for i in np.flatnonzero(links):
+                    yield int(reps[i]), int(to[i]), int(links[i])
+        yield from _collect(rows(), pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())]))
+    return run
+
+
+def _settle_blocks(batches):
+    """Per block of a pair of blocks one row, with the same for each of its members, in order."""
     def rows():
-        for (_, bi, bj), g in _groups(batches, ["rep", "block", "band", "copies", "mh", "shingles"]):
-            a, b = group_pairs(np.array([r[1] for r in g]), bi, bj, _matrix(g, 4), g[0][2])
-            sets = [np.frombuffer(r[5], np.uint64) for r in g]
-            size = np.array([len(s) for s in sets])
-            both = overlaps(sets, a, b)
-            ok = UNDER * both >= OVER * (size[a] + size[b] - both)
-            a, b = a[ok], b[ok]
-            copies, links = np.array([r[3] for r in g]), np.zeros(len(g), np.int64)
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            root = np.arange(len(g))
-            while len(a):
-                low = np.minimum(root[a], root[b])
-                new = root.copy()
-                np.minimum.at(new, a, low)
-                np.minimum.at(new, b, low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            for i in np.flatnonzero(links):
-                yield g[i][0], None, int(links[i])
-                if root[i] != i:
-                    yield g[i][0], g[root[i]][0], 0
-    yield from _collect(rows(), pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())]))
+        for (bucket, bi, bj), g in _groups(batches, GROUP, ["block", "members"]):
+            row = [(block, m) for block, members in g for m in members]
+            block = np.array([b for b, _ in row])
+            left, right = np.flatnonzero(block == bi), None if bi == bj else np.flatnonzero(block == bj)
+            pairs = group_pairs(left, right, _matrix([m["mh"] for _, m in row]), row[0][1]["band"])
+            to, links = _settle([np.frombuffer(m["shingles"], np.uint64) for _, m in row], np.array([m["rep"] for _, m in row]), np.array([m["copies"] for _, m in row]), *pairs)
+            for k in dict.fromkeys((bi, bj)):
+                yield bucket, k, to[block == k].tolist(), links[block == k].tolist()
+    yield from _collect(rows(), pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("to", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))]), 200)
 
 
 def _shingles(batches):
@@ -237,55 +304,114 @@ def _shingles(batches):
                                          names=["h1", "h2", "shingles"])
 
 
-GROUP = ["bucket", "bi", "bj"]
-
-
-def _linked(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: id, h1, h2, n; classes with words: h1, h2, top, n_links); top is (id, _k1, _k2) of the first row in reach."""
-    docs = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-2**63)).alias("id"), *row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text"))
-    each = cut_lineage(docs.mapInArrow(_describe, "id long, _k1 long, _k2 int, h1 long, h2 long, n long, mh binary"))
-    classes = cut_lineage(each.where("n > 0").groupBy("h1", "h2")
-                          .agg(F.min(F.struct("id", "_k1", "_k2")).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
-                          .withColumn("rep", F.monotonically_increasing_id()))
-    bands = classes.select("rep", "n", "mh").mapInArrow(_bands, "rep long, n long, band int, key long")
-    buckets = (bands.groupBy("band", "key")
-               .agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.sum("n").alias("w")).where("m > 1")
-               .groupBy("m", "who").agg(F.min(F.struct("band", "key", "w")).alias("b"))  # the same members once, in their first band
-               .select("b.band", "b.key", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("b.w") / BLOCK_BYTES)).cast("int").alias("blocks")))
-    members = (bands.join(buckets, ["band", "key"])
-               .select("rep", "band", F.xxhash64("band", "key").alias("bucket"), "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("rep", "band", "bucket", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")))
-    active = cut_lineage(members.join(classes.select("rep", "mh"), "rep").select(*GROUP, "rep", "block", "band", "mh")
-                         .repartition(*GROUP).sortWithinPartitions(*GROUP, "rep")
-                         .mapInArrow(_active, "bucket long, bi int, bj int, rep long, block int, band int"))
-    wanted = active.select("rep").distinct().join(classes.select("rep", "h1", "h2", "own._k1", "own._k2"), "rep")
-    sets = (docs.select("_k1", "_k2", "_text").join(wanted.select("_k1", "_k2").distinct(), ["_k1", "_k2"])
-            .select("_text").mapInArrow(_shingles, "h1 long, h2 long, shingles binary")
-            .join(wanted.select("rep", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles"))
-    found = cut_lineage(active.join(classes.select("rep", "copies", "mh"), "rep").join(sets, "rep")
-                        .select(*GROUP, "rep", "block", "band", "copies", "mh", "shingles")
-                        .repartition(*GROUP).sortWithinPartitions(*GROUP, "rep").mapInArrow(_verify, "u long, v long, links long"))
-    links = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("v IS NOT NULL").select("u", "v")).select(F.col("node").alias("rep"), "root")
-    tops = roots.join(classes.select("rep", "own"), "rep").groupBy("root").agg(F.min("own").alias("top"))
-    known = (classes.select("h1", "h2", "rep", "own", "copies").join(links, "rep", "left").join(roots.join(tops, "root").select("rep", "top"), "rep", "left")
-             .select("h1", "h2", F.coalesce("top", "own").alias("top"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return each.select("id", "h1", "h2", "n"), known
+class Found:
+    """What the texts of `df` share: rows, classes of equal shingle sets, and the buckets that classes meet in."""
+
+    def __init__(self, df: DataFrame, doc_id: str, text: str):
+        self.docs = df.select(F.col(doc_id).alias("id"), *row_key(F.col(doc_id), F.col(text)), F.col(text).alias("_text"))
+        self.kind = df.schema[doc_id].dataType.simpleString()
+        self.each = cut_lineage(self.docs.mapInArrow(_describe, f"id {self.kind}, _k1 long, _k2 int, h1 long, h2 long, n long, mh binary"))
+        first = F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "_k1", "_k2"))  # a null id comes first
+        self.classes = cut_lineage(self.each.where("n > 0").groupBy("h1", "h2")
+                                   .agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
+                                   .withColumn("rep", F.monotonically_increasing_id()))
+        bands = self.classes.select("rep", "n", "mh").mapInArrow(_bands, "rep long, n long, band int, key long")
+        buckets = (bands.groupBy("band", "key")
+                   .agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.sum("n").alias("w")).where("m > 1")
+                   .groupBy("m", "who").agg(F.min(F.struct("band", "key", "w")).alias("b"))  # the same members once, in their first band
+                   .select("b.band", "b.key", "m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("b.w") / BLOCK_BYTES)).cast("int").alias("blocks")))
+        self.members = cut_lineage(bands.join(buckets, ["band", "key"])
+                                   .select("rep", "band", F.xxhash64("band", "key").alias("bucket"), "m", "blocks", _spot("rep", "blocks", 1).alias("block")))
+
+    def sets(self, reps: DataFrame) -> DataFrame:
+        """(rep, shingles) of the classes in `reps`, made again from one text each."""
+        wanted = reps.select("rep").distinct().join(self.classes.select("rep", "h1", "h2", "own._k1", "own._k2"), "rep")
+        return (self.docs.select("_k1", "_k2", "_text").join(wanted.select("_k1", "_k2").distinct(), ["_k1", "_k2"])
+                .select("_text").mapInArrow(_shingles, "h1 long, h2 long, shingles binary")
+                .join(wanted.select("rep", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles"))
+
+    def _compare(self, rows: DataFrame, within: bool) -> DataFrame:
+        """(u, v, links) in groups of (bucket, bi, bj, rep, side, mark, band)."""
+        mh = self.classes.select("rep", "mh", "copies")
+        dealt = lambda d: d.repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "rep")
+        active = cut_lineage(dealt(rows.join(mh, "rep").select(*GROUP, *ROLES, "mh"))
+                             .mapInArrow(_active(within), "bucket long, bi int, bj int, rep long, side int, mark long, band int"))
+        found = cut_lineage(dealt(active.join(mh, "rep").join(self.sets(active), "rep").select(*GROUP, *ROLES, "mh", "copies", "shingles"))
+                            .mapInArrow(_verify(within), LINKS))
+        release(active)
+        return found
+
+    def roots(self) -> DataFrame:
+        """(rep, root) of all classes that are linked to another."""
+        own = F.col("rep").alias("mark")
+        m = self.members
+        hosts = m.select("rep", "band", "bucket", F.col("block").alias("bi"), F.lit(0).alias("side"), own)
+        pivots = (m.where((F.col("blocks") > 1) & (_spot("rep", "m", 2) < PIVOTS)).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                  .where("bi <> block").select("rep", "band", "bucket", "bi", F.lit(1).alias("side"), own))
+        near = self._compare(hosts.unionByName(pivots).withColumn("bj", F.lit(0)), True)
+        united = _roots(near)
+        # what its bucket's largest united set has not reached
+        if m.where("blocks > 1").isEmpty():
+            return united
+        cut = cut_lineage(m.where("blocks > 1").join(united, "rep", "left").withColumn("mark", F.coalesce("root", "rep")).drop("root"))
+        sizes = cut.groupBy("bucket", "mark").agg(F.count(F.lit(1)).alias("c"))
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "mark")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
+        left = cut_lineage(cut.join(largest.select("bucket", F.col("top.mark").alias("top"), (F.col("all") - F.col("top.c")).alias("s")), "bucket")
+                           .withColumn("parts", F.ceil(F.col("s") * F.col("blocks") / F.col("m")).cast("int")))  # as large as the bucket's blocks
+        release(cut)
+        if left.isEmpty():
+            return united
+        hosts = left.withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("rep", "band", "bucket", F.col("block").alias("bi"), "bj", F.lit(0).alias("side"), "mark")
+        guests = (left.where("mark <> top").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                  .select("rep", "band", "bucket", "bi", _spot("rep", "parts", 3).alias("bj"), F.lit(1).alias("side"), "mark"))
+        far = self._compare(hosts.unionByName(guests), False)
+        return _roots(near.unionByName(far))
+
+    def links(self) -> DataFrame:
+        """(u, v, links) over all pairs of every bucket: (u, v) span the links, and links add up to the documents u is linked to."""
+        m = self.members
+        small = m.where("blocks = 1").select("rep", "band", "bucket", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), F.col("rep").alias("mark"))
+        large = m.where("blocks > 1")
+        full = large.join(self.classes.select("rep", "copies", "mh"), "rep").join(self.sets(large), "rep")
+        packed = cut_lineage(full.groupBy("bucket", "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("rep", "band", "copies", "mh", "shingles"))).alias("members")))
+        pairs = (packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "members"))
+        found = (pairs.repartition(*GROUP).sortWithinPartitions(*GROUP, "block").mapInArrow(_settle_blocks, "bucket long, block int, to array<long>, links array<long>")
+                 .join(packed.select("bucket", "block", F.col("members.rep").alias("u")), ["bucket", "block"])
+                 .select(F.explode(F.arrays_zip("u", "to", "links")).alias("x")).select("x.u", F.col("x.to").alias("v"), "x.links").where("links > 0"))
+        return cut_lineage(self._compare(small, True).unionByName(found))
+
+    def tops(self, roots: DataFrame) -> DataFrame:
+        """(h1, h2, rep, copies, top): top is (some, id, _k1, _k2) of the first row in reach."""
+        own = self.classes.select("h1", "h2", "rep", "own", "copies")
+        first = roots.join(own.select("rep", "own"), "rep").groupBy("root").agg(F.min("own").alias("top"))
+        return own.join(roots.join(first, "root").select("rep", "top"), "rep", "left").select("h1", "h2", "rep", "copies", F.coalesce("top", "own").alias("top"))
+
+
+def _spot(column: str, into: str, salt: int):
+    return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.col(into)).cast("int")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links.select("u", "v")).select(F.col("node").alias("rep"), "root")
 
 
 def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, class_id, n_links, n_shingles."""
-    each, known = _linked(df, doc_id, text)
-    real = lambda c: F.when(F.col(c) != -2**63, F.col(c))
-    some = each.where("n > 0").join(known, ["h1", "h2"]).select(real("id").alias(doc_id), real("top.id").alias("class_id"), "n_links", F.col("n").alias("n_shingles"))
-    none = each.where("n = 0").select(real("id").alias(doc_id), real("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("n").alias("n_shingles"))
+    f = Found(df, doc_id, text)
+    found = f.links()
+    counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    known = (f.tops(_roots(found)).join(counts, "rep", "left")
+             .select("h1", "h2", "top", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    some = f.each.where("n > 0").join(known, ["h1", "h2"]).select(F.col("id").alias(doc_id), F.col("top.id").alias("class_id"), "n_links", F.col("n").alias("n_shingles"))
+    none = f.each.where("n = 0").select(F.col("id").alias(doc_id), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("n").alias("n_shingles"))
     return some.unionByName(none)
 
 
 def one_per_class(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of `df`, same columns: of each class the first by id and text hash (equal rows once), and all without a word."""
-    keep = _linked(df, doc_id, text)[1].select("top._k1", "top._k2").distinct()
+    f = Found(df, doc_id, text)
+    keep = f.tops(f.roots()).select("top._k1", "top._k2").distinct()
     rows = df.select(F.struct("*").alias("d"), *row_key(F.col(doc_id), F.col(text)), F.coalesce(F.col(text).rlike(f"[^{BLANK}]"), F.lit(False)).alias("_words"))
     first = rows.where("_words").join(keep, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     return first.select("d.*").unionByName(rows.where("NOT _words").select("d.*"))

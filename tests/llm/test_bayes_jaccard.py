@@ -98,6 +98,67 @@ def test_unlike_classes_with_the_same_ids(spark):
     assert sorted(map(tuple, J.one_per_class(df).collect())) == sorted([rows[0], rows[2]])
 
 
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "a b c d e f"), ("a", "a b c d e f"), (None, "q r s t u v"), ("z", "q r s t u v"), ("y", "")], "doc_id string, text string")
+    got = J.jaccard_classes(df).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == [
+        ("None", "None", 1), ("a", "a", 1), ("b", "a", 1), ("y", "y", 0), ("z", "None", 1)]
+    low = spark.createDataFrame([(-2**63, "a b c d e"), (5, "a b c d e")], "doc_id long, text string")
+    assert {r.class_id for r in J.jaccard_classes(low).collect()} == {-2**63}
+
+
+def test_strays_meet_the_whole_bucket(spark, monkeypatch):
+    """Without pivots, blocks are only united by the second round."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "PIVOTS", 0)
+    r = random.Random(8)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(40):
+        base = list(base)
+        base[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(base))
+    check(spark, texts)
+
+
+def rows_made(spark, run):
+    """Rows of the largest table that `run` writes."""
+    most = 0
+    cut = J.cut_lineage
+
+    def spy(df):
+        nonlocal most
+        out = cut(df)
+        most = max(most, out.count())
+        return out
+
+    J.cut_lineage = spy
+    try:
+        run()
+    finally:
+        J.cut_lineage = cut
+    return most
+
+
+def test_rows_follow_the_members_of_a_group(spark, monkeypatch):
+    """Groups of near copies: rows of every stage stay within a few times the members, and there is one class."""
+    monkeypatch.setattr(J, "BLOCK", 64)
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(80)]
+    for m in (250, 2500):
+        texts = []
+        for k in range(m):
+            t = list(base)
+            t[r.randrange(80)] = f"x{k}"
+            texts.append(" ".join(t))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = J.Found(df, "doc_id", "text")
+        members = found.members.count()
+        kept = []
+        most = rows_made(spark, lambda: kept.extend(J.Found.roots(found).collect()))
+        assert len({k.root for k in kept}) == 1 and len(kept) == m
+        assert most <= 2 * members + 16 * 24 * m / 64, (m, members, most)
+
+
 def test_bayes_bound():
     rng = np.random.default_rng(1)
     for i, j, need in J.NEED:
