@@ -505,7 +505,7 @@ class _Search:
         self.trial = self.theta + self.size * self.step
 
 
-def fit_selections(df: DataFrame, specs: list[Spec], tol: float = 1e-8, max_iter: int = 120) -> list[Model]:
+def fit_selections(df: DataFrame, specs: list[Spec], tol: float = 1e-8, max_iter: int = 60) -> list[Model]:
     """Maximum likelihood of each specification, with factors in both equations and cluster-robust covariance.
 
     Columns are centred and scaled for the search. The two probits at zero correlation come first; then the correlation (by
@@ -733,7 +733,7 @@ def _finished(data: DataFrame, s: _Search, spec: Spec, names: dict, levels: dict
 
 
 def selection_probit(df: DataFrame, y: str, x: list[str], select: str, z: list[str], factors: list[str] | None = None,
-                     cluster: str | None = None, where: Column | None = None, tol: float = 1e-8, max_iter: int = 120) -> Model:
+                     cluster: str | None = None, where: Column | None = None, tol: float = 1e-8, max_iter: int = 60) -> Model:
     """One specification; see `fit_selections`."""
     return fit_selections(df, [Spec(y, x, select, z, list(factors or []), cluster, where)], tol, max_iter)[0]
 
