@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import Rolling, Words, mix, row_key, slices
-from panelspark.operators.keys import cut_lineage
+from panelspark.operators.keys import cut_lineage, release
 
 WINDOW, GRAM = 35, 16
 BLOCK = 1 << 13          # stand-ins per block, on average
@@ -40,6 +40,7 @@ WIDTH = 1 << 15          # counters per sketch row and block
 DEPTH = 2
 DENSE = 4096             # most stand-ins in one row
 FILTER_BITS = 1 << 26    # of the bit map that thins out texts: 8 MB
+RUN = 1 << 23            # grams whose smallest is looked for at a time
 A, B, C = Rolling(11), Rolling(12), Rolling(13)
 
 
@@ -51,15 +52,24 @@ def stand_ins(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     sums = A.sums(words.hashes(A))
     n = len(words.start) - gram + 1
     grams = A.stretch(sums, np.arange(n), np.arange(n) + gram)
-    # high bits of the hash, then the index: the minimum is the leftmost smallest gram
-    low = ((grams >> np.uint64(24)) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
-    span, width = 1, window - gram + 1
+    pick, width = np.empty(len(at), np.int64), window - gram + 1
+    for k in range(0, n, RUN):  # the index within a run of grams has 24 bits
+        first, last = np.searchsorted(at, (k, k + RUN))
+        if first < last:
+            pick[first:last] = k + _least(grams[k:k + RUN + width - 1], width)[at[first:last] - k]
+    return at, pick, grams
+
+
+def _least(grams: np.ndarray, width: int) -> np.ndarray:
+    """Index of the leftmost smallest of every `width` neighbours, by the high bits of the hash."""
+    low = ((grams >> np.uint64(24)) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
     while span * 2 <= width:
         low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
     if width > span:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span:])
-    return at, (low[at] & np.uint64((1 << 24) - 1)).astype(np.int64), grams
+    return (low & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
 def short(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +236,9 @@ def candidates(docs: DataFrame, blocks: int, window: int = WINDOW, gram: int = G
     sketches = (dense.select("block", "counts").repartition("block").sortWithinPartitions("block")
                 .mapInArrow(_merge, "block long, bits binary"))
     hits = dense.select("block", "vals", "keys").join(sketches, "block").select("block", "vals", "keys", "bits").mapInArrow(_filter, "_k2 int, val long")
-    return cut_lineage(hits.groupBy("_k2").agg(F.collect_set("val").alias("vals")))
+    out = cut_lineage(hits.groupBy("_k2").agg(F.collect_set("val").alias("vals")))
+    release(dense)
+    return out
 
 
 def _windows(blocks: int, window: int, gram: int, chars: int = 5_000_000):
@@ -328,6 +340,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = block_count(docs, window, gram)
     some = candidates(docs, blocks, window, gram)
     texts = cut_lineage(_thinned(docs, some).join(some, "_k2").withColumn("rid", F.monotonically_increasing_id()))
+    release(some)
     found = (texts.select("rid", "_z", "vals").mapInArrow(_windows(blocks, window, gram), "h1 long, h2 long, rid long, ranges array<int>")
              .repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_matched, "rid long, ranges array<int>")
              .groupBy("rid").agg(F.collect_list("ranges").alias("ranges")))

@@ -58,3 +58,19 @@ def test_sketch_never_undercounts():
     total = np.minimum(sum(p.astype(int) for p in parts), 2)
     bits = np.packbits(total >= 2).tobytes()
     assert S.repeated(v[:500], bits).all() and S.repeated(v, bits).mean() < 0.5
+
+
+def test_stand_ins_of_very_long_texts(monkeypatch):
+    """Grams are searched in runs, so the index of a gram never spills into its hash; runs change nothing."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 400, n)) for n in (2000, 0, 30, 900)]
+    words = S.Words(texts)
+    want = S.stand_ins(words, 35, 16)
+    for run in (1, 7, 64, 1000):
+        monkeypatch.setattr(S, "RUN", run)
+        for a, b in zip(S.stand_ins(words, 35, 16), want):
+            assert (a == b).all()
+    grams = want[2]
+    at, pick = want[0], want[1]
+    high = grams >> np.uint64(24)
+    assert all(pick[i] == a + int(np.argmin(high[a:a + 20])) for i, a in enumerate(at.tolist()))
