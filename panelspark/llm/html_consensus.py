@@ -1,19 +1,22 @@
 """Main text of web pages by consensus over a host's pages.
 
-Each page's containers are scored by the text they hold; the best one's path of tags and classes (digits dropped)
-is the page's vote. Spark adds up the votes per host, and every page is extracted again from the containers on its
-host's winning path, or from its own best container where it has none there.
+Each page's containers are scored by the text they hold: its vote is the innermost one that holds nearly all unlinked text,
+as its path of tags and classes (digits dropped). Spark adds up the votes per host, and every page is extracted again from
+the containers on its host's winning path, or from its own best container where it has none there.
 
 A text is one line per block: character references decoded, white space inside a block one space, trimmed. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role
-or class name. An outermost article or main element is judged by itself, whatever encloses it. "no-sidebar" or
-"with-comments" name no sidebar and no comments; an element that holds most of the unlinked text (of its article, or of
-a page without one) is no boilerplate by its name, unless by one of comments; a first-level heading stays in an element
-named header.
+or class name. An outermost article or main element is judged by itself, whatever encloses it, and taken whole: no container
+inside it is a candidate, nor one inside a container with unlinked text of its own. A class names boilerplate by its last part, or by its first if only layout words follow: "share-price"
+and "related-work" are no boilerplate, "no-sidebar" or "with-comments" name no sidebar and no comments. An element that
+holds most of the unlinked text (of its article, or of a page without one) is no boilerplate by its name, unless by one of
+comments; neither is a form that also encloses the page's header, footer, menu or first heading. A first-level heading stays in an
+element named header. Words inside a sentence stay if their element is only called a notice.
 
 Cases: null or empty html gives an empty text; a null URL, or one without "://", votes under the host ""; unclosed
-tags and cut-off pages are read as far as they go; ties between paths go to the greater score, then to the path
-first by order; repeated rows vote and are extracted each. Only id, url and html are read.
+tags and cut-off pages are read as far as they go; a quote opens a string only after "="; ties between paths go to the greater
+score, then to the path first by order; repeated rows vote and are extracted each. Work and memory are linear in the page, however
+deep its elements. Only id, url and html are read.
 """
 
 from __future__ import annotations
@@ -47,62 +50,109 @@ BOILER_WORDS = frozenset(("ad ads advert adverts advertisement advertising banne
 NOT_NAMED = frozenset("no not has have with without".split())  # what follows says what is there or not, not what this is
 COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
 HEADER_WORDS = frozenset("header masthead banner".split())
+NOTICE_WORDS = frozenset("notice notices".split())
+# what a class may add to a word without changing what it names
+LAYOUT_WORDS = frozenset(("area bar block body bottom box btn button buttons col column container content dialog form group holder icon icons inner "
+                          "item items left link links list main message outer overlay panel policy posts primary right row secondary section "
+                          "signup slot text thread title top unit wrap wrapper").split())
+HOLDS = 0.95  # share of the unlinked text that a page's container must hold
+ARTICLE_BONUS = 1.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# a quote opens a string only as the first character of a value
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)?|[^>=])*+)>?|<[!?][^>]*>?|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+
+
+def _named(value: str) -> set[str]:
+    """Boilerplate words that one class, id or role stands for."""
+    parts = [w for w in re.split(r"[^a-z]+", value) if w]
+    parts = [w for before, w in zip(["", *parts], parts) if before not in NOT_NAMED]
+    if not parts:
+        return set()
+    first = {parts[0]} if LAYOUT_WORDS.issuperset(w for w in parts[1:] if w not in BOILER_WORDS) else set()
+    return (first | {parts[-1]}) & BOILER_WORDS
 
 
 def _words(attributes: str) -> tuple[list[str], set[str]]:
     """(class names, words of class, id and role that name boilerplate)."""
     names, words = [], set()
     for name, *values in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in ("class", "id", "role"):
+            continue
         value = html.unescape("".join(values)).lower()
-        if name.lower() == "class":
+        if name == "class":
             names = value.split()
         for v in value.split():
-            parts = re.split(r"[^a-z]+", v)
-            words |= {w for before, w in zip(["", *parts], parts) if before not in NOT_NAMED}
-    return names, words & BOILER_WORDS
+            words |= _named(v)
+    return names, words
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "scope", "named", "words", "text", "links")
-
-    def __init__(self, tag, path, skip, scope=None, named=(), words=()):
-        self.tag, self.path, self.skip, self.text, self.links = tag, path, skip, 0, 0
-        self.scope, self.named, self.words = scope, named, words  # outermost article or main; enclosing elements with such names, and its own
-
-
-def blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
-    """(open elements, block's text, its characters inside links), in page order, boilerplate left out."""
-    every = list(_blocks(page))
+    """An open element; `block` and `holder` are the innermost ones, itself included, that are no inline element and a container."""
+    __slots__ = ("tag", "step", "parent", "block", "holder", "scope", "skip", "words", "title", "wraps", "text", "worth", "direct", "out", "out_title")
+
+    def __init__(self, tag, step, parent, skip, words=frozenset()):
+        self.tag, self.step, self.parent, self.skip, self.words = tag, step, parent, skip, words
+        self.block = parent.block if tag in INLINE else self
+        self.holder = self if tag in CONTAINER or not parent else parent.holder
+        self.scope = parent.scope if parent else None  # outermost article or main
+        self.title = tag == "h1" or bool(parent and parent.title)
+        self.wraps = False  # a form around the page's own parts
+        self.text = self.worth = self.direct = 0
+        self.out = self.out_title = False
+
+    def path(self) -> str:
+        steps = []
+        n = self
+        while n.parent:
+            if n.block is n:
+                steps.append(n.step)
+            n = n.parent
+        return "".join("/" + x for x in reversed(steps))
+
+
+Block = tuple[Node, str, int]
+
+
+def blocks(page: str) -> tuple[list[Node], list[Block]]:
+    """(elements, parents first; blocks in page order without boilerplate, each as its element, text and characters inside links)."""
+    nodes: list[Node] = []
+    every = list(_blocks(page, nodes))
     total: dict[Node | None, int] = {}
-    for nodes, t, linked in every:
-        own, top = max(0, len(t) - linked), nodes[-1]
-        total[top.scope] = total.get(top.scope, 0) + own
-        for n in top.named:
-            n.text += own
-    alone = not any(total[k] for k in total if k is not None)
-
-    def boiler(n: Node) -> bool:
-        return not COMMENT_WORDS.isdisjoint(n.words) or not (n.scope is not None or alone) or 2 * n.text <= total[n.scope]
-
-    for nodes, t, linked in every:
-        title = any(n.tag == "h1" for n in nodes)
-        if not any(boiler(n) and not (title and HEADER_WORDS.issuperset(n.words)) for n in nodes[-1].named):
-            yield nodes, t, linked
-
-
-def _blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
-    """Blocks outside elements that are boilerplate by their tag."""
-    stack = [Node("#", "", False)]
+    for n, t, linked in every:
+        own = max(0, len(t) - linked)
+        total[n.scope] = total.get(n.scope, 0) + own
+        n.text += own
+    for n in reversed(nodes):
+        if n.parent and n.scope is not n:
+            n.parent.text += n.text
+    alone = not any(v for k, v in total.items() if k is not None)
+    for n in nodes:
+        if n.scope is n:
+            continue  # judged by itself
+        if n.parent:
+            n.out, n.out_title = n.parent.out, n.parent.out_title
+        if n.words:
+            boiler = (not COMMENT_WORDS.isdisjoint(n.words) or not (n.scope is not None or alone) or 2 * n.text <= total.get(n.scope, 0)
+                      or n.tag == "form" and not n.wraps)
+            n.out |= boiler
+            n.out_title |= boiler and not HEADER_WORDS.issuperset(n.words)
+    return nodes, [b for b in every if not (b[0].out_title if b[0].title else b[0].out)]
+
+
+def _blocks(page: str, nodes: list[Node]) -> Iterator[Block]:
+    """Blocks outside elements that are boilerplate by their tag; elements go to `nodes`."""
+    root = owner = Node("#", "", None, False)
+    nodes.append(root)
+    stack = [root]
+    is_open: dict[str, int] = {}
     held: list[str] = []
-    linked = in_link = 0
-    owner: list[Node] = stack[:]
+    linked = 0
 
     def close(to: int):
-        nonlocal in_link
-        in_link -= sum(n.tag == "a" for n in stack[to:])
+        for n in stack[to:]:
+            is_open[n.tag] -= 1
         del stack[to:]
 
     def flush():
@@ -119,9 +169,9 @@ def _blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
         if m[4] is not None:
             if not stack[-1].skip:
                 if not held:
-                    owner = [n for n in stack if n.tag not in INLINE]
+                    owner = stack[-1].block
                 held.append(m[4])
-                if in_link:
+                if is_open.get("a"):
                     linked += len(m[4])
             continue
         if m[2] is None:
@@ -134,17 +184,18 @@ def _blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
         if tag not in INLINE and (b := flush()):
             yield b
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break  # an inline end tag doesn't close blocks
+            if is_open.get(tag):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if tag in INLINE and stack[i].tag not in INLINE:
+                        break  # an inline end tag doesn't close blocks
             continue
         if tag in VOID:
             continue
         ends = ENDS_SELF.get(tag, ()) + (("p",) if tag in ENDS_P else ())
-        if ends:
+        if any(is_open.get(t) for t in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
                     close(i)
@@ -155,49 +206,77 @@ def _blocks(page: str) -> Iterator[tuple[list[Node], str, int]]:
             m = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
             pos = m.end() if m else end
             continue
+        if m[3].endswith("/") and tag == "svg":
+            continue
         names, words = _words(m[3]) if m[3] and "=" in m[3] else ([], set())
         step = ".".join([tag, *sorted(re.sub("[0-9]+", "", c) for c in names)])
         top = stack[-1]
-        skip, scope, named = top.skip or tag in BOILER, top.scope, top.named
-        if tag in ("article", "main") and scope is None:
-            skip, named = False, ()
-        if m[3].endswith("/") and tag == "svg":
-            continue
-        node = Node(tag, top.path if tag in INLINE else f"{top.path}/{step}", skip, scope, named, words)
-        if tag in ("article", "main"):
-            node.scope = scope or node
-        elif words and tag in INLINE:
-            node.skip = True
-        elif words and tag not in ("html", "body"):
-            node.named = (*named, node)
+        outermost = tag in ("article", "main") and top.scope is None
+        node = Node(tag, step, top, not outermost and (top.skip or tag in BOILER and tag != "form"))
+        if outermost:
+            node.scope = node
+        elif tag in INLINE:
+            node.skip |= bool(words - NOTICE_WORDS)
+        elif tag == "form":
+            node.words = words | {"form"}
+        elif words and tag not in ("html", "body", "article", "main"):
+            node.words = words
+        if tag in ("h1", "header", "footer", "nav") and is_open.get("form"):
+            for n in reversed(stack):
+                if n.tag == "form":
+                    n.wraps = True
+                    break
         stack.append(node)
-        in_link += tag == "a"
+        nodes.append(node)
+        is_open[tag] = is_open.get(tag, 0) + 1
     if b := flush():
         yield b
 
 
+def _best(nodes: list[Node], kept: list[Block]) -> tuple[str | None, float]:
+    for n, t, linked in kept:
+        n.worth += len(t) - 2 * linked
+        n.holder.direct += max(0, len(t) - 2 * linked)
+    total = sum(max(0, len(t) - 2 * linked) for _, t, linked in kept)
+    for n in reversed(nodes):
+        if n.parent:
+            n.parent.worth += n.worth
+    best = None
+    for n in nodes:  # those that qualify enclose one another
+        if best and best.direct and best.tag != "body":
+            break
+        if n.tag in CONTAINER and n.scope in (None, n) and n.worth > 0 and n.worth * (ARTICLE_BONUS if n.scope is n else 1) >= HOLDS * total:
+            best = n
+    return (best.path(), float(best.worth)) if best else (None, 0.0)
+
+
 def best_container(page: str | None) -> tuple[str | None, float]:
-    """(path, score) of the container with most text directly in its blocks; a parent gets half, text in links counts against."""
-    score: dict[int, float] = {}
-    seen: dict[int, Node] = {}
-    for nodes, t, linked in blocks(page or ""):
-        worth = len(t) - 2.0 * linked
-        for share, n in zip((1.0, 0.5, 0.25), [n for n in reversed(nodes) if n.tag in CONTAINER]):
-            bonus = 1.5 if n.tag in ("article", "main") else 1.0
-            score[id(n)] = score.get(id(n), 0.0) + share * bonus * worth
-            seen[id(n)] = n
-    best = max(score, key=lambda k: (score[k], seen[k].path), default=None)
-    return (seen[best].path, score[best]) if best is not None else (None, 0.0)
+    """(path, unlinked characters) of the innermost container that holds nearly all unlinked text; text in links counts against.
+
+    None inside an article or inside a container (but the body) with such text of its own is a candidate.
+    """
+    return _best(*blocks(page or ""))
+
+
+def _inside(nodes: list[Node], kept: list[Block], path: str) -> list[str]:
+    """Texts of the blocks inside containers on the path."""
+    steps = path.split("/")[1:]
+    way: dict[Node, int] = {}  # steps matched so far; -1: off the path; all of them: inside
+    for n in nodes:
+        at = way[n.parent] if n.parent else 0
+        if n.parent and n.block is n and 0 <= at < len(steps):
+            at = at + 1 if n.step == steps[at] else -1
+        way[n] = at
+    return [t for n, t, _ in kept if way[n] == len(steps)]
 
 
 def extract(page: str | None, path: str | None) -> str:
     """Blocks inside containers on the path; without one, inside the page's own best; without any, all blocks."""
-    every = list(blocks(page or ""))
-    for p in (path, best_container(page)[0]):
-        kept = [t for nodes, t, _ in every if p is not None and any(n.path == p for n in nodes)]
-        if kept:
-            return "\n".join(kept)
-    return "\n".join(t for _, t, _ in every)
+    nodes, kept = blocks(page or "")
+    if path is not None and (texts := _inside(nodes, kept, path)):
+        return "\n".join(texts)
+    own = _best(nodes, kept)[0]
+    return "\n".join((_inside(nodes, kept, own) if own is not None else []) or [t for _, t, _ in kept])
 
 
 HOST = re.compile(r"://([^/?#]*)")

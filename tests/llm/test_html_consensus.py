@@ -85,3 +85,66 @@ def test_given_pages(spark, sf):
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>?", " " if False else "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert r.text == "\n".join(w for w in want if w)
         assert r.url == pages[r.page_id].url
+
+
+LONG = "word " * 40
+KEPT = [
+    (f"<main><section class='intro'>Lead</section><section class='body'><p>{LONG}</p></section></main>", "Lead\n" + LONG.strip()),
+    (f"<body><div class='intro'>Lead</div><div class='body'><p>{'w ' * 30}</p></div></body>", "Lead\n" + ("w " * 30).strip()),
+    ("<p data-x=don't>First</p><p>It's second</p><p>Third", "First\nIt's second\nThird"),
+    ("<p class=\"a\"\">First</p><p>say \"two\"</p>", "First\nsay \"two\""),
+    ("<p title=\"class='ad' > x\">First</p>", "First"),
+    ("<p title=\"open>First</p><p>Second</p>", "First\nSecond"),
+    (f"<article><div class='share-price'>1 EUR</div><p class='related-work'>see</p><p>an <span class='notice'>important</span> word</p><p>{LONG}</p></article>",
+     "1 EUR\nsee\nan important word\n" + LONG.strip()),
+    (f"<body><form id='aspnet'><nav>menu</nav><div><h1>Title</h1><p>{LONG}</p></div><form><div>name</div></form></form></body>", "Title\n" + LONG.strip()),
+    ("<body><form><p>name</p><p>password</p></form></body>", ""),
+]
+
+
+@pytest.mark.parametrize("page,want", KEPT)
+def test_whole_articles(page, want):
+    assert H.extract(page, H.best_container(page)[0]) == want
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "ad-slot", "share-buttons", "related-posts", "menu-item", "cookie-notice", "newsletter-signup", "left-sidebar", "nav-menu-main"])
+def test_boilerplate_names(name):
+    page = f"<body><article>{ARTICLE}<div class='{name}'>x</div></article></body>"
+    assert H.extract(page, None) == WANT
+
+
+def test_deep_page_is_linear():
+    import time
+    times = []
+    for depth in (5_000, 40_000):
+        page = "<body>" + "<div class='a'>t" * depth + "</b>" * 1000
+        began = time.perf_counter()
+        assert H.extract(page, H.best_container(page)[0]).count("\n") == depth - 1
+        times.append(time.perf_counter() - began)
+    assert times[1] < 40 * times[0]
+
+
+def test_made_pages():
+    """Pages put together at random from known article blocks and boilerplate come back as their article."""
+    import random
+    rng = random.Random(5)
+    junk = ["<nav><a href='/'>home</a></nav>", "<div class='ad'>buy</div>", "<aside>more</aside>", "<div class='cookie-notice'>ok?</div>", "<footer>end</footer>",
+            "<form><input><p>mail</p></form>", "<script>var a='<p>x</p>'</script>", "<div class='share-buttons'>share</div>", "<div id='sidebar'><p>side</p></div>", "<!-- <p>no</p> -->"]
+    for _ in range(200):
+        want, inner = [], []
+        for _ in range(rng.randint(1, 8)):
+            words = " ".join(rng.choice(["alpha", "it's", "x &lt; y", "<b>bold</b>", "<a href=u>link</a>", "\n gap", "100%"]) for _ in range(rng.randint(5, 40)))
+            plain = words.replace("<b>", "").replace("</b>", "").replace("<a href=u>", "").replace("</a>", "").replace("&lt;", "<")
+            tag = rng.choice(["p", "div", "section", "h2", "blockquote"])
+            inner.append(f"<{tag} data-k=it's>{words}</{tag}>")
+            want.append(" ".join(plain.split()))
+            if rng.random() < 0.3:
+                inner.append(rng.choice(junk))
+        wrap = rng.choice(["article", "main"])
+        page = f"<html><body>{''.join(rng.sample(junk, 3))}<div class='page-with-sidebar'><{wrap} class='x{rng.randint(1, 9)}'>{''.join(inner)}</{wrap}></div>{''.join(rng.sample(junk, 3))}</body></html>"
+        assert H.extract(page, H.best_container(page)[0]) == "\n".join(want)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>", "t", "h", "p", 5)], "page_id long, url string, html string, text string, host string, path string, n_chars int")
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in H.main_text(df).collect()] == [(1, "http://a.b/", "x", 1)]
