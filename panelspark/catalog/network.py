@@ -131,6 +131,35 @@ def q_threshold_edges_kept(spark, sf):
     return N.threshold_edges(C.edges(spark, sf), C.weights(spark, sf), 0.95)[0]
 
 
+SNAPSHOT = dt.date(2024, 1, 29)
+WINDOWS = [7, 30, 1000]
+
+
+def window_sql(span: int) -> str:
+    """Every pair of people present, by its weight over the window; classes by their sets of groups."""
+    return f"""
+    (WITH n AS (SELECT emp FROM @panel GROUP BY emp HAVING DATE '{SNAPSHOT}' BETWEEN min(day) AND max(day)),
+    p AS (SELECT i, j, sum(w) AS w FROM @pairs WHERE day BETWEEN DATE '{SNAPSHOT}' - {span} AND DATE '{SNAPSHOT}' GROUP BY ALL),
+    e AS (SELECT a.emp AS i, b.emp AS j, coalesce(round(p.w, 12), 0) AS w FROM n a JOIN n b ON a.emp < b.emp LEFT JOIN p ON p.i = a.emp AND p.j = b.emp),
+    c AS (SELECT quantile_cont(w, 0.95) AS cutoff FROM e),
+    m AS (SELECT s.*, count(*) OVER (PARTITION BY day, div) AS k FROM @sized s JOIN n ON n.emp = s.emp
+          WHERE day BETWEEN DATE '{SNAPSHOT}' - {span} AND DATE '{SNAPSHOT}'),
+    s AS (SELECT emp, string_agg(day::VARCHAR || '/' || div::VARCHAR, '+' ORDER BY day, div) AS cls FROM m WHERE k > 1 GROUP BY emp),
+    x AS (SELECT emp, min(emp) OVER (PARTITION BY cls) AS a FROM s),
+    kept AS (SELECT e.*, cutoff FROM e, c WHERE w >= cutoff)
+    SELECT {span} AS span, least(x.a, y.a) AS a, greatest(x.a, y.a) AS b, max(w) AS w, count(*) AS n_pairs, any_value(cutoff) AS cutoff,
+           (SELECT count(*) FROM kept) AS kept_pairs
+    FROM kept LEFT JOIN x ON x.emp = kept.i AND w > 0 LEFT JOIN x y ON y.emp = kept.j AND w > 0 GROUP BY ALL)"""
+
+
+@query("threshold_edges_windows", "span l, a l, b l, w d, n_pairs l, cutoff d, kept_pairs l", f"""
+    WITH one AS (SELECT 1)
+MAIN SELECT * FROM ({' UNION ALL '.join(window_sql(s) for s in WINDOWS)})""")
+def q_threshold_edges_windows(spark, sf):
+    """The strongest twentieth of contacts over windows of days, among people in the panel on one day."""
+    return C.snapshot_edges(spark, sf, SNAPSHOT, WINDOWS, 0.95)
+
+
 NODE_DAYS = """
     nd AS (SELECT p.emp, p.day, (p.ot_hours > 0)::INT AS ot_work, (p.worked_hours > 0)::INT AS work, p.leave_hours, p.injured,
                   coalesce(s.strength, 0) AS strength

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.operators import graph as N
+from panelspark.operators import graph as N, windows as W
 from panelspark.operators.keys import cut_lineage
 from panelspark.plans import inputs as I
 from panelspark.plans.panel import panel
@@ -46,3 +48,14 @@ def node_days(spark: SparkSession, sf: str) -> DataFrame:
 @I.stage
 def shares(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(N.share_shift(node_days(spark, sf), "emp", "day", "strength", F.col("ot_work")))
+
+
+def snapshot_edges(spark: SparkSession, sf: str, at, spans: list[int], q: float) -> DataFrame:
+    """Strongest contacts of several windows up to one day, among people in the panel on that day: one table, with span and cutoff."""
+    present = cut_lineage(panel(spark, sf).groupBy(F.col("emp").alias("node")).agg(F.min("day").alias("start"), F.max("day").alias("end"))
+                          .where(F.lit(at).between(F.col("start"), F.col("end"))))
+    out = []
+    for span in spans:
+        edges, cutoff, kept = W.threshold_window(weights(spark, sf), present, at, span, q)
+        out.append(edges.select(F.lit(span).cast("long").alias("span"), "a", "b", "w", "n_pairs", F.lit(cutoff).alias("cutoff"), F.lit(kept).cast("long").alias("kept_pairs")))
+    return reduce(DataFrame.unionByName, out)
