@@ -178,6 +178,20 @@ def q_share_shift(spark, sf):
     return C.shares(spark, sf)
 
 
+@query("share_shift_eligible", "emp l, day s, bartik d, share_z d, share_scaled d, share_mean d", f"""
+    WITH {NODE_DAYS.replace("p.leave_hours,", "p.leave_hours, p.worked_hours,")},
+    lg AS (SELECT *, lag(strength) OVER (PARTITION BY emp ORDER BY day) AS lagged, sum(ot_work) OVER (PARTITION BY day) AS shift_total,
+                  coalesce((leave_hours = 0 OR worked_hours > 0) AND day BETWEEN DATE '2024-01-08' AND DATE '2024-01-24', false) AS ok FROM nd),
+    sh AS (SELECT emp, day, shift_total * lagged AS bartik,
+                  CASE WHEN ok THEN lagged / nullif(CASE WHEN count(lagged) FILTER (ok) OVER d = count(*) FILTER (ok) OVER d
+                                                         THEN sum(lagged) FILTER (ok) OVER d END, 0) * shift_total END AS share_z
+           FROM lg WINDOW d AS (PARTITION BY day))
+MAIN SELECT *, share_z / (SELECT stddev_samp(share_z) FROM sh) AS share_scaled, avg(share_z) OVER (PARTITION BY emp) AS share_mean FROM sh""")
+def q_share_shift_eligible(spark, sf):
+    """Every row's exposure; its share among the rows at work or not on leave."""
+    return C.eligible_shares(spark, sf)
+
+
 @query("snapshot_outcome", "node l, strength d, ot_days l, work_share d", f"""
     WITH {NODE_DAYS}
 MAIN SELECT s.i AS node, s.strength, o.ot_days, o.work_share FROM

@@ -262,21 +262,26 @@ def eigen_centrality(weights: DataFrame, tol: float = 1e-11, max_iter: int = 500
             .select("day", "node", F.coalesce("x", F.lit(0.0)).alias("centrality")))
 
 
-def share_shift(df: DataFrame, k: str, day: str, exposure: str, shift: Column) -> DataFrame:
+def share_shift(df: DataFrame, k: str, day: str, exposure: str, shift: Column, eligible: Column | None = None) -> DataFrame:
     """Lagged exposure times the day's total shift: raw, scaled by its sd, and as a share.
 
+    Lags, day totals and the raw form use every row. Shares are taken over the `eligible` rows (all, where none is given; a missing
+    condition counts as false) and missing on the others; `share_scaled` is the share by its sd.
+
     `shift_total` is the day's sum of `shift`; the share is missing for a whole day when
     any lag on it is missing; `share_mean` is the entity's mean share.
     """
-    d = lag_lead(df.withColumn("_s", shift), [k], [day], exposure, 1, "lagged")
+    ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    d = lag_lead(df.withColumns({"_s": shift, "_ok": ok}), [k], [day], exposure, 1, "lagged")
+    mine = F.when(F.col("_ok"), F.col("lagged"))
     d = attach(cut_lineage(d), [day], {
         "shift_total": F.sum("_s"),
-        "_sum": F.when(F.count("lagged") == F.count("*"), F.sum("lagged"))})
+        "_sum": F.when(F.count(mine) == F.count_if("_ok"), F.sum(mine))})
     d = d.withColumns({"bartik": F.col("shift_total") * F.col("lagged"),
-                       "share_z": m_div(F.col("lagged"), F.col("_sum")) * F.col("shift_total")})
-    sd = d.agg(F.stddev_samp("bartik")).scalar()
-    return (d.withColumn("bartik_scaled", m_div(F.col("bartik"), sd))
-            .withColumn("share_mean", F.avg("share_z").over(W.partitionBy(k))).drop("_s", "_sum"))
+                       "share_z": F.when(F.col("_ok"), m_div(F.col("lagged"), F.col("_sum")) * F.col("shift_total"))})
+    sd = lambda c: d.agg(F.stddev_samp(c)).scalar()
+    return (d.withColumns({"bartik_scaled": m_div(F.col("bartik"), sd("bartik")), "share_scaled": m_div(F.col("share_z"), sd("share_z"))})
+            .withColumn("share_mean", F.avg("share_z").over(W.partitionBy(k))).drop("_s", "_sum", "_ok"))
 
 
 def snapshot_outcome(nodes: DataFrame, outcomes: DataFrame, k: str, day: str, at, horizon: int,

@@ -50,6 +50,14 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(N.share_shift(node_days(spark, sf), "emp", "day", "strength", F.col("ot_work")))
 
 
+@I.stage
+def eligible_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares over the rows of a stretch of days that are at work or not on leave."""
+    at_work = (F.col("leave_hours") == 0) | (F.col("worked_hours") > 0)
+    return cut_lineage(N.share_shift(node_days(spark, sf), "emp", "day", "strength", F.col("ot_work"),
+                                     at_work & F.col("day").between("2024-01-08", "2024-01-24")))
+
+
 def snapshot_edges(spark: SparkSession, sf: str, at, spans: list[int], q: float) -> DataFrame:
     """Strongest contacts of several windows up to one day, among people in the panel on that day: one table, with span and cutoff."""
     present = cut_lineage(panel(spark, sf).groupBy(F.col("emp").alias("node")).agg(F.min("day").alias("start"), F.max("day").alias("end"))
