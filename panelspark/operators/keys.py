@@ -26,6 +26,14 @@ def key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
+def large(df: DataFrame) -> DataFrame:
+    """Mark a join side that grows with the input: shuffled and merged, never collected by the driver for a broadcast.
+
+    Size statistics count a file's compressed bytes and not the rows that `explode` adds, so they call such a side small.
+    """
+    return df.hint("merge")
+
+
 def attach(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
     """Group statistics written on every row of their group.
 

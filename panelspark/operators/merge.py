@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.dates import prior_month_end, prior_week_end
 from panelspark.functions.missing import flag
-from panelspark.operators.keys import key_join
+from panelspark.operators.keys import key_join, large
 from panelspark.operators.ranks import row_positions
 
 
@@ -14,13 +14,13 @@ def merge_report(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[Data
     """Full outer merge with `_merge` = 1 left only, 2 right only, 3 both, and its counts.
 
     A non-key column on both sides keeps the left value unless the row is right-only. A full outer join cannot be split
-    at a hot key; a left join and the right rows without a match can, a missing key like any other.
+    at a hot key; a left join and the right rows without a match can, a missing key like any other. Neither side is broadcast.
     """
     both = [c for c in right.columns if c in left.columns and c not in on]
     only = [c for c in right.columns if c not in on and c not in both]
-    matched = key_join(left, right.select(*on, *only, F.lit(1).alias("_hit")), on, "left")
+    matched = key_join(left, large(right.select(*on, *only, F.lit(1).alias("_hit"))), on, "left")
     matched = matched.select(*left.columns, *only, F.when(F.col("_hit") == 1, 3).otherwise(1).alias("_merge"))
-    rest = key_join(right, left.select(*on).distinct(), on, "left_anti")
+    rest = key_join(right, large(left.select(*on)), on, "left_anti")
     kinds = dict(left.dtypes)
     rest = rest.select(*[F.col(c) if c in right.columns else F.lit(None).cast(kinds[c]).alias(c) for c in left.columns], *only, F.lit(2).alias("_merge"))
     merged = matched.unionByName(rest)

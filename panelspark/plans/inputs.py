@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.functions.missing import flag
 from panelspark.operators.clean import dedup_key_first
+from panelspark.operators.keys import large
 from panelspark.sources.tables import scan_table
 
 LO, HI = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
@@ -84,7 +85,7 @@ def pay(spark: SparkSession, sf: str) -> DataFrame:
     p = people(spark, sf).select("emp", "home_div")
     rec = F.col("event_id")
     day = F.to_date("ts")
-    return (e.join(p, e.user_id == p.emp).select(
+    return (e.join(large(p), e.user_id == p.emp).select(
         rec.alias("rec"), "emp", day.alias("day"), F.col("event_type").alias("code"),
         (F.when(rec % 97 == 0, -1.0).otherwise(1.0) * (F.floor("value") % 12 + 1)).alias("hours"),
         F.col("value").alias("pay_amount"),
