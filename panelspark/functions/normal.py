@@ -102,6 +102,27 @@ def norm_cdf(x) -> Column:
     return F.when(x.isNull(), None).when(x > 0, 1 - lower).otherwise(lower)
 
 
+def _tail_text(z: str) -> str:
+    t = f"({z} + 0.65D)"
+    for k in (4, 3, 2, 1):
+        t = f"({z} + {k}.0D / {t})"
+    return t
+
+
+def log_norm_cdf(x: str) -> Column:
+    """Log of the distribution function of a named column, also where the function itself rounds to zero."""
+    c = f"`{x}`"
+    return F.expr(f"CASE WHEN {c} > -{HART_SPLIT}D THEN ln({_cdf_text(c)}) "
+                  f"ELSE -0.5D * {c} * {c} - ln({_tail_text(f'(-{c})')} * {SQRT_2PI!r}D) END")
+
+
+def norm_hazard(x: str) -> Column:
+    """Density over distribution function of a named column, also where both round to zero."""
+    c = f"`{x}`"
+    return F.expr(f"CASE WHEN {c} > -{HART_SPLIT}D THEN exp(-0.5D * {c} * {c}) / ({SQRT_2PI!r}D * {_cdf_text(c)}) "
+                  f"ELSE {_tail_text(f'(-{c})')} END")
+
+
 def norm_inv(p: str) -> Column:
     """Standard normal quantile of a named column; missing outside (0, 1)."""
     x = f"`{p}`"

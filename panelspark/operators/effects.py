@@ -12,10 +12,10 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.functions.normal import bvn_cdf, norm_cdf, norm_inv, np_inv
+from panelspark.functions.normal import log_norm_cdf, norm_cdf, norm_hazard, norm_inv, np_inv
 from panelspark.operators.linear import Fit
-from panelspark.operators.selection import OUT, SEL, Model, Spec, fit_selections, index_columns, selection_predict, variances
-from panelspark.operators.stats import kde_grid
+from panelspark.operators.selection import LOG_ROOT_2PI, OUT, SEL, Model, Spec, fit_selections, index_columns, log_joint_column, selection_predict, variances
+from panelspark.operators.stats import corr, kde_grid
 
 RHO = ("athrho", "athrho", None)
 MOVE = "covariate"
@@ -205,26 +205,42 @@ class Ctx:
         v = self.keep(self.inv(p.v))
         return self._known(p, v, self.keep(divide(1.0, self.pdf(v))))
 
-    def joint(self, x, z, r):
-        """P(X <= x, Y <= z) at correlation r, a number with or without derivatives."""
+    def log_cdf(self, x):
+        x = self.keep(x)
+        if not isinstance(x, Dual):
+            return self._once("log_cdf", (x,), lambda: log_norm_cdf(self._name(_col(x))))
+        return self._once("log_cdf", (x,), lambda: self._known(x, self.log_cdf(x.v), self.hazard(x.v)))
+
+    def hazard(self, x):
+        """Density over distribution function, the derivative of `log_cdf`."""
+        x = self.keep(x)
+        if not isinstance(x, Dual):
+            return self._once("hazard", (x,), lambda: norm_hazard(self._name(_col(x))))
+        h = self.hazard(x.v)
+        return self._once("hazard", (x,), lambda: self._known(x, h, self.keep(mul(-h, add(x.v, h)))))
+
+    def log_joint(self, x, z, r):
+        """log P(X <= x, Y <= z) at correlation r, a number with or without derivatives; holds where P rounds to zero."""
         x, z = self.keep(x), self.keep(z)
-        return self._once("joint", (x, z, r), lambda: self._joint(x, z, r))
+        return self._once("log_joint", (x, z, r), lambda: self._log_joint(x, z, r))
 
-    def _joint(self, x, z, r):
+    def _log_joint(self, x, z, r):
         n = max(map(_level, (x, z, r)))
         if n < 0:
-            return bvn_cdf(self._name(_col(x)), self._name(_col(z)), float(r))
+            return log_joint_column(_col(x), _col(z), float(r))
         (xv, xd), (zv, zd), (rv, rd) = (_parts(v, n) for v in (x, z, r))
         one = sub(1.0, mul(rv, rv))
         root = _root(one)
-        sx = self.keep(mul(self.pdf(xv), self.cdf(divide(sub(zv, mul(rv, xv)), root))))
-        sz = self.keep(mul(self.pdf(zv), self.cdf(divide(sub(xv, mul(rv, zv)), root))))
+        log = self.log_joint(xv, zv, rv)
+        # each slope over P, from logarithms
+        part = lambda v, w: self.keep(self.exp(sub(sub(self.log_cdf(divide(sub(w, mul(rv, v)), root)), mul(mul(v, v), 0.5)), add(log, LOG_ROOT_2PI))))
+        sx, sz = part(xv, zv), part(zv, xv)
         square = sub(mul(mul(rv, 2.0), mul(xv, zv)), add(mul(xv, xv), mul(zv, zv)))
-        sr = self.keep(mul(self.exp(mul(square, divide(0.5, one))), divide(1 / (2 * math.pi), root)))
+        sr = self.keep(mul(self.exp(sub(mul(square, divide(0.5, one)), log)), divide(1 / (2 * math.pi), root)))
         d: dict = {}
         for s, parts in ((sx, xd), (sz, zd), (sr, rd)):
             d = _sum(d, {k: mul(s, v) for k, v in parts.items()})
-        return Dual(self.joint(xv, zv, rv), d, n)
+        return Dual(log, d, n)
 
 
 def _root(v):
@@ -246,9 +262,13 @@ def pmargin(c: Ctx):
     return c.cdf(c.xb)
 
 
-def pcond(c: Ctx):
+def log_pcond(c: Ctx):
     x, z = c.keep(c.xb), c.keep(c.zg)
-    return divide(c.joint(x, z, c.rho), c.cdf(z))
+    return c.keep(sub(c.log_joint(x, z, c.rho), c.log_cdf(z)))
+
+
+def pcond(c: Ctx):
+    return c.exp(log_pcond(c))
 
 
 def mte(c: Ctx):
@@ -261,14 +281,19 @@ def supply(c: Ctx):
     return c.cdf((c.zg + c.rho * c.q) / c.root)
 
 
+# logarithms of the probabilities: their derivatives hold where the probability rounds to zero
+LOGS = {psel: lambda c: c.log_cdf(c.zg), pmargin: lambda c: c.log_cdf(c.xb), pcond: log_pcond,
+        mte: lambda c: c.log_cdf((c.xb - c.rho * c.q) / c.root), supply: lambda c: c.log_cdf((c.zg + c.rho * c.q) / c.root)}
+
+
 def slope(expr: Expr, term: str, elasticity: bool = False) -> Expr:
-    """The derivative of `expr` in a covariate, through both indices; or its elasticity."""
+    """The derivative of one of the probabilities in a covariate, through both indices; or its elasticity."""
     def run(c: Ctx):
         xb, zg = c.xb, c.zg
         c.xb, c.zg = Dual(xb, {MOVE: c.coef(OUT, term)}, 1), Dual(zg, {MOVE: c.coef(SEL, term)}, 1)
-        e = c.keep(expr(c))
+        e = c.keep((LOGS[expr] if elasticity else expr)(c))
         c.xb, c.zg = xb, zg
-        return divide(mul(e.d[MOVE], F.col(term)), e.v) if elasticity else e.d[MOVE]
+        return mul(e.d[MOVE], F.col(term)) if elasticity else e.d[MOVE]
     return run
 
 
@@ -329,7 +354,7 @@ def _means(df: DataFrame, model: Model, exprs: list[Expr], grid=None, at=None, w
     at_u = {r["_u"]: i for i, r in enumerate(top)}
     grads = np.zeros((len(cases), len(pos)))
     for row, (k, i) in enumerate(cases):
-        r, n = top[i], top[i][f"n{k}"]
+        r, n = top[i], top[i][f"n{k}"] or 1  # without rows there is no mean and no error
         for key, x in keys[k].items():
             total = (r[f"s{x}"] or 0.0) / n
             if key in ("xb", "zg"):
@@ -344,20 +369,22 @@ def _means(df: DataFrame, model: Model, exprs: list[Expr], grid=None, at=None, w
         for r in d.groupBy("_u", f).agg(*[F.sum(x).alias(x) for _, _, x in ends]).collect():
             i = at_u[r["_u"]]
             for k, eq, x in ends:
-                grads[k * len(top) + i, pos[(eq, f, r[f])]] += (r[x] or 0.0) / top[i][f"n{k}"]
+                grads[k * len(top) + i, pos[(eq, f, r[f])]] += (r[x] or 0.0) / (top[i][f"n{k}"] or 1)
     number = F.element_at(F.create_map(*[x for u, i in at_u.items() for x in (F.lit(float(u)), F.lit(i))]), F.col("_u"))
-    size = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit(float(r[f"n{k}"])))]), F.col("_u")) for k in range(len(exprs))]
+    size = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit(float(r[f"n{k}"] or 1)))]), F.col("_u")) for k in range(len(exprs))]
     by_level = mean = None
     if model.wide is not None and ends:
         half = lambda k, key: F.coalesce(F.sum(keys[k][key]), F.lit(0.0)) / size[k] if key in keys[k] else F.lit(0.0)
         each = F.array(*[F.struct((number + k * len(top)).alias("i"), half(k, "xb").alias("j0"), half(k, "zg").alias("j1")) for k in range(len(exprs))])
         by_level = (d.groupBy(F.col(model.wide.name).cast("string").alias("level"), "_u").agg(each.alias("x")).select("level", F.inline("x")))
     if vce == "unconditional" and model.scores is not None:
-        centre = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit(r[f"e{k}"] / r[f"n{k}"]))]), F.col("_u")) for k in range(len(exprs))]
+        centre = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit((r[f"e{k}"] or 0.0) / (r[f"n{k}"] or 1)))]), F.col("_u")) for k in range(len(exprs))]
         each = F.array(*[F.struct((number + k * len(top)).alias("i"), ((F.sum(f"_e{k}") - F.count(f"_e{k}") / per * centre[k]) / size[k]).alias("m")) for k in range(len(exprs))])
         mean = d.groupBy(F.col(cluster).alias("cluster"), "_u").agg(each.alias("x")).select("cluster", F.inline("x"))
     var = variances(model, grads, by_level, mean)
-    return [(k, float(top[i]["_u"]), top[i][f"e{k}"] / top[i][f"n{k}"], math.sqrt(max(var[row], 0.0)), int(top[i][f"n{k}"])) for row, (k, i) in enumerate(cases)]
+    mean_of = lambda k, r: r[f"e{k}"] / r[f"n{k}"] if r[f"n{k}"] else None
+    return [(k, float(top[i]["_u"]), mean_of(k, top[i]), math.sqrt(max(var[row], 0.0)) if top[i][f"n{k}"] else None, int(top[i][f"n{k}"]))
+            for row, (k, i) in enumerate(cases)]
 
 
 def margins_slopes(df: DataFrame, model: Model, terms: list[str], where: Column | None = None) -> DataFrame:
@@ -366,7 +393,7 @@ def margins_slopes(df: DataFrame, model: Model, terms: list[str], where: Column
     for name, expr in (("psel", psel), ("pcond", pcond)):
         cells = [(t, kind) for t in terms for kind in ("dydx", "eyex")]
         got = _means(df, model, [slope(expr, t, kind == "eyex") for t, kind in cells], where=where)
-        rows += [(name, *cells[k], float(m), s, n) for k, _, m, s, n in got]
+        rows += [(name, *cells[k], m, s, n) for k, _, m, s, n in got]
     return df.sparkSession.createDataFrame(rows, "prediction string, term string, kind string, estimate double, se double, n bigint")
 
 
@@ -405,14 +432,14 @@ def mte_surface(df, model, n_u: int = 99, p_step: float = 0.01, where=None) -> D
 
 
 def variance_share(df: DataFrame, model: Model, n_u: int = 99, where: Column | None = None) -> DataFrame:
-    """R-squared of the effect on u and propensity, jointly and alone; and the analytic share."""
+    """R-squared of the effect on u and propensity, jointly and alone, missing if one does not vary; and the analytic share."""
     s = surface_rows(df, model, n_u, 0.01, where)
-    r = s.agg(F.corr("mte", "u").alias("a"), F.corr("mte", "psel").alias("b"), F.corr("u", "psel").alias("c"))
+    r = s.agg(corr("mte", "u").alias("a"), corr("mte", "psel").alias("b"), corr("u", "psel").alias("c"))
     r2 = F.try_divide(F.col("a") ** 2 + F.col("b") ** 2 - F.col("a") * F.col("b") * F.col("c") * 2, 1 - F.col("c") ** 2)
     grid = r.select(r2.alias("r2_both"), (F.col("a") ** 2).alias("r2_u"), (F.col("b") ** 2).alias("r2_p"))
     ix = selection_predict(df if where is None else df.where(where), model, ["xb", "xbsel"])
     seen = F.col("_c") ** 2 * F.col("_v")
-    one = ix.agg(F.corr("xb", "xbsel").alias("_c"), F.var_samp("xb").alias("_v")).select(
+    one = ix.agg(corr("xb", "xbsel").alias("_c"), F.var_samp("xb").alias("_v")).select(
         (seen / (seen + model.rho ** 2)).alias("share_observed"), (F.lit(model.rho ** 2) / (seen + model.rho ** 2)).alias("share_private"))
     return grid.withColumns({c: one.select(c).scalar() for c in one.columns})
 
@@ -492,7 +519,7 @@ def fe_components(df: DataFrame, model: Model, bars: list[str]) -> DataFrame:
     part = lambda eq: sum((F.col(c) * F.lit(model.get(eq, c)) for c in bars), F.lit(0.0))
     d = df.select(part(SEL).alias("_w"), part(OUT).alias("_i")).dropna()
     r = d.agg(F.count("*").alias("n"), F.avg("_w").alias("mean_work"), F.var_samp("_w").alias("var_work"),
-              F.avg("_i").alias("mean_inj"), F.var_samp("_i").alias("var_inj"), F.corr("_w", "_i").alias("corr"))
+              F.avg("_i").alias("mean_inj"), F.var_samp("_i").alias("var_inj"), corr("_w", "_i").alias("corr"))
     cov = F.col("corr") * F.sqrt(F.col("var_work") * F.col("var_inj"))
     return r.withColumn("joint_corr", (F.lit(model.rho) + cov) / F.sqrt((1 + F.col("var_work")) * (1 + F.col("var_inj"))))
 

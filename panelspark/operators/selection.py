@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.functions.normal import bvn_cdf, norm_cdf, np_bvn, np_cdf, np_log_cdf, np_pdf
+from panelspark.functions.normal import log_norm_cdf, norm_cdf, np_bvn, np_cdf, np_log_cdf, np_pdf
 from panelspark.operators.clean import conditional_update
 from panelspark.operators.keys import cut_lineage, release
 from panelspark.operators.linear import Fit
@@ -120,11 +120,11 @@ def index_columns(df: DataFrame, model: Model, xb: str = "xb", zg: str = "zg") -
 
 
 def selection_predict(df: DataFrame, model: Model, kinds: list[str]) -> DataFrame:
-    """Add predictions: xb, xbsel, psel, pmargin, pcond (all plain columns)."""
+    """Add predictions: xb, xbsel, psel, pmargin, pcond; the last from logarithms, so that it holds where psel rounds to zero."""
     d = index_columns(df, model, "_xb", "_zg")
     put: dict[str, Column] = {
         "xb": F.col("_xb"), "xbsel": F.col("_zg"), "psel": norm_cdf("_zg"), "pmargin": norm_cdf("_xb"),
-        "pcond": F.try_divide(bvn_cdf("_xb", "_zg", model.rho), norm_cdf("_zg"))}
+        "pcond": F.exp(log_joint_column(F.col("_xb"), F.col("_zg"), model.rho) - log_norm_cdf("_zg"))}
     return d.withColumns({k: put[k] for k in kinds}).drop("_xb", "_zg")
 
 
@@ -133,11 +133,13 @@ def selection_loglik(df: DataFrame, model: Model, y: str, select: str) -> DataFr
 
     Unusable rows have probability zero to rounding, or no prediction; they are counted, not added.
     """
-    d = index_columns(df, model, "_xb", "_zg").withColumns({"_mxb": -F.col("_xb"), "_mzg": -F.col("_zg")})
-    d = d.withColumn("_p", F.when(F.col(select) == 0, norm_cdf("_mzg"))
-                     .when(F.col(y) == 1, bvn_cdf("_xb", "_zg", model.rho)).otherwise(bvn_cdf("_mxb", "_zg", -model.rho)))
-    ok = F.coalesce(F.col("_p") > 0, F.lit(False))
-    return d.agg(F.sum(F.when(ok, F.log("_p"))).alias("loglik"), F.count("*").alias("n"),
+    d = index_columns(df, model, "_xb", "_zg").withColumn("_mzg", -F.col("_zg"))
+    # a small joint probability is the difference of two large ones: logarithms of it come from its own tail
+    side = F.when(F.col(y) == 1, 1.0).otherwise(-1.0)
+    d = d.withColumn("_ll", F.when(F.col(select) == 0, log_norm_cdf("_mzg"))
+                     .otherwise(log_joint_column(F.col("_xb"), F.col("_zg"), model.rho, side)))
+    ok = F.coalesce(F.exp("_ll") > 0, F.lit(False))
+    return d.agg(F.sum(F.when(ok, F.col("_ll"))).alias("loglik"), F.count("*").alias("n"),
                  F.sum(select).cast("long").alias("n_selected"), F.count(F.when(~ok, 1)).alias("n_unusable"))
 
 
@@ -174,6 +176,20 @@ def log_joint(a: np.ndarray, k: np.ndarray, r: float) -> np.ndarray:
     return out
 
 
+def log_joint_column(x: Column, z: Column, r: float, side: Column | None = None) -> Column:
+    """`log_joint` of two columns, missing where either is; with `side` -1 the row has x and the correlation negated."""
+    @F.pandas_udf("double")
+    def go(a: pd.Series, k: pd.Series, q: pd.Series) -> pd.Series:
+        a, k, q = a.to_numpy(float), k.to_numpy(float), q.to_numpy(float)
+        out = np.full(len(a), np.nan)
+        for v in (1.0, -1.0):
+            at = np.flatnonzero((q == v) & np.isfinite(a) & np.isfinite(k))
+            if len(at):
+                out[at] = log_joint(v * a[at], k[at], v * r)
+        return pd.Series(out)
+    return go(x, z, F.lit(1.0) if side is None else side)
+
+
 def _pieces(xb, zg, y, s, tau, second: bool):
     """Log-likelihood and its derivatives in (xb, zg, tau) per row."""
     rho = math.tanh(tau)

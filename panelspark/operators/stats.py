@@ -68,9 +68,16 @@ def median_flag(df: DataFrame, col: str, out: str, tol: float = 1e-6) -> DataFra
     return df.withColumn(out, (F.abs(F.col(col) - med) < tol).cast("int"))
 
 
+def corr(x: str, y: str) -> Column:
+    """Correlation of the rows with both values; missing, not an error, if either column does not vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    sd = lambda c: F.stddev_pop(F.when(both, F.col(c)))
+    return F.try_divide(F.covar_pop(x, y), sd(x) * sd(y))
+
+
 def corr_pair(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*(by or [])).agg(
-        F.count("*").alias("n"), F.corr(x, y).alias("corr"))
+        F.count("*").alias("n"), corr(x, y).alias("corr"))
 
 
 def freq_table(df: DataFrame, col: str) -> DataFrame:
