@@ -14,7 +14,7 @@ from panelspark.catalog.scalars import cdf_text, u_sql
 from panelspark.catalog.stats import kde_sql, pct_sql, ranked_long
 from panelspark.functions.normal import W_A, W_B, W_C, W_D, W_E, W_F, bvn_rule, np_inv
 from panelspark.operators import allocate as A, effects as E, linear as L, stats as T
-from panelspark.operators.keys import cut_lineage
+from panelspark.operators.keys import cut_lineage, large
 from panelspark.operators.selection import OUT, SEL, Model, index_columns, level_table, selection_loglik, selection_predict, selection_probit, usable
 from panelspark.plans import inputs as I, sample as S
 
@@ -301,7 +301,7 @@ def q_model_sweep(spark, sf):
     off = lambda cond: [("injured", cond, F.lit(0))]
     d = _fit_frame(spark, sf)
     means = d.where("day_varies = 1").groupBy("emp").agg(F.avg("others_leave_nosick").alias("bar_nosick"))
-    return E.model_sweep(d.join(means, "emp", "left"), [
+    return E.model_sweep(d.join(large(means), "emp", "left"), [
         {**base, "name": "base"},
         {**base, "name": "sick time excluded from leave", "x": swap(FIT_X), "z": swap(FIT_Z), "instrument": "others_leave_nosick"},
         {**broad, "name": "broader date effects"},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog.registry import ONWARD, UPTO, query
 from panelspark.functions.dates import years_between
 from panelspark.functions.missing import flag
+from panelspark.operators.keys import large
 from panelspark.operators import ordered as O, ranks as R
 from panelspark.plans import inputs as I, panel as P, sample as S
 
@@ -44,7 +45,7 @@ def q_bfill(spark, sf):
 
 @query("fill_cascade", "emp l, day s, main_div l", "SELECT emp, day, main_div FROM @fill3")
 def q_fill_cascade(spark, sf):
-    p = P.panel(spark, sf).join(P.main_division(spark, sf), ["emp", "day"], "left")
+    p = P.panel(spark, sf).join(large(P.main_division(spark, sf)), ["emp", "day"], "left")
     return O.fill_cascade(p, K, D, "main_div", F.when(F.col("div2").isNull(), F.col("div1")))
 
 
@@ -174,7 +175,7 @@ def q_group_variation_flag(spark, sf):
     FROM @daily d JOIN @ages a USING (emp)""")
 def q_age_anchor(spark, sf):
     a = O.age_anchor(I.pay(spark, sf), K, "day", "age", I.LO)
-    return P.daily(spark, sf).join(a, "emp").withColumn("age_now", F.col("age_ref") + years_between("day", F.lit(I.LO)))
+    return P.daily(spark, sf).join(large(a), "emp").withColumn("age_now", F.col("age_ref") + years_between("day", F.lit(I.LO)))
 
 
 @query("corr_random_means", "emp l, day s, bar_others_out d, bar_rate d", """

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.missing import flag, is_true
-from panelspark.operators.keys import key_join
+from panelspark.operators.keys import key_join, large
 
 
 def project(df: DataFrame, keep: list[str], rename: dict[str, str] | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def date_window(df: DataFrame, day: str, lo, hi) -> DataFrame:
 def drop_entity_if_any(df: DataFrame, k: list[str], cond: Column, none: bool = False) -> DataFrame:
     """Drop entities with any row meeting `cond`; with `none`, those without such a row."""
     hit = df.where(is_true(cond)).select(*k).distinct()
-    return key_join(df, hit, k, "left_semi" if none else "left_anti")
+    return key_join(df, large(hit), k, "left_semi" if none else "left_anti")
 
 
 def recode_sentinel(df: DataFrame, col: str, cond: Column, sentinel: float = -99.0) -> DataFrame:

@@ -56,7 +56,7 @@ def lookup_prior_period(df: DataFrame, k: list[str], day: str, col: str, period:
     """The entity's own value on the last day of the previous week or month."""
     target = {"week": prior_week_end, "month": prior_month_end}[period](F.col(day))
     past = df.select(*k, F.col(day).alias("_at"), F.col(col).alias(out))
-    return df.withColumn("_at", target).join(past, [*k, "_at"], "left").drop("_at")
+    return df.withColumn("_at", target).join(large(past), [*k, "_at"], "left").drop("_at")
 
 
 def cross_join_draws(df: DataFrame, n: int, out: str = "draw") -> DataFrame:

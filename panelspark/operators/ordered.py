@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.dates import day_number, years_between
 from panelspark.functions.missing import flag, is_true, m_ne
-from panelspark.operators.keys import attach, key_join
+from panelspark.operators.keys import attach, key_join, large
 
 
 def by_order(k: list[str], o: list[str]):
@@ -93,7 +93,7 @@ def gap_end_tag(df: DataFrame, k: list[str], day: str, lo, min_days: int, out: s
     """Every record on a day that ends a gap of at least `min_days` gets that day."""
     ends = (gap_days(df, k, day, lo, "_gap").where(F.col("_gap") >= min_days)
             .select(*k, day, F.col(day).alias(out)))
-    return df.join(ends, [*k, day], "left")
+    return df.join(large(ends), [*k, day], "left")
 
 
 def run_length(df: DataFrame, k: list[str], o: list[str], col: str, run: str = "run",
@@ -193,5 +193,5 @@ def corr_random_means(df: DataFrame, k: list[str], cols: list[str]) -> DataFrame
 
 def attach_age(df: DataFrame, ages: DataFrame, k: list[str], day: str, ref, out: str) -> DataFrame:
     """Age on every date from the anchored age."""
-    joined = key_join(df, ages, k, "left", nullable=False)
+    joined = key_join(df, large(ages), k, "left", nullable=False)
     return joined.withColumn(out, F.col("age_ref") + years_between(day, F.lit(ref)))

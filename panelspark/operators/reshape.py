@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.missing import flag, m_gt
+from panelspark.operators.keys import large
 from panelspark.operators.ordered import by_order, cumsum, ffill
 from panelspark.sources.tables import append_rows
 
@@ -34,7 +35,7 @@ def panel_fill(skeleton: DataFrame, daily: DataFrame, k: str, day: str, zero: li
     Measures are zero on empty days, attributes carry forward, running sums start at the
     entity's first day. Adds `seen` (a record that day) and `not_worked`.
     """
-    d = skeleton.join(daily.withColumn("seen", F.lit(1)), [k, day], "left")
+    d = skeleton.join(large(daily.withColumn("seen", F.lit(1))), [k, day], "left")
     d = d.withColumns({**{c: F.coalesce(c, F.lit(0.0)) for c in zero},
                        "seen": F.coalesce("seen", F.lit(0))})
     d = d.withColumn("not_worked", flag(F.col(hours) == 0))

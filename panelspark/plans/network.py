@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.operators import graph as N, windows as W
-from panelspark.operators.keys import cut_lineage
+from panelspark.operators.keys import cut_lineage, large
 from panelspark.plans import inputs as I
 from panelspark.plans.panel import panel
 
@@ -39,7 +39,7 @@ def node_days(spark: SparkSession, sf: str) -> DataFrame:
     s = N.node_strength(weights(spark, sf)).select("day", F.col("node").alias("emp"), "strength")
     c = centrality(spark, sf).select("day", F.col("node").alias("emp"), "centrality")
     p = panel(spark, sf).select("emp", "day", "worked_hours", "leave_hours", "ot_hours", "injured")
-    p = p.join(s, ["emp", "day"], "left").join(c, ["emp", "day"], "left")
+    p = p.join(large(s), ["emp", "day"], "left").join(large(c), ["emp", "day"], "left")
     return cut_lineage(p.withColumns({
         "strength": F.coalesce("strength", F.lit(0.0)), "centrality": F.coalesce("centrality", F.lit(0.0)),
         "ot_work": (F.col("ot_hours") > 0).cast("int"), "work": (F.col("worked_hours") > 0).cast("int")}))

@@ -8,7 +8,7 @@ from panelspark.functions.dates import month_index, week_index, years_between
 from panelspark.functions.missing import flag, is_true, m_div, m_gt
 from panelspark.operators.clean import dedup_key_first, hours_split
 from panelspark.operators.collapse import leave_one_out, staged_collapse
-from panelspark.operators.keys import cut_lineage
+from panelspark.operators.keys import cut_lineage, large
 from panelspark.operators.merge import lookup_prior_period, merge_indicator_flag, merge_m1_left
 from panelspark.operators.ordered import ffill, fill_cascade
 from panelspark.operators.ranks import rank_from_top, rank_gap_counts, running_sums
@@ -73,18 +73,18 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     d = cut_lineage(daily(spark, sf))
     # people never observed inside their own dates leave before their days are generated
     span = who.select("emp", "hire", "term")
-    seen = (d.select("emp", "day").join(span, "emp")
+    seen = (d.select("emp", "day").join(large(span), "emp")
             .where((F.col("day") >= F.greatest("hire", F.lit(I.LO)))
                    & (F.col("day") <= F.least(F.coalesce("term", F.lit(I.HI)), F.lit(I.HI))))
             .select("emp").distinct())
-    who = who.join(seen, "emp", "left_semi")
+    who = who.join(large(seen), "emp", "left_semi")
     days = panel_skeleton(who, "emp", "hire", "term", I.LO, I.HI)
     cl = I.claims(spark, sf).select("emp", "day", "medpd", "nature", F.lit(1).alias("injured"))
-    d = d.join(cl, ["emp", "day"], "left")
+    d = d.join(large(cl), ["emp", "day"], "left")
     p = panel_fill(days, d, "emp", "day", MEASURES, ["rate"],
                    {"cum_worked": "worked_hours", "cum_std": "std_hours", "cum_ot": "ot_hours"}, "worked_hours")
     p = p.withColumn("injured", F.coalesce("injured", F.lit(0)))
-    p = p.join(who.select("emp", "job_class", "hire"), "emp")
+    p = p.join(large(who.select("emp", "job_class", "hire")), "emp")
     p = merge_m1_left(p, I.weather(spark, sf), ["day"])
     p = merge_indicator_flag(p, I.holidays(spark, sf), ["day"], "is_holiday")
     return cut_lineage(p.withColumns({"week_ix": week_index("day"), "month_ix": month_index("day"),
@@ -102,7 +102,7 @@ def main_division(spark: SparkSession, sf: str) -> DataFrame:
 @I.stage
 def leave_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The panel with coworkers' leave, seniority ranks and ranks of those on leave."""
-    p = panel(spark, sf).join(main_division(spark, sf), ["emp", "day"], "left")
+    p = panel(spark, sf).join(large(main_division(spark, sf)), ["emp", "day"], "left")
     only = F.when(F.col("div2").isNull(), F.col("div1"))
     p = fill_cascade(p, ["emp"], ["day"], "main_div", only).where(F.col("main_div").isNotNull()).drop(*SLOT_COLUMNS)
     on_leave = F.col("leave_hours") > 0

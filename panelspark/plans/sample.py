@@ -8,7 +8,7 @@ from panelspark.functions.dates import dow, week_of_year
 from panelspark.functions.missing import flag, is_true
 from panelspark.operators.clean import date_window, drop_entity_if_any
 from panelspark.operators.collapse import mode_no_ties
-from panelspark.operators.keys import cut_lineage
+from panelspark.operators.keys import cut_lineage, large
 from panelspark.operators.ordered import (age_anchor, attach_age, corr_random_means, cumsum, first_event_date,
                                           first_n_after_event, group_variation_flag, lag_lead, lag_sum_6, run_length,
                                           shift_event_to_prior_day)
@@ -46,7 +46,7 @@ def stints(spark: SparkSession, sf: str) -> DataFrame:
 @I.stage
 def estimation_sample(spark: SparkSession, sf: str) -> DataFrame:
     s = stints(spark, sf)
-    s = s.join(mode_no_ties(s.where(F.col("active") == 1), E, "stint_length", "usual_stint"), "emp", "left")
+    s = s.join(large(mode_no_ties(s.where(F.col("active") == 1), E, "stint_length", "usual_stint")), "emp", "left")
     ages = age_anchor(I.pay(spark, sf), E, "day", "age", I.LO)
     s = attach_age(s, ages, E, "day", I.LO, "age")
     s = s.where(~is_true((F.col("worked") == 0) & (F.col("leave_hours") > 0)))
