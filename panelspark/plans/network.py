@@ -35,13 +35,15 @@ def rolling(spark: SparkSession, sf: str, spans: list[int]) -> DataFrame:
 
 @I.stage
 def node_days(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel with contact strength and overtime; days without contact count zero."""
+    """The panel with contact strength and overtime; days without contact count zero.
+
+    Centrality, a search of many rounds that no reader of these rows uses, stays a table of its own.
+    """
     s = N.node_strength(weights(spark, sf)).select("day", F.col("node").alias("emp"), "strength")
-    c = centrality(spark, sf).select("day", F.col("node").alias("emp"), "centrality")
     p = panel(spark, sf).select("emp", "day", "worked_hours", "leave_hours", "ot_hours", "injured")
-    p = p.join(large(s), ["emp", "day"], "left").join(large(c), ["emp", "day"], "left")
+    p = p.join(large(s), ["emp", "day"], "left")
     return cut_lineage(p.withColumns({
-        "strength": F.coalesce("strength", F.lit(0.0)), "centrality": F.coalesce("centrality", F.lit(0.0)),
+        "strength": F.coalesce("strength", F.lit(0.0)),
         "ot_work": (F.col("ot_hours") > 0).cast("int"), "work": (F.col("worked_hours") > 0).cast("int")}))
 
 

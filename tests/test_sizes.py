@@ -49,3 +49,13 @@ def test_allocation_rules_do_not_move_the_rows(spark):
             want |= {(r.draw, r.emp) for r in won}
         got = out.collect()
         assert len(got) == len(pdf) and {(r["draw"], r["emp"]) for r in got if r["work"] == 1} == want
+
+
+def test_shares_do_not_wait_for_centrality(spark, sf, monkeypatch):
+    from panelspark.plans import inputs as I, network as C
+
+    def no(*_):
+        raise AssertionError("centrality is not part of the shares")
+    monkeypatch.setattr(C, "centrality", no)
+    monkeypatch.setattr(I, "_stages", {})
+    assert C.shares(spark, sf).count() > 0
