@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.functions.normal import np_cdf
-from panelspark.operators.keys import attach, cut_lineage, release
+from panelspark.operators.keys import attach, cut_lineage, large, release
 from panelspark.operators.components import components
 from panelspark.operators.solve import independent, inverse_of
 
@@ -84,14 +84,22 @@ def absorb(df: DataFrame, cols: list[str], factors: list[str], tol: float = 1e-1
     keyed = df.select(*[F.col(f).cast("string").alias(k) for f, k in zip(factors, keys)], *cols)
     cells = cut_lineage(keyed.groupBy(*keys).agg(F.count("*").cast("double").alias("_n"), *[F.sum(c).alias(f"_s{j}") for j, c in enumerate(cols)]))
     levels, rank = _level_effects(cells, keys, len(cols), tol, max_iter)
-    out = df
+    out, many = df, _many_levels(levels)
     for i, f in enumerate(factors):
         eff = levels.where(F.col("f") == i).select(F.col("level").alias("_level"), *[F.col(f"x{j}").alias(f"_x{j}") for j in range(len(cols))])
-        out = out.join(eff, F.col(f).cast("string") == F.col("_level")).drop("_level")
+        out = out.join(large(eff) if i in many else eff, F.col(f).cast("string") == F.col("_level")).drop("_level")
         out = out.withColumns({c: F.col(c) - F.col(f"_x{j}") for j, c in enumerate(cols)}).drop(*[f"_x{j}" for j in range(len(cols))])
     return out, rank
 
 
+MANY = 20_000  # levels; a factor that has more (persons) is merged step by step, never broadcast
+
+
+def _many_levels(table: DataFrame) -> set[int]:
+    """The factors of a level table with many levels."""
+    return {r["f"] for r in table.groupBy("f").count().collect() if r["count"] > MANY}
+
+
 def _by_level(cells: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Cell values added up for every level of every factor: (f, level, ...)."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(k).alias("level")) for i, k in enumerate(keys)]))
@@ -109,7 +117,9 @@ def _level_effects(cells: DataFrame, keys: list[str], n_cols: int, tol: float, m
     if len(keys) == 2:
         ends = [F.concat(F.lit(f"{i}/"), F.col(k)) for i, k in enumerate(keys)]
         links = cells.select(ends[0].alias("u"), ends[1].alias("v"))
-        return _conjugate(cells, keys, n_cols, tol, max_iter), _count_levels(cells, keys) - components(links).select("root").distinct().count()
+        levels = _conjugate(cells, keys, n_cols, tol, max_iter)
+        apart = components(links, bool(_many_levels(levels))).select("root").distinct().count()
+        return levels, _count_levels(cells, keys) - apart
     probes = len(keys) + 1
     while True:
         draw = lambda f, level, j: (F.pmod(F.xxhash64(f, level, F.lit(j)), F.lit(1 << 20)) / F.lit(float(1 << 19)) - 1.0)
@@ -136,14 +146,14 @@ def _conjugate(cells: DataFrame, keys: list[str], n_cols: int, tol: float, max_i
     start = _by_level(cells, keys, {"n": F.col("_n"), **{f"r{j}": F.col(f"_s{j}") for j in cols}})
     table = cut_lineage(start.select("f", "level", "n", *[F.lit(0.0).alias(f"x{j}") for j in cols], *[f"r{j}" for j in cols],
                                      *[(F.col(f"r{j}") / F.col("n")).alias(f"p{j}") for j in cols]))
-    first = None
+    first, many = None, _many_levels(table)
     for _ in range(max_iter):
         moved = cells.select("_n", *keys)
         for i, k in enumerate(keys):
             p = table.where(F.col("f") == i).select(F.col("level").alias(k), *[F.col(f"p{j}").alias(f"p{i}_{j}") for j in cols])
-            moved = moved.join(p, k)
+            moved = moved.join(large(p) if i in many else p, k)
         q = _by_level(moved, keys, {f"q{j}": F.col("_n") * sum((F.col(f"p{i}_{j}") for i in range(len(keys))), F.lit(0.0)) for j in cols})
-        new = cut_lineage(table.join(q, ["f", "level"]))
+        new = cut_lineage(table.join(large(q) if many else q, ["f", "level"]))
         dots = new.agg(*[F.sum(e).alias(f"{n}{j}") for j in cols for n, e in (
             ("pq", F.col(f"p{j}") * F.col(f"q{j}")), ("rr", F.col(f"r{j}") ** 2 / F.col("n")),
             ("rq", F.col(f"r{j}") * F.col(f"q{j}") / F.col("n")), ("qq", F.col(f"q{j}") ** 2 / F.col("n")))]).first()

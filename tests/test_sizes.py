@@ -59,3 +59,14 @@ def test_shares_do_not_wait_for_centrality(spark, sf, monkeypatch):
     monkeypatch.setattr(C, "centrality", no)
     monkeypatch.setattr(I, "_stages", {})
     assert C.shares(spark, sf).count() > 0
+
+
+def test_many_levels_are_not_broadcast(spark, monkeypatch):
+    from panelspark.operators import linear as L
+    d = cut_lineage(spark.range(600).select((F.col("id") % 100).alias("person"), (F.col("id") % 7).alias("day"), (F.col("id") * F.col("id") % 31).cast("double").alias("v")))
+    plain, rank = L.absorb(d, ["v"], ["day", "person"])
+    monkeypatch.setattr(L, "MANY", 50)
+    merged, same = L.absorb(d, ["v"], ["day", "person"])
+    assert plan(plain).count("SortMergeJoin") == 0 and plan(merged).count("SortMergeJoin") == 1
+    key = lambda df: sorted((r["person"], r["day"], round(r["v"], 9)) for r in df.collect())
+    assert rank == same and key(plain) == key(merged)
