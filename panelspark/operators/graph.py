@@ -60,18 +60,29 @@ def rolling_strength(weights: DataFrame, present: DataFrame, spans: list[int]) -
     A person's events are in one task: they are bounded by the calendar.
     """
     m = weights.where("w > 0").join(present.select("node", "start", "end"), "node").where("end >= day")
-    m = cut_lineage(m.withColumn("from", F.greatest("day", "start")))
+    m = cut_lineage(m.withColumn("from", F.greatest("day", "start")).select("node", "day", "grp", "w", "from", "end"))
+    names = [f"strength_{s}" for s in spans]
+    row = lambda time, values, here: F.struct(time.alias("time"), *[v.alias(n) for v, n in zip(values, names)], F.lit(here).alias("here"))
+
+    def moves(at, v):
+        """A step of size `v` for every span, and back when the span is over."""
+        leave = [row(F.greatest(at, F.date_add("day", s + 1)), [-v if t == s else F.lit(0.0) for t in spans], 0) for s in spans]
+        return F.array(row(at, [v] * len(spans), 0), *leave)
+
+    added = [F.sum(n).alias(n) for n in names]
     turns = m.select("day", "grp", "w", F.explode(F.array(F.struct(F.col("from").alias("at"), F.lit(1).alias("k")),
                                                           F.struct(F.date_add("end", 1).alias("at"), F.lit(-1).alias("k")))).alias("t"))
     turns = turns.groupBy("day", "grp", "t.at").agg((F.max("w") * F.sum("t.k")).alias("v"))
-    others = m.select("day", "grp", "node").join(turns, ["day", "grp"]).select("node", "day", "at", "v")
-    own = m.select("node", "day", F.col("from").alias("at"), (-F.col("w")).alias("v"))
-    names = [f"strength_{s}" for s in spans]
-    enter = F.struct(F.col("at").alias("time"), *[F.col("v").alias(n) for n in names])
-    leave = [F.struct(F.greatest("at", F.date_add("day", s + 1)).alias("time"), *[(-F.col("v") if t == s else F.lit(0.0)).alias(n) for t, n in zip(spans, names)]) for s in spans]
-    moves = others.unionByName(own).select("node", F.inline(F.array(enter, *leave))).withColumn("here", F.lit(0))
-    days = present.select("node", F.explode(F.sequence("start", "end")).alias("time"), *[F.lit(0.0).alias(n) for n in names], F.lit(1).alias("here"))
-    sums = moves.unionByName(days).groupBy("node", "time").agg(*[F.sum(n).alias(n) for n in names], F.max("here").alias("here"))
+    # a group's steps are added up, and packed, before its members take them; none is needed after the last day anyone is present
+    last = present.agg(F.max("end")).scalar()
+    steps = turns.select("day", "grp", F.inline(moves(F.col("at"), F.col("v")))).where(F.col("time") <= last).groupBy("day", "grp", "time").agg(*added)
+    steps = cut_lineage(steps.groupBy("day", "grp").agg(F.collect_list(row(F.col("time"), [F.col(n) for n in names], 0)).alias("steps")))
+    # dealt by person before steps are unpacked, so that they meet in the task that unpacks them
+    each = m.select("node", "day", "grp", "w", "from").unionByName(present.select("node", "start", "end"), allowMissingColumns=True).repartition("node")
+    days = F.transform(F.sequence("start", "end"), lambda d: row(d, [F.lit(0.0)] * len(spans), 1))
+    mine = F.when(F.col("w").isNotNull(), F.concat("steps", moves(F.col("from"), -F.col("w")))).otherwise(days)
+    sums = (each.join(steps, ["day", "grp"], "left").select("node", F.inline(mine)).where(F.col("time") <= last)
+            .groupBy("node", "time").agg(*added, F.max("here").alias("here")))
     run = W.partitionBy("node").orderBy("time").rowsBetween(W.unboundedPreceding, W.currentRow)
     # what has been put in and taken out again is zero but for rounding
     swept = sums.select("node", F.col("time").alias("day"), "here", *[F.round(F.sum(n).over(run), 12).alias(n) for n in names])

@@ -70,3 +70,20 @@ def test_many_levels_are_not_broadcast(spark, monkeypatch):
     assert plan(plain).count("SortMergeJoin") == 0 and plan(merged).count("SortMergeJoin") == 1
     key = lambda df: sorted((r["person"], r["day"], round(r["v"], 9)) for r in df.collect())
     assert rank == same and key(plain) == key(merged)
+
+
+def test_window_strength_adds_steps_by_group_before_people_take_them(spark):
+    """A person's steps are made in the task that adds them up: no shuffle or partial table holds every step of a group's members."""
+    from panelspark.operators.graph import contact_weights, rolling_strength
+    day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 10).cast("int"))
+    d = spark.range(4000).select(day.alias("day"), (F.col("id") % 3).cast("string").alias("grp"), F.floor(F.col("id") / 10).alias("node"))
+    # the last to leave has no contact
+    present = cut_lineage(spark.range(402).select(F.col("id").alias("node"), F.lit(dt.date(2024, 1, 1)).alias("start"),
+                                                  F.date_add(F.lit(dt.date(2024, 1, 10)), F.when(F.col("id") == 401, 5).otherwise((F.col("id") % 3).cast("int"))).alias("end")))
+    out = rolling_strength(contact_weights(d, "day", "grp", "node"), present, [3, 1000])
+    text = plan(out)
+    assert text.count("Exchange hashpartitioning") == 1 and text.index("Exchange hashpartitioning") > text.index("Generate inline")
+    got = {(r["day"], r["node"]): (r["strength_3"], r["strength_1000"]) for r in out.collect()}
+    assert len(got) == sum(10 + (5 if n == 401 else n % 3) for n in range(402))
+    assert got[dt.date(2024, 1, 15), 401] == (0, 0) and got[dt.date(2024, 1, 10), 0] == (4, 10)
+    assert all(v == (0, 0) for v in (rolling_strength(contact_weights(d.limit(0), "day", "grp", "node"), present, [3, 1000]).agg(F.max("strength_3"), F.max("strength_1000")).first(),))
