@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.normal import log_norm_cdf, norm_cdf, norm_hazard, norm_inv, np_inv
+from panelspark.operators.keys import cut_lineage, release
 from panelspark.operators.linear import Fit
 from panelspark.operators.selection import LOG_ROOT_2PI, OUT, SEL, Model, Spec, fit_selections, index_columns, log_joint_column, selection_predict, variances
 from panelspark.operators.stats import corr, kde_grid
@@ -341,12 +342,24 @@ def _means(df: DataFrame, model: Model, exprs: list[Expr], grid=None, at=None, w
     d = c.df.withColumns(made)
     aggs = []
     for k, own in enumerate(keys):
-        aggs += [(F.count(f"_e{k}") / per).cast("long").alias(f"n{k}"), F.sum(f"_e{k}").alias(f"e{k}")]
+        aggs += [(F.count(f"_e{k}") / per).alias(f"n{k}"), F.sum(f"_e{k}").alias(f"e{k}")]
         for key, cols in (("xb", model.x), ("zg", model.z)):
             if key in own:
                 aggs += [F.sum(F.col(own[key]) * F.col(t)).alias(f"{key}{k}_{t}") for t in cols]
         aggs += [F.sum(x).alias(f"s{x}") for x in own.values()]
-    top = sorted(d.groupBy("_u").agg(*aggs).collect(), key=lambda r: r["_u"])
+    ends = [(k, eq, own[key]) for k, own in enumerate(keys) for key, eq in (("xb", OUT), ("zg", SEL)) if key in own]
+    # the rows' values cost most, so one pass adds them up by grid value, and by grid value and each factor, wide level and cluster
+    dims = {f"_f{i}": F.col(f) for i, f in enumerate(model.levels)} if errors else {}
+    if errors and model.wide is not None and ends:
+        dims["_level"] = F.col(model.wide.name).cast("string")
+    if errors and vce == "unconditional" and model.scores is not None:
+        dims["_cluster"] = F.col(cluster)
+    sets = [[], *[[x] for x in dims]]
+    alone = {x: sum(1 << (len(dims) - 1 - i) for i, y in enumerate(dims) if y != x) for x in [None, *dims]}  # grouping_id of each set
+    d = d.withColumns(dims) if dims else d
+    cells = cut_lineage(d.groupingSets([["_u", *x] for x in sets], "_u", *dims).agg(F.grouping_id().alias("_set"), *aggs))
+    part = lambda x: cells.where(F.col("_set") == alone[x])
+    top = sorted(part(None).collect(), key=lambda r: r["_u"])
     cases = [(k, i) for k in range(len(exprs)) for i in range(len(top))]
     if not errors:
         return [(k, float(top[i]["_u"]), top[i][f"e{k}"] / top[i][f"n{k}"] if top[i][f"n{k}"] else None, None, int(top[i][f"n{k}"])) for k, i in cases]
@@ -364,24 +377,24 @@ def _means(df: DataFrame, model: Model, exprs: list[Expr], grid=None, at=None, w
                     grads[row, pos[(eq, t, None)]] += (r[f"{key}{k}_{t}"] or 0.0) / n
             else:
                 grads[row, pos[key]] += total
-    ends = [(k, eq, own[key]) for k, own in enumerate(keys) for key, eq in (("xb", OUT), ("zg", SEL)) if key in own]
-    for f in model.levels:
-        for r in d.groupBy("_u", f).agg(*[F.sum(x).alias(x) for _, _, x in ends]).collect():
+    for f, name in zip(model.levels, dims):
+        for r in part(name).select("_u", name, *[f"s{x}" for _, _, x in ends]).collect():
             i = at_u[r["_u"]]
             for k, eq, x in ends:
-                grads[k * len(top) + i, pos[(eq, f, r[f])]] += (r[x] or 0.0) / (top[i][f"n{k}"] or 1)
+                grads[k * len(top) + i, pos[(eq, f, r[name])]] += (r[f"s{x}"] or 0.0) / (top[i][f"n{k}"] or 1)
     number = F.element_at(F.create_map(*[x for u, i in at_u.items() for x in (F.lit(float(u)), F.lit(i))]), F.col("_u"))
     size = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit(float(r[f"n{k}"] or 1)))]), F.col("_u")) for k in range(len(exprs))]
     by_level = mean = None
-    if model.wide is not None and ends:
-        half = lambda k, key: F.coalesce(F.sum(keys[k][key]), F.lit(0.0)) / size[k] if key in keys[k] else F.lit(0.0)
+    if "_level" in dims:
+        half = lambda k, key: F.coalesce(f"s{keys[k][key]}", F.lit(0.0)) / size[k] if key in keys[k] else F.lit(0.0)
         each = F.array(*[F.struct((number + k * len(top)).alias("i"), half(k, "xb").alias("j0"), half(k, "zg").alias("j1")) for k in range(len(exprs))])
-        by_level = (d.groupBy(F.col(model.wide.name).cast("string").alias("level"), "_u").agg(each.alias("x")).select("level", F.inline("x")))
-    if vce == "unconditional" and model.scores is not None:
+        by_level = part("_level").select(F.col("_level").alias("level"), F.inline(each))
+    if "_cluster" in dims:
         centre = [F.element_at(F.create_map(*[x for r in top for x in (F.lit(float(r["_u"])), F.lit((r[f"e{k}"] or 0.0) / (r[f"n{k}"] or 1)))]), F.col("_u")) for k in range(len(exprs))]
-        each = F.array(*[F.struct((number + k * len(top)).alias("i"), ((F.sum(f"_e{k}") - F.count(f"_e{k}") / per * centre[k]) / size[k]).alias("m")) for k in range(len(exprs))])
-        mean = d.groupBy(F.col(cluster).alias("cluster"), "_u").agg(each.alias("x")).select("cluster", F.inline("x"))
+        each = F.array(*[F.struct((number + k * len(top)).alias("i"), ((F.col(f"e{k}") - F.col(f"n{k}") * centre[k]) / size[k]).alias("m")) for k in range(len(exprs))])
+        mean = part("_cluster").select(F.col("_cluster").alias("cluster"), F.inline(each))
     var = variances(model, grads, by_level, mean)
+    release(cells)
     mean_of = lambda k, r: r[f"e{k}"] / r[f"n{k}"] if r[f"n{k}"] else None
     return [(k, float(top[i]["_u"]), mean_of(k, top[i]), math.sqrt(max(var[row], 0.0)) if top[i][f"n{k}"] else None, int(top[i][f"n{k}"]))
             for row, (k, i) in enumerate(cases)]

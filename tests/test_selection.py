@@ -271,3 +271,18 @@ def test_grid_quantities(fitted):
 def test_quadrature_nodes_are_symmetric():
     assert sum(w * x for w, x in zip(E.NODE_WEIGHTS, E.NODES)) == pytest.approx(0)
     assert sum(E.NODE_WEIGHTS) == pytest.approx(math.sqrt(math.pi), abs=1e-4)
+
+
+def test_margins_read_the_rows_once(fitted):
+    """The values of the rows, which cost most, are made in one pass for the mean, the levels and the clusters."""
+    _, df, m = fitted
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def tell(x):
+        seen.add(1)
+        return x
+    own = dict(vce="unconditional", cluster="cl")
+    told = df.withColumn("x", F.udf(tell, "double").asNondeterministic()("x"))
+    want, got = E.margins(df, m, E.pcond, **own).first(), E.margins(told, m, E.pcond, **own).first()
+    assert seen.value == df.count()
+    assert got["estimate"] == pytest.approx(want["estimate"], rel=1e-12) and got["se"] == pytest.approx(want["se"], rel=1e-9)
