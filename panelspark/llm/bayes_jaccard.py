@@ -9,6 +9,9 @@
    when it falls under `TOLERANCE`.
 4. What is left is verified by the exact overlap of the 64-bit shingle sets.
 
+Texts and bands that no later step wants are left out before the shuffle by bit maps of `MAP_BITS` bits, which let others pass but
+lose none.
+
 A bucket is cut into blocks of at most `BLOCK` members, so no task sees a bucket whole. Classes need two rounds:
 
 a. Members meet those of their own block and the bucket's pivots (about `PIVOTS` members that join every block). In a group of near
@@ -49,6 +52,7 @@ TOLERANCE = 1e-6
 BLOCK = 512
 PIVOTS = 16              # members of a bucket in several blocks that meet all the others, on average
 BLOCK_BYTES = 64 << 20
+MAP_BITS = 1 << 26       # 8 MB
 BLANK = r"\x20\x09-\x0D"
 A, B = Rolling(21), Rolling(22)
 _rng = np.random.default_rng(23)
@@ -107,13 +111,46 @@ def _describe(batches):
              pa.array([min_hashes(s) if len(s) else None for s in sets], pa.binary())], names=["id", "_k1", "_k2", "h1", "h2", "n", "mh"])
 
 
-def _bands(batches):
-    for b in batches:
-        mh = np.frombuffer(b"".join(b.column("mh").to_pylist()), np.int64).reshape(-1, BANDS)
-        each = np.repeat(np.arange(len(mh)), BANDS)
-        yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(each)), b.column("n").take(pa.array(each)),
-                                          pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(mh))), pa.array(mh.ravel())],
-                                         names=["rep", "n", "band", "key"])
+def bit_map(spots: DataFrame):
+    """Broadcast bits, set at the column `spot` (from 0 to MAP_BITS - 1) of any number of rows; tasks merge pieces, the driver joins them."""
+    piece = min(MAP_BITS, 1 << 20)
+    parts = (spots.select(F.floor(F.col("spot") / piece).cast("int").alias("p"), (F.col("spot") % piece).cast("int").alias("at"))
+             .distinct().groupBy("p").agg(F.collect_list("at").alias("at"))
+             .mapInArrow(_pieces(piece), "p int, bits binary").collect())  # 64 pieces of 128 KB at most
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in parts:
+        bits[r["p"] * piece // 8:(r["p"] + 1) * piece // 8] = np.frombuffer(r["bits"], np.uint8)
+    return spots.sparkSession.sparkContext.broadcast(bits)
+
+
+def _pieces(piece: int):
+    def run(batches):
+        for b in batches:
+            out = []
+            for at in b.column("at"):
+                bits = np.zeros(piece, bool)
+                bits[at.values.to_numpy()] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("p"), pa.array(out, pa.binary())], names=["p", "bits"])
+    return run
+
+
+def marked(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    return (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _bands(shared=None, size: int = 0):
+    """The bands of each class; with bits `shared`, only those whose bucket may be marked."""
+    def run(batches):
+        for b in batches:
+            mh = np.frombuffer(b"".join(b.column("mh").to_pylist()), np.int64).reshape(-1, BANDS)
+            each, band, key = np.repeat(np.arange(len(mh)), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(mh)), mh.ravel()
+            if shared is not None:
+                ok = marked(shared.value, (key ^ band.astype(np.int64) << 21) & (size - 1))
+                each, band, key = each[ok], band[ok], key[ok]
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(each)), b.column("n").take(pa.array(each)), pa.array(band), pa.array(key)],
+                                             names=["rep", "n", "band", "key"])
+    return run
 
 
 def surviving(mh: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,12 +333,16 @@ def _settle_blocks(batches):
     yield from _collect(rows(), pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("to", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))]), 200)
 
 
-def _shingles(batches):
-    for b in batches:
-        sets = shingle_sets(b.column("_text").to_pylist())
-        sig = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                         names=["h1", "h2", "shingles"])
+def _shingles(shared, size: int):
+    """The sets of the texts whose key may be marked."""
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(marked(shared.value, b.column("_k2").to_numpy(zero_copy_only=False).astype(np.int64) & (size - 1))))
+            sets = shingle_sets(b.column("_text").to_pylist())
+            sig = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["h1", "h2", "shingles"])
+    return run
 
 
 class Found:
@@ -315,19 +356,21 @@ class Found:
         self.classes = cut_lineage(self.each.where("n > 0").groupBy("h1", "h2")
                                    .agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
                                    .withColumn("rep", F.monotonically_increasing_id()))
-        bands = self.classes.select("rep", "n", "mh").mapInArrow(_bands, "rep long, n long, band int, key long")
-        buckets = (bands.groupBy("band", "key")
-                   .agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.sum("n").alias("w")).where("m > 1")
-                   .groupBy("m", "who").agg(F.min(F.struct("band", "key", "w")).alias("b"))  # the same members once, in their first band
-                   .select("b.band", "b.key", "m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("b.w") / BLOCK_BYTES)).cast("int").alias("blocks")))
-        self.members = cut_lineage(bands.join(buckets, ["band", "key"])
+        bands = lambda *bits: self.classes.select("rep", "n", "mh").mapInArrow(_bands(*bits), "rep long, n long, band int, key long")
+        buckets = cut_lineage(bands().groupBy("band", "key")
+                              .agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.sum("n").alias("w")).where("m > 1")
+                              .groupBy("m", "who").agg(F.min(F.struct("band", "key", "w")).alias("b"))  # the same members once, in their first band
+                              .select("b.band", "b.key", "m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("b.w") / BLOCK_BYTES)).cast("int").alias("blocks")))
+        spot = F.col("key").bitwiseXOR(F.shiftleft(F.col("band").cast("long"), 21)).bitwiseAND(F.lit(MAP_BITS - 1))
+        self.members = cut_lineage(bands(bit_map(buckets.select(spot.alias("spot"))), MAP_BITS).join(buckets, ["band", "key"])
                                    .select("rep", "band", F.xxhash64("band", "key").alias("bucket"), "m", "blocks", _spot("rep", "blocks", 1).alias("block")))
+        release(buckets)
 
     def sets(self, reps: DataFrame) -> DataFrame:
-        """(rep, shingles) of the classes in `reps`, made again from one text each."""
-        wanted = reps.select("rep").distinct().join(self.classes.select("rep", "h1", "h2", "own._k1", "own._k2"), "rep")
-        return (self.docs.select("_k1", "_k2", "_text").join(wanted.select("_k1", "_k2").distinct(), ["_k1", "_k2"])
-                .select("_text").mapInArrow(_shingles, "h1 long, h2 long, shingles binary")
+        """(rep, shingles) of the classes in `reps`, made again from a text of each; no text is shuffled."""
+        wanted = reps.select("rep").distinct().join(self.classes.select("rep", "h1", "h2", "own._k2"), "rep")
+        bits = bit_map(wanted.select(F.col("_k2").cast("long").bitwiseAND(F.lit(MAP_BITS - 1)).alias("spot")))
+        return (self.docs.select("_k2", "_text").mapInArrow(_shingles(bits, MAP_BITS), "h1 long, h2 long, shingles binary")
                 .join(wanted.select("rep", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles"))
 
     def _compare(self, rows: DataFrame, within: bool) -> DataFrame:

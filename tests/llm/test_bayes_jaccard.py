@@ -159,6 +159,30 @@ def test_rows_follow_the_members_of_a_group(spark, monkeypatch):
         assert most <= 2 * members + 16 * 24 * m / 64, (m, members, most)
 
 
+def shuffles(df):
+    """Shuffles by the key of a row, which rows with their texts would take."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange" in x and "_k1" in x]
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark, monkeypatch):
+    """Nor is a band whose bucket has one member; a small map lets more pass and loses none."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = corpus(6)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        want = sorted(set(brute(texts)[0]))
+        for bits in (J.MAP_BITS, 1 << 10):
+            monkeypatch.setattr(J, "MAP_BITS", bits)
+            found = J.Found(df, "doc_id", "text")
+            sets = found.sets(found.members)
+            assert not shuffles(sets)
+            assert {r.rep for r in sets.collect()} == {r.rep for r in found.members.select("rep").distinct().collect()}
+            assert sorted(r.doc_id for r in J.one_per_class(df).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bayes_bound():
     rng = np.random.default_rng(1)
     for i, j, need in J.NEED:
