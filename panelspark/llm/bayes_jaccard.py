@@ -10,14 +10,16 @@
 4. What is left is verified by the exact overlap of the 64-bit shingle sets.
 
 Texts and bands that no later step wants are left out before the shuffle by bit maps of `MAP_BITS` bits, which let others pass but
-lose none.
+lose none. A membership of a class in a bucket carries the MinHash values; it is joined by class once a round, with the sets, and
+only if a pair of it survived.
 
 A bucket is cut into blocks of at most `BLOCK` members, so no task sees a bucket whole. Classes need two rounds:
 
 a. Members meet those of their own block and the bucket's pivots (about `PIVOTS` members that join every block). In a group of near
    copies nearly all link to a pivot, which unites the blocks.
 b. What is still apart from its bucket's largest united set meets all members of the bucket. Those already united never
-   meet, so rows follow the members, and grow faster only with members that do not link to what they share a bucket with.
+   meet, so rows follow the members, and grow faster only with members that do not link to what they share a bucket with:
+   those pairs have to be looked at, in blocks.
 
 Numbers of links do need every pair of a bucket. Where they are asked for, the blocks of a bucket travel packed, one row a block
 and pair of blocks; the answer for a pair of blocks is again one row a block. A pair counts in the first band that it shares, and buckets with the
@@ -140,16 +142,16 @@ def marked(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
 
 
 def _bands(shared=None, size: int = 0):
-    """The bands of each class; with bits `shared`, only those whose bucket may be marked."""
+    """The bands of each class; with bits `shared`, only those whose bucket may be marked, and with what comparisons need."""
     def run(batches):
         for b in batches:
             mh = np.frombuffer(b"".join(b.column("mh").to_pylist()), np.int64).reshape(-1, BANDS)
             each, band, key = np.repeat(np.arange(len(mh)), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(mh)), mh.ravel()
+            names = ["rep", "n"]
             if shared is not None:
                 ok = marked(shared.value, (key ^ band.astype(np.int64) << 21) & (size - 1))
-                each, band, key = each[ok], band[ok], key[ok]
-            yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(each)), b.column("n").take(pa.array(each)), pa.array(band), pa.array(key)],
-                                             names=["rep", "n", "band", "key"])
+                each, band, key, names = each[ok], band[ok], key[ok], ["rep", *CLASS]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(each)) for c in names), pa.array(band), pa.array(key)], names=[*names, "band", "key"])
     return run
 
 
@@ -244,9 +246,9 @@ def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray | None]:
     return hosts, (guests if len(guests) else None)
 
 
-def _group_candidates(rows: list[tuple], mh: np.ndarray, band: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
+def _group_candidates(rows: list[tuple], within: bool) -> tuple[np.ndarray, np.ndarray]:
     hosts, guests = _sides(rows)
-    apart = np.array([r[2] for r in rows])
+    apart, band, mh = np.array([r[2] for r in rows]), rows[0][3], _matrix([r[5] for r in rows])
     a, b = group_pairs(hosts, None, mh, band, apart) if within else (np.zeros(0, np.int64),) * 2
     if guests is not None:
         c, d = group_pairs(guests, hosts, mh, band, apart)
@@ -254,19 +256,22 @@ def _group_candidates(rows: list[tuple], mh: np.ndarray, band: int, within: bool
     return a, b
 
 
-ROLES = ["rep", "side", "mark", "band"]
+CLASS = ["copies", "mh"]  # what a membership carries of its class, so that only sets are joined
+ROLES = ["rep", "side", "mark", "band", *CLASS]
 GROUP = ["bucket", "bi", "bj"]
+MEMBER = pa.schema([("bucket", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("rep", pa.int64()), ("side", pa.int32()), ("mark", pa.int64()),
+                    ("band", pa.int32()), ("copies", pa.int64()), ("mh", pa.binary())])
 
 
 def _active(within: bool):
     """Members that have a surviving pair in their group."""
     def run(batches):
         def rows():
-            for key, g in _groups(batches, GROUP, [*ROLES, "mh"]):
-                a, b = _group_candidates(g, _matrix([r[4] for r in g]), g[0][3], within)
+            for key, g in _groups(batches, GROUP, ROLES):
+                a, b = _group_candidates(g, within)
                 for i in np.union1d(a, b):
-                    yield *key, *g[i][:4]
-        yield from _collect(rows(), pa.schema([("bucket", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("rep", pa.int64()), ("side", pa.int32()), ("mark", pa.int64()), ("band", pa.int32())]))
+                    yield *key, *g[i]
+        yield from _collect(rows(), MEMBER)
     return run
 
 
@@ -309,10 +314,9 @@ def _verify(within: bool):
     """(u, v, links) of every member with links: links (u, v) span those of the group, and links counts documents."""
     def run(batches):
         def rows():
-            for _, g in _groups(batches, GROUP, [*ROLES, "mh", "copies", "shingles"]):
+            for _, g in _groups(batches, GROUP, [*ROLES, "shingles"]):
                 reps = np.array([r[0] for r in g])
-                to, links = _settle([np.frombuffer(r[6], np.uint64) for r in g], reps, np.array([r[5] for r in g]),
-                                    *_group_candidates(g, _matrix([r[4] for r in g]), g[0][3], within))
+                to, links = _settle([np.frombuffer(r[6], np.uint64) for r in g], reps, np.array([r[4] for r in g]), *_group_candidates(g, within))
                 for i in np.flatnonzero(links):
                     yield int(reps[i]), int(to[i]), int(links[i])
         yield from _collect(rows(), pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())]))
@@ -356,14 +360,15 @@ class Found:
         self.classes = cut_lineage(self.each.where("n > 0").groupBy("h1", "h2")
                                    .agg(first.alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mh").alias("mh"))
                                    .withColumn("rep", F.monotonically_increasing_id()))
-        bands = lambda *bits: self.classes.select("rep", "n", "mh").mapInArrow(_bands(*bits), "rep long, n long, band int, key long")
-        buckets = cut_lineage(bands().groupBy("band", "key")
+        own = self.classes.select("rep", "n", *CLASS)
+        buckets = cut_lineage(own.mapInArrow(_bands(), "rep long, n long, band int, key long").groupBy("band", "key")
                               .agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"), F.sum("n").alias("w")).where("m > 1")
                               .groupBy("m", "who").agg(F.min(F.struct("band", "key", "w")).alias("b"))  # the same members once, in their first band
                               .select("b.band", "b.key", "m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(8 * F.col("b.w") / BLOCK_BYTES)).cast("int").alias("blocks")))
         spot = F.col("key").bitwiseXOR(F.shiftleft(F.col("band").cast("long"), 21)).bitwiseAND(F.lit(MAP_BITS - 1))
-        self.members = cut_lineage(bands(bit_map(buckets.select(spot.alias("spot"))), MAP_BITS).join(buckets, ["band", "key"])
-                                   .select("rep", "band", F.xxhash64("band", "key").alias("bucket"), "m", "blocks", _spot("rep", "blocks", 1).alias("block")))
+        bits = bit_map(buckets.select(spot.alias("spot")))
+        self.members = cut_lineage(own.mapInArrow(_bands(bits, MAP_BITS), "rep long, copies long, mh binary, band int, key long").join(buckets, ["band", "key"])
+                                   .select("rep", *CLASS, "band", F.xxhash64("band", "key").alias("bucket"), "m", "blocks", _spot("rep", "blocks", 1).alias("block")))
         release(buckets)
 
     def sets(self, reps: DataFrame) -> DataFrame:
@@ -374,12 +379,11 @@ class Found:
                 .join(wanted.select("rep", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "shingles"))
 
     def _compare(self, rows: DataFrame, within: bool) -> DataFrame:
-        """(u, v, links) in groups of (bucket, bi, bj, rep, side, mark, band)."""
-        mh = self.classes.select("rep", "mh", "copies")
+        """(u, v, links) in groups of (bucket, bi, bj) and ROLES."""
         dealt = lambda d: d.repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "rep")
-        active = cut_lineage(dealt(rows.join(mh, "rep").select(*GROUP, *ROLES, "mh"))
-                             .mapInArrow(_active(within), "bucket long, bi int, bj int, rep long, side int, mark long, band int"))
-        found = cut_lineage(dealt(active.join(mh, "rep").join(self.sets(active), "rep").select(*GROUP, *ROLES, "mh", "copies", "shingles"))
+        active = cut_lineage(dealt(rows.select(*GROUP, *ROLES))
+                             .mapInArrow(_active(within), "bucket long, bi int, bj int, rep long, side int, mark long, band int, copies long, mh binary"))
+        found = cut_lineage(dealt(active.join(self.sets(active), "rep").select(*GROUP, *ROLES, "shingles"))
                             .mapInArrow(_verify(within), LINKS))
         release(active)
         return found
@@ -388,9 +392,9 @@ class Found:
         """(rep, root) of all classes that are linked to another."""
         own = F.col("rep").alias("mark")
         m = self.members
-        hosts = m.select("rep", "band", "bucket", F.col("block").alias("bi"), F.lit(0).alias("side"), own)
+        hosts = m.select("rep", *CLASS, "band", "bucket", F.col("block").alias("bi"), F.lit(0).alias("side"), own)
         pivots = (m.where((F.col("blocks") > 1) & (_spot("rep", "m", 2) < PIVOTS)).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                  .where("bi <> block").select("rep", "band", "bucket", "bi", F.lit(1).alias("side"), own))
+                  .where("bi <> block").select("rep", *CLASS, "band", "bucket", "bi", F.lit(1).alias("side"), own))
         near = self._compare(hosts.unionByName(pivots).withColumn("bj", F.lit(0)), True)
         united = _roots(near)
         # what its bucket's largest united set has not reached
@@ -404,18 +408,18 @@ class Found:
         release(cut)
         if left.isEmpty():
             return united
-        hosts = left.withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("rep", "band", "bucket", F.col("block").alias("bi"), "bj", F.lit(0).alias("side"), "mark")
+        hosts = left.withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("rep", *CLASS, "band", "bucket", F.col("block").alias("bi"), "bj", F.lit(0).alias("side"), "mark")
         guests = (left.where("mark <> top").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                  .select("rep", "band", "bucket", "bi", _spot("rep", "parts", 3).alias("bj"), F.lit(1).alias("side"), "mark"))
+                  .select("rep", *CLASS, "band", "bucket", "bi", _spot("rep", "parts", 3).alias("bj"), F.lit(1).alias("side"), "mark"))
         far = self._compare(hosts.unionByName(guests), False)
         return _roots(near.unionByName(far))
 
     def links(self) -> DataFrame:
         """(u, v, links) over all pairs of every bucket: (u, v) span the links, and links add up to the documents u is linked to."""
         m = self.members
-        small = m.where("blocks = 1").select("rep", "band", "bucket", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), F.col("rep").alias("mark"))
+        small = m.where("blocks = 1").select("rep", *CLASS, "band", "bucket", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), F.col("rep").alias("mark"))
         large = m.where("blocks > 1")
-        full = large.join(self.classes.select("rep", "copies", "mh"), "rep").join(self.sets(large), "rep")
+        full = large.join(self.sets(large), "rep")
         packed = cut_lineage(full.groupBy("bucket", "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("rep", "band", "copies", "mh", "shingles"))).alias("members")))
         pairs = (packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "members"))

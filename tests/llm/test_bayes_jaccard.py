@@ -159,6 +159,31 @@ def test_rows_follow_the_members_of_a_group(spark, monkeypatch):
         assert most <= 2 * members + 16 * 24 * m / 64, (m, members, most)
 
 
+def test_memberships_are_joined_by_class_once_a_round(spark, monkeypatch):
+    """With the sets, after the hashes were compared; hashes come with the memberships."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "PIVOTS", 0)
+    r = random.Random(8)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for _ in range(40):
+        base = list(base)
+        base[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(base))
+    found = J.Found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    plans, cut = [], J.cut_lineage
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(J, "cut_lineage", spy)
+    found.roots()
+    joins = lambda plan: sum("Join Inner, (rep#" in x for x in plan.splitlines())
+    compared = [p for p in plans if "MapInArrow run" in p]
+    assert len(compared) == 4  # hashes and sets of both rounds
+    assert [joins(p) for p in compared] == [0, 2, 0, 2]  # one of the two finds the few classes whose sets are made
+
+
 def shuffles(df):
     """Shuffles by the key of a row, which rows with their texts would take."""
     plan = df._jdf.queryExecution().executedPlan().toString()
